@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # archives are whole files: bound an Arrow batch by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
