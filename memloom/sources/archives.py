@@ -110,6 +110,13 @@ def scan_archives(
         .load(path)
         .select("path", "content")
     )
+    return unpack(blobs, kind, roles)
+
+
+def unpack(
+    blobs: DataFrame, kind: str = "snapshot", roles: Sequence[str] | None = None
+) -> DataFrame:
+    """Entries of archives given as ``path, content`` rows, whatever source they come from."""
     wanted = None if roles is None else frozenset(roles)
     return blobs.mapInPandas(_reader(kind, wanted), ENTRY_DDL)
 
