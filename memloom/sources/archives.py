@@ -24,18 +24,21 @@ ENTRY_DDL = (
     "archive string, agent_id string, entry string, role string, place int, first_pos bigint, "
     "data binary"
 )
+# unpacked bytes handed back to Spark at a time
+OUTPUT_BYTES = 8 << 20
 LAYERS = ("identity", "principals", "credentials", "attachments")
 
 
 def _reader(kind: str, roles: frozenset[str] | None):
     """Task function over (path, content) batches.
 
-    Opens each archive, reads only the members whose role is wanted and emits them one
-    by one.  ``first_pos`` is how many non-blank lines the memory files before it hold,
+    Opens each archive, reads only the members whose role is wanted and emits them in
+    batches of bounded size.  ``first_pos`` is how many non-blank lines the memory files before it hold,
     so list positions need no shuffle later.
     """
     manifest_name = "manifest.json" if kind == "snapshot" else "delta-manifest.json"
     layers = LAYERS
+    budget = OUTPUT_BYTES
 
     def named_files(manifest: dict[str, Any]) -> list[tuple[str, str]]:
         """(role, entry) of every layer file the manifest names, partitions in its order."""
@@ -85,10 +88,17 @@ def _reader(kind: str, roles: frozenset[str] | None):
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "agent_id", "entry", "role", "place", "first_pos", "data"]
+        rows, size = [], 0
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 for row in members(name, content):
-                    yield pd.DataFrame([row], columns=columns)
+                    rows.append(row)
+                    size += len(row[-1] or b"") + 256
+                    if size >= budget:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return read
 
