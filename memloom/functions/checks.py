@@ -23,7 +23,9 @@ def effective_status(c: Column) -> Column:
 
 
 def is_rfc3339(c: Column) -> Column:
-    return c.rlike(_RFC3339) & F.upper(c).try_cast("timestamp").isNotNull()
+    """Null for null, so that absent instants are not reported."""
+    fits = c.rlike(_RFC3339) & F.upper(c).try_cast("timestamp").isNotNull()
+    return F.when(c.isNotNull(), fits)
 
 
 def rfc3339(c: Column, as_of: Column | None = None) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +24,17 @@ def json_map(line: Column) -> Column:
     return F.from_json(line, _OBJECT)
 
 
+def opened(line: Column) -> Column:
+    """Generator of the field map of a JSON object, no row for anything else.
+
+    A filter on the parsed map would be pushed down and parse every line twice.
+    """
+    return F.explode(F.array_compact(F.array(json_map(line))))
+
+
 def canonical_json(m: Column) -> Column:
     """JSON text of a field map with sorted keys; null when the map is empty."""
-    return F.when(F.size(m) > 0, F.to_json(F.to_variant_object(m)))
+    return F.nullif(F.to_json(F.to_variant_object(m)), F.lit("{}"))
 
 
 def unknown_fields(m: Column, known: list[str]) -> Column:
@@ -71,98 +81,103 @@ def _each(items: Column, fn, typ: str) -> Column:
     return F.transform(items, lambda item: fn(item, typ))
 
 
-def parse_record(line: Column) -> Column:
-    """Struct of all record fields of a JSON line."""
-    return record_of(json_map(line))
-
+def parse_records(df: DataFrame, line: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Record columns of JSON lines (D1); lines that are no JSON objects are left out.
 
-def record_of(m: Column) -> Column:
-    """Struct of all record fields of a field map (see :func:`json_map`).
-
-    Unknown fields are kept as canonical JSON in ``extra`` at every level.  A line that
-    is not a JSON object gives nulls; use the validation rules P1-P5 to report it.
-    Scans make the map a column of its own first, so each line is parsed once.
+    ``line`` names the text column, ``keep`` the columns to carry along.  Unknown fields
+    are kept as canonical JSON in ``extra`` at every level.
     """
+    maps = df.select(*keep, opened(F.col(line)).alias("_m"))
+    return records_of_maps(maps, "_m", keep)
 
-    def nested(key: str, typ: str) -> Column:
-        return _get(m, key, typ)
 
-    cols = []
+def records_of_maps(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Record columns of field maps (see :func:`json_map`).
+
+    Each JSON text and each nested object is opened once: they are columns of their own
+    before their fields are read, so no expression parses them again.
+    """
+    m = F.col(name)
+    nested = [k for k, t in RECORD_FIELDS.items() if t.startswith("struct")]
+    opened = df.select(*keep, name, *[_get(m, k, _OBJECT).alias(f"_{k}") for k in nested])
     known = [k for k in RECORD_FIELDS if k != "extra"]
-    for name, typ in RECORD_FIELDS.items():
-        if name in ("id", "agent_id", "supersedes"):
-            raw = _get(m, name, "string")
+    cols = []
+    for field, typ in RECORD_FIELDS.items():
+        if field in ("id", "agent_id", "supersedes"):
+            raw = _get(m, field, "string")
             col = F.coalesce(normal_uuid(raw), raw)
-        elif name == "extra":
+        elif field == "extra":
             col = unknown_fields(m, known)
-        elif name == "raw_source_format":
-            v = F.try_element_at(m, F.lit(name))
-            col = F.when(~F.is_variant_null(v), json_text(v))
-        elif name == "tags":
-            col = F.coalesce(nested(name, "array<string>"), F.array().cast(typ))
+        elif field == "raw_source_format":
+            # a JSON null counts as absent
+            col = F.nullif(json_text(F.try_element_at(m, F.lit(field))), F.lit("null"))
+        elif field == "tags":
+            col = F.coalesce(_get(m, field, "array<string>"), F.array().cast(typ))
         elif typ.startswith("struct"):
-            inner = nested(name, _OBJECT)
+            inner = F.col(f"_{field}")
             col = F.when(inner.isNotNull(), _struct(inner, typ))
         elif typ.startswith("array"):
-            items = F.coalesce(nested(name, _LIST), F.array().cast(_LIST))
+            items = F.coalesce(_get(m, field, _LIST), F.array().cast(_LIST))
             col = _each(items, _struct, typ)
         else:
-            col = _get(m, name, typ)
-        cols.append(col.cast(typ).alias(name))
-    return F.struct(*cols)
+            col = _get(m, field, typ)
+        cols.append(col.cast(typ).alias(field))
+    return opened.select(*keep, *cols)
+
 
+def _each(items: Column, fn, typ: str) -> Column:
+    return F.transform(items, lambda item: fn(item, typ))
 
-def _extras(extra: Column) -> Column:
-    return F.coalesce(json_map(extra), F.expr("cast(map() as map<string,variant>)"))
 
+# --- writing -----------------------------------------------------------------
+# Objects are put together as text: known fields through to_json, which leaves nulls
+# out, and open fields spliced in as they are.
 
-def _known_map(s: Column) -> Column:
-    """Field map of a struct; to_json has already dropped its nulls."""
-    return F.from_json(F.to_json(s), _OBJECT)
+def _splice(known: Column, more: Column) -> Column:
+    """The fields of JSON object ``more`` (may be null) added to object ``known``."""
+    rest = F.when(known == "{}", more).otherwise(
+        F.concat(F.substr(known, F.lit(1), F.length(known) - 1), F.lit(","), F.substr(more, F.lit(2)))
+    )
+    return F.when(more.isNull(), known).otherwise(rest)
 
 
 def _object(s: Column, ddl: str) -> Column:
-    """Variant map of a struct with its extras merged in."""
+    """JSON text of a struct with its open fields."""
     cols = []
     for f in _fields(ddl):
-        if f.name == "extra":
-            continue
-        value = s[f.name]
-        if isinstance(f.dataType, T.TimestampType):
-            value = rfc3339_text(value)
-        cols.append(value.alias(f.name))
-    return F.map_concat(_known_map(F.struct(*cols)), _extras(s["extra"]))
+        if f.name != "extra":
+            value = s[f.name]
+            if isinstance(f.dataType, T.TimestampType):
+                value = rfc3339_text(value)
+            cols.append(value.alias(f.name))
+    return _splice(F.to_json(F.struct(*cols)), s["extra"])
 
 
 def record_json(record: Column | None = None) -> Column:
-    """JSON line of a record (D2): nulls and empty lists left out, extras put back.
+    """JSON line of a record (D2): nulls and empty lists left out, open fields put back.
 
     ``record`` is a struct column; without it the record's own columns are used.
     """
     get = (lambda n: F.col(n)) if record is None else (lambda n: record[n])
-    parts: list[Column] = []
-    plain = []
+    plain, parts = [], []
     for name, typ in RECORD_FIELDS.items():
         col = get(name)
-        if name in ("extra", "raw_source_format"):
+        key = F.lit(f'"{name}":')
+        if name == "extra":
             continue
-        if typ.startswith("struct"):
-            value = F.to_variant_object(_object(col, typ))
-            parts.append(_entry(name, value, col.isNotNull()))
+        if name == "raw_source_format":
+            parts.append(F.when(col.isNotNull(), F.concat(key, col)))
+        elif typ.startswith("struct"):
+            parts.append(F.when(col.isNotNull(), F.concat(key, _object(col, typ))))
         elif typ.startswith("array<struct"):
-            value = F.to_variant_object(_each(col, _object, typ))
-            parts.append(_entry(name, value, F.size(col) > 0))
+            items = F.array_join(_each(col, _object, typ), ",")
+            parts.append(F.when(F.size(col) > 0, F.concat(key, F.lit("["), items, F.lit("]"))))
         elif typ.startswith("array"):
             plain.append(F.when(F.size(col) > 0, col).alias(name))
         else:
             plain.append(col.alias(name))
-    raw = get("raw_source_format")
-    parts.append(_entry("raw_source_format", F.parse_json(raw), raw.isNotNull()))
-    whole = F.map_concat(_known_map(F.struct(*plain)), *parts, _extras(get("extra")))
-    return F.to_json(F.to_variant_object(whole))
-
-
-def _entry(name: str, value: Column, present: Column) -> Column:
-    return F.when(present, F.create_map(F.lit(name), value)).otherwise(
-        F.expr("cast(map() as map<string,variant>)")
-    )
+    known = F.to_json(F.struct(*plain))
+    # fields of the known part and of `extra` without their braces; nulls are skipped
+    inner = lambda text: F.nullif(F.substr(text, F.lit(2), F.length(text) - 2), F.lit(""))
+    body = F.concat_ws(",", inner(known), *parts, inner(get("extra")))
+    return F.concat(F.lit("{"), body, F.lit("}"))

@@ -18,6 +18,20 @@ def partition_path(observed_at: Column, created_at: Column) -> Column:
     )
 
 
+def quarter_start(ts: Column) -> Column:
+    """First day of the quarter of an instant; cheaper to group by than a path."""
+    return F.trunc(ts, "quarter")
+
+
+def quarter_info(start: Column) -> list[Column]:
+    """``file, from, to`` of a quarter given by its first day."""
+    return [
+        F.concat(F.lit("memory/"), quarter_label(start), F.lit(".jsonl")).alias("file"),
+        start.alias("from"),
+        F.last_day(F.add_months(start, 2)).alias("to"),
+    ]
+
+
 def partition_range(path: Column) -> Column:
     """``struct<from:date,to:date>`` of a partition path; null for any other path."""
     part = r"\A(?:memory/)*(\d{1,4})-Q0*([1-4])(?:\.jsonl)*\z"

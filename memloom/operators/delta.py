@@ -37,10 +37,12 @@ def compute_delta(old: DataFrame, new: DataFrame, ignore_cols: Sequence[str] = (
     """
     payload = [c for c in new.columns if c not in (*KEY, "ord")]
     compared = [c for c in payload if c not in ignore_cols]
+    # the filter keeps `copies` in every use of this aggregate, so all of them are the
+    # same plan and its shuffle is made once and reused
     last = old.groupBy(*KEY).agg(
         F.max_by(F.struct("ord", *payload), F.col("ord")).alias("row"),
         F.count(F.lit(1)).alias("copies"),
-    )
+    ).where(F.col("copies") >= 1)
     old_last = last.select(
         *KEY, "copies", F.col("row.ord").alias("ord"), *[F.col(f"row.{c}").alias(c) for c in payload]
     )
@@ -165,10 +167,11 @@ def _summaries(chunks: DataFrame) -> DataFrame:
 
 
 def _actions(base_keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows to drop from the base and rows to put from the entries.
+    """What becomes of the records of touched ids, by the place they come from.
 
-    ``put`` rows name the list place ``(delta, pos)`` and the entry ``(src_delta,
-    src_pos)`` whose record belongs there; ``drop`` rows name a place of the base.
+    A row names the place ``(delta, pos)`` of a base row or an entry and the list place
+    ``ord`` its record takes.  A base row listed without ``ord`` goes; base rows that
+    stay and entries without effect are not listed.
     """
     chunks = _chunk_events(base_keys, entries)
     folded = (
@@ -192,19 +195,18 @@ def _actions(base_keys: DataFrame, entries: DataFrame) -> DataFrame:
         # rows of a chunk go from its end, so what is left is its beginning
         "last_kept", F.coalesce(F.try_element_at("kept", F.lit(-1))["pos"], F.lit(-1))
     )
-    return placed.select(*KEY, "delta", F.expr("""inline(concat(
+    return placed.select(*KEY, F.expr(f"""inline(concat(
         transform(
           filter(transform(kept, (e, i) -> named_struct('e', e,
                    'upd', if(i = size(kept) - 1, upd_pos, null))),
                  k -> k.e.op = 1 or k.upd is not null),
-          k -> named_struct('action', 'put', 'pos', k.e.pos,
-                 'src_delta', if(k.upd is null, delta, upd_delta),
-                 'src_pos', coalesce(k.upd, k.e.pos))),
+          k -> named_struct(
+                 'delta', if(k.upd is null, delta, upd_delta), 'pos', coalesce(k.upd, k.e.pos),
+                 'ord', cast(named_struct('delta', delta, 'pos', k.e.pos) as {ORD}))),
         transform(
           filter(ev, e -> e.op = 0 and (e.pos > last_kept
             or (upd_pos is not null and e.pos = last_kept))),
-          e -> named_struct('action', 'drop', 'pos', e.pos,
-                 'src_delta', cast(null as int), 'src_pos', cast(null as bigint)))))"""))
+          e -> named_struct('delta', delta, 'pos', e.pos, 'ord', cast(null as {ORD})))))"""))
 
 
 def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -214,39 +216,31 @@ def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
     ``ord``, created rows get ``(delta_seq, pos)``; order by it to get the list.
     Unknown operations are skipped.
 
-    Only keys and positions take part in the fold.  Records move at most once: the base
-    is read against the (usually small) list of rows to drop, the entries against the
-    rows to put.  Base rows whose id no delta names never leave their partition when
-    that list is small enough for AQE to broadcast.
+    Only keys and positions take part in the fold.  Records move at most once, in one
+    join with the list of what the fold decided.  Where that list is small enough for
+    AQE to broadcast, base rows never leave their partition.
     """
     entries = deltas.where(F.col("operation").isin("create", "update", "delete"))
     touched = entries.select(*KEY).distinct()
     base_keys = base.select(
         *KEY, F.col("ord.delta").cast("int").alias("delta"), F.col("ord.pos").alias("pos")
     ).join(touched, KEY, "left_semi")
-    actions = _actions(base_keys, entries)
-
-    payload = [c for c in base.columns if c not in (*KEY, "ord")]
-    drops = actions.where("action = 'drop'").select(
-        *[F.col(k).alias(f"_{k}") for k in KEY],
-        F.struct("delta", "pos").cast(ORD).alias("_ord"),
+    actions = _actions(base_keys, entries).select(
+        *KEY, "delta", "pos", F.col("ord").alias("_ord"), F.lit(True).alias("_listed")
     )
-    stay = base.join(
-        drops,
-        (F.col("agent_id") == F.col("_agent_id")) & (F.col("id") == F.col("_id"))
-        & (F.col("ord.delta") == F.col("_ord.delta")) & (F.col("ord.pos") == F.col("_ord.pos")),
-        "left_anti",
-    ).select(*KEY, F.col("ord").cast(ORD).alias("ord"), *payload)
-    puts = actions.where("action = 'put'").select(
-        *KEY, F.struct("delta", "pos").cast(ORD).alias("ord"),
-        F.col("src_delta").alias("delta_seq"), F.col("src_pos").alias("pos"),
-    )
-    given = entries.where("operation <> 'delete'").select(
-        *KEY, F.col("delta_seq").cast("int").alias("delta_seq"),
-        F.col("pos").cast("bigint").alias("pos"), *payload,
+    payload = [c for c in base.columns if c not in (*KEY, "ord")]
+    rows = base.select(
+        *KEY, F.col("ord.delta").cast("int").alias("delta"), F.col("ord.pos").alias("pos"),
+        F.lit(True).alias("_base"), *payload,
+    ).unionByName(entries.where("operation <> 'delete'").select(
+        *KEY, F.col("delta_seq").cast("int").alias("delta"),
+        F.col("pos").cast("bigint").alias("pos"), F.lit(False).alias("_base"), *payload,
+    ))
+    settled = rows.join(actions, [*KEY, "delta", "pos"], "left").where(
+        F.when(F.col("_base"), F.col("_listed").isNull()).otherwise(F.col("_ord").isNotNull())
     )
-    put = given.join(puts, [*KEY, "delta_seq", "pos"]).select(*KEY, "ord", *payload)
-    return stay.unionByName(put)
+    place = F.coalesce("_ord", F.struct("delta", "pos").cast(ORD))
+    return settled.select(*KEY, place.alias("ord"), *payload)
 
 
 def apply_delta(base: DataFrame, delta: DataFrame) -> DataFrame:

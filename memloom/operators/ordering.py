@@ -44,10 +44,13 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column], name: str
 def with_order(records: DataFrame, tie: list[Column] | None = None) -> DataFrame:
     """Add ``ord = (0, pos)``: position in the agent's list by creation time.
 
-    Equal times are ordered by ``tie``, by default the file the record came from and
-    its id.
+    Equal times are ordered by ``tie``, by default the file the record came from, its
+    line there, and its id.
     """
-    tie = tie or [F.coalesce(F.col("source.origin_file"), F.lit("")), F.col("id")]
+    line = F.get_json_object("raw_source_format", "$.line_start").try_cast("bigint")
+    tie = tie or [
+        F.coalesce(F.col("source.origin_file"), F.lit("")), F.coalesce(line, F.lit(0)), F.col("id")
+    ]
     placed = with_position(records, ["agent_id"], [F.col("temporal.created_at"), *tie], "_pos")
     return placed.withColumn(
         "ord", F.struct(F.lit(0).alias("delta"), F.col("_pos").alias("pos"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.checks import rfc3339_text
-from memloom.functions.quarters import partition_path, partition_range
+from memloom.functions.quarters import partition_path, quarter_info, quarter_start
 from memloom.schemas import (
     DELTA_ENTRIES_FILE, DELTA_MANIFEST_DDL, FORMAT_VERSION, MANIFEST_DDL, MEMORY_INDEX_FILE,
     PARTITION_INFO, struct_of, struct_type,
@@ -64,25 +64,25 @@ def repartition_records(records: DataFrame) -> DataFrame:
     return with_partition(records).hint("rebalance", "agent_id", "partition")
 
 
-def partition_inventory(
-    records: DataFrame, as_of: Column, seal: str = "elapsed", partition: str | None = None
-) -> DataFrame:
+def _quarter(records: DataFrame) -> Column:
+    seen = F.coalesce(F.col("temporal.observed_at"), F.col("temporal.created_at"))
+    return quarter_start(seen).alias("_start")
+
+
+def _sealed(seal: str, as_of: Column) -> Column:
+    if seal not in ("elapsed", "never"):
+        raise ValueError("seal must be 'elapsed' or 'never'")
+    return F.lit(False) if seal == "never" else F.col("to") < as_of.cast("date")
+
+
+def partition_inventory(records: DataFrame, as_of: Column, seal: str = "elapsed") -> DataFrame:
     """Partition file, date range, record count and seal per agent and quarter.
 
     ``seal="elapsed"`` seals quarters that ended before ``as_of``, ``"never"`` none.
     """
-    if seal not in ("elapsed", "never"):
-        raise ValueError("seal must be 'elapsed' or 'never'")
-    placed = records if partition else with_partition(records)
-    counts = placed.groupBy("agent_id", F.col(partition or "partition").alias("file")).agg(
-        F.count(F.lit(1)).alias("record_count")
-    )
-    span = partition_range(F.col("file"))
-    sealed = F.lit(False) if seal == "never" else span["to"] < as_of.cast("date")
-    return counts.select(
-        "agent_id", "file", span["from"].alias("from"), span["to"].alias("to"),
-        "record_count", sealed.alias("sealed"),
-    )
+    counts = records.groupBy("agent_id", _quarter(records)).agg(F.count(F.lit(1)).alias("record_count"))
+    named = counts.select("agent_id", *quarter_info(F.col("_start")), "record_count")
+    return named.withColumn("sealed", _sealed(seal, as_of))
 
 
 def memory_inventory(
@@ -93,20 +93,14 @@ def memory_inventory(
     Records are counted per quarter first, so what is gathered per agent is one row per
     quarter.  ``raw_agents``: the agents (``agent_id``) with raw source files.
     """
-    placed = with_partition(records)
-    per_quarter = placed.groupBy("agent_id", F.col("partition").alias("file")).agg(
+    per_quarter = records.groupBy("agent_id", _quarter(records)).agg(
         F.count(F.lit(1)).alias("record_count"),
         F.bool_or(F.size("embeddings") > 0).alias("has_embeddings"),
-    )
-    span = partition_range(F.col("file"))
-    sealed = F.lit(False) if seal == "never" else span["to"] < as_of.cast("date")
-    info = F.struct(
-        "file", span["from"].alias("from"), span["to"].alias("to"), "record_count",
-        sealed.alias("sealed"),
-    ).cast(PARTITION_INFO)
+    ).select("agent_id", *quarter_info(F.col("_start")), "record_count", "has_embeddings")
+    info = F.struct("file", "from", "to", "record_count", _sealed(seal, as_of).alias("sealed"))
     per_agent = per_quarter.groupBy("agent_id").agg(
         F.sum("record_count").alias("record_count"),
-        F.array_sort(F.collect_list(info)).alias("partitions"),
+        F.array_sort(F.collect_list(info.cast(PARTITION_INFO))).alias("partitions"),
         F.bool_or("has_embeddings").alias("has_embeddings"),
     )
     if raw_agents is None:

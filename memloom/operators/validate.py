@@ -229,64 +229,66 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     """Rules P1-P5 over raw record lines: ``partition, line_number, line``.
 
     These stop the reader that works record by record; here they are findings, so one
-    bad line does not hide the others.
+    bad line does not hide the others.  A line is parsed once and each field read once,
+    into small lists of names and texts the rules then go over.
     """
-    df = lines.withColumn("_m", json_map(F.col("line")))
+    keep = [c for c in ("agent_id", "archive", "partition", "line_number") if c in lines.columns]
     m = F.col("_m")
-    at = _s(F.col("partition"), ":", F.col("line_number"))
-    p = lambda s: _s(at, f".{s}")
-    is_object = m.isNotNull()
     v = lambda key: F.try_element_at(m, F.lit(key))
-    absent = lambda key: v(key).isNull() | F.is_variant_null(v(key))
-    text = lambda key, path="$": F.try_variant_get(v(key), path, "string")
-    sub = lambda key, path: F.try_variant_get(v(key), path, "variant")
-    given = lambda x: x.isNotNull() & ~F.is_variant_null(x)
-
-    rules = [check(~is_object, E, "P1", at, F.lit("not a JSON object"))]
-    for key in _REQUIRED:
-        rules.append(check(is_object & absent(key), E, "P2", p(key), F.lit("required field missing")))
-    for key, inner in (("source", "runtime"), ("temporal", "created_at")):
-        rules.append(check(
-            is_object & ~given(sub(key, f"$.{inner}")), E, "P2", p(f"{key}.{inner}"),
-            F.lit("required field missing"),
-        ))
-    for key in _IDS:
-        rules.append(check(
-            is_object & ~absent(key) & ~F.coalesce(is_uuid(text(key)), F.lit(False)), E, "P3",
-            p(key), _s("not a UUID: '", text(key), "'"),
-        ))
-    links = F.try_variant_get(v("related_records"), "$", "array<struct<id:string>>")
-    rules.append(check_each(
-        links, lambda x, i: ~F.coalesce(is_uuid(x["id"]), F.lit(False)), E, "P3",
-        lambda x, i: _s(at, ".related_records[", i, "].id"),
-        lambda x, i: _s("not a UUID: '", x["id"], "'"),
-    ))
-    for key in _TIMES:
-        raw = text("temporal", f"$.{key}")
-        rules.append(check(
-            given(sub("temporal", f"$.{key}")) & ~F.coalesce(is_rfc3339(raw), F.lit(False)), E, "P4",
-            p(f"temporal.{key}"), _s("not an RFC 3339 instant: '", raw, "'"),
-        ))
-    stamps = F.try_variant_get(v("embeddings"), "$", "array<struct<computed_at:string,dimensions:string>>")
-    rules.append(check_each(
-        stamps, lambda x, i: ~F.coalesce(is_rfc3339(x["computed_at"]), F.lit(False)), E, "P4",
-        lambda x, i: _s(at, ".embeddings[", i, "].computed_at"),
-        lambda x, i: _s("not an RFC 3339 instant: '", x["computed_at"], "'"),
-    ))
-    whole = r"\A[0-9]+\z"
-    for key, inner in (("source", "identity_version"), ("temporal", "access_count")):
-        raw = text(key, f"$.{inner}")
-        rules.append(check(
-            given(sub(key, f"$.{inner}")) & ~F.coalesce(raw.rlike(whole), F.lit(False)), E, "P5",
-            p(f"{key}.{inner}"), _s("not a whole number from 0: ", raw),
-        ))
-    rules.append(check_each(
-        stamps, lambda x, i: ~F.coalesce(x["dimensions"].rlike(whole), F.lit(False)), E, "P5",
-        lambda x, i: _s(at, ".embeddings[", i, "].dimensions"),
-        lambda x, i: _s("not a whole number from 0: ", x["dimensions"]),
-    ))
-    keep = [c for c in ("agent_id", "archive", "partition", "line_number") if c in lines.columns]
-    return _emit(df, rules, keep)
+
+    def texts(fields: list[str]) -> Column:
+        """(name, text) of each field; text is null for absent and JSON null."""
+        out = []
+        for name in fields:
+            key, _, rest = name.partition(".")
+            text = F.try_variant_get(v(key), f"$.{rest}" if rest else "$", "string")
+            out.append(F.struct(F.lit(f".{name}").alias("name"), text.alias("text")))
+        return F.array(*out)
+
+    times = [f"temporal.{t}" for t in _TIMES]
+    parsed = lines.select(*keep, json_map(F.col("line")).alias("_m"))
+    read = parsed.select(
+        *keep,
+        m.isNull().alias("_broken"),
+        _s(F.col("partition"), ":", F.col("line_number")).alias("_at"),
+        texts([*_REQUIRED, "source.runtime", "temporal.created_at"]).alias("_required"),
+        texts(list(_IDS)).alias("_ids"),
+        texts(times).alias("_times"),
+        texts(["source.identity_version", "temporal.access_count"]).alias("_numbers"),
+        F.try_variant_get(v("related_records"), "$", "array<struct<id:string>>").alias("_links"),
+        F.try_variant_get(
+            v("embeddings"), "$", "array<struct<computed_at:string,dimensions:string>>"
+        ).alias("_vectors"),
+    )
+    at = F.col("_at")
+    here = lambda x, i: F.concat(at, x["name"])
+    within = lambda items, field: (
+        lambda x, i: _s(at, f".{items}[", i, f"].{field}")
+    )
+    bad = lambda test: F.coalesce(~test, F.lit(True))
+    is_whole = lambda c: c.rlike(r"\A[0-9]+\z")
+    no_uuid = lambda c: _s("not a UUID: '", c, "'")
+    no_time = lambda c: _s("not an RFC 3339 instant: '", c, "'")
+    no_number = lambda c: _s("not a whole number from 0: ", c)
+    known = ~F.col("_broken")
+    rules = [
+        check(F.col("_broken"), E, "P1", at, F.lit("not a JSON object")),
+        check_each(F.col("_required"), lambda x, i: known & x["text"].isNull(), E, "P2", here,
+                   lambda x, i: F.lit("required field missing")),
+        check_each(F.col("_ids"), lambda x, i: ~is_uuid(x["text"]), E, "P3", here,
+                   lambda x, i: no_uuid(x["text"])),
+        check_each(F.col("_links"), lambda x, i: bad(is_uuid(x["id"])), E, "P3",
+                   within("related_records", "id"), lambda x, i: no_uuid(x["id"])),
+        check_each(F.col("_times"), lambda x, i: ~is_rfc3339(x["text"]), E, "P4", here,
+                   lambda x, i: no_time(x["text"])),
+        check_each(F.col("_vectors"), lambda x, i: bad(is_rfc3339(x["computed_at"])), E, "P4",
+                   within("embeddings", "computed_at"), lambda x, i: no_time(x["computed_at"])),
+        check_each(F.col("_numbers"), lambda x, i: ~is_whole(x["text"]), E, "P5", here,
+                   lambda x, i: no_number(x["text"])),
+        check_each(F.col("_vectors"), lambda x, i: bad(is_whole(x["dimensions"])), E, "P5",
+                   within("embeddings", "dimensions"), lambda x, i: no_number(x["dimensions"])),
+    ]
+    return _emit(read, rules, keep)
 
 
 def missing_entries(required: DataFrame, entries: DataFrame) -> DataFrame:

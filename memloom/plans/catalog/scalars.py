@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from memloom.functions import checks, ids, quarters
-from memloom.functions.json_records import parse_record, record_json
+from memloom.functions.json_records import parse_records, record_json
 from memloom.operators import snapshot as snap
 from memloom.operators.ordering import with_order
 from memloom.plans import views as v
@@ -142,7 +142,7 @@ SELECT CAST(user_id AS VARCHAR) AS agent_id, event_id,
 def record_order(spark, sf_dir):
     """List positions by creation time, dense, without a task per agent."""
     recs = v.event_records(spark, sf_dir).withColumn("event_id", F.col("ord.pos")).drop("ord")
-    placed = with_order(recs.select("agent_id", "event_id", "id", "source", "temporal"))
+    placed = with_order(recs.select("agent_id", "event_id", "id", "source", "temporal", "raw_source_format"))
     return placed.select("agent_id", "event_id", F.col("ord.pos").alias("pos"))
 
 
@@ -156,11 +156,9 @@ SELECT CAST(user_id AS VARCHAR) AS agent_id, {sql_uuid5(NS, "'event:' || event_i
 def json_round_trip(spark, sf_dir):
     """Records written as JSON lines and parsed back, open fields kept."""
     lines = v.event_records(spark, sf_dir).select(record_json().alias("line"))
-    r = F.col("r")
-    return lines.select(parse_record(F.col("line")).alias("r")).select(
-        r["agent_id"].alias("agent_id"), r["id"].alias("id"), r["content"].alias("content"),
-        F.round(r["confidence"], 6).alias("confidence"),
-        F.unix_micros(r["temporal"]["created_at"]).alias("created_us"),
-        F.coalesce(F.unix_micros(r["temporal"]["observed_at"]), F.lit(-1)).alias("observed_us"),
-        F.size(r["embeddings"]).alias("n_embeddings"), F.element_at(r["tags"], 1).alias("tag"),
-        F.get_json_object(r["extra"], "$.k").cast("bigint").alias("extra_k"))
+    at = lambda c: F.unix_micros(F.col(f"temporal.{c}"))
+    return parse_records(lines, "line").select(
+        "agent_id", "id", "content", F.round("confidence", 6).alias("confidence"),
+        at("created_at").alias("created_us"), F.coalesce(at("observed_at"), F.lit(-1)).alias("observed_us"),
+        F.size("embeddings").alias("n_embeddings"), F.element_at("tags", 1).alias("tag"),
+        F.get_json_object("extra", "$.k").cast("bigint").alias("extra_k"))

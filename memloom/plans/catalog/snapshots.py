@@ -270,10 +270,12 @@ def snapshot_rebuild(spark, sf_dir):
     """A computed delta folded into its base, with inventory and manifest."""
     from memloom.operators.delta import compute_delta
     from memloom.plans.rebuild import rebuild_snapshot
+    from memloom.session import cut_lineage
     from memloom.sources.sinks import Snapshot
 
     old, new = v.old_and_new(spark, sf_dir)
-    found = compute_delta(old, new)
+    # a delta is written before it is applied; the cut stands in for that table
+    found = cut_lineage(compute_delta(old, new), eager=True)
     # one id occurs once here, so its key can serve as position
     deltas = found.withColumn("delta_seq", F.lit(1)).withColumn("pos", F.col("ord.pos"))
     agents, identities, principals, credentials = _layer_tables(spark, sf_dir)

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work when the input comes in fewer splits.
+
+    Tables of many splits are left alone, so large inputs are never shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -29,7 +38,7 @@ def place(pos: Column, delta: int = 0) -> Column:
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as records, some of them broken on purpose."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     n, kind = F.col("event_id"), F.col("event_type")
     vector = F.array(F.col("value"), F.lit(0.5))
     embedding = struct_of(
@@ -66,7 +75,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records over many quarters; a third is only known by creation time."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     n = F.col("o_orderkey")
     seen = F.when(n % 3 != 0, F.col("o_orderdate"))
     return o.select(
@@ -130,7 +139,7 @@ def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as note files: some lines become headings, some words tags."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n = F.col("doc_id")
     headed = F.regexp_replace("text", r"(?md)^([A-E])", "## $1")
     tagged = F.replace(F.replace(headed, F.lit(" on "), F.lit(" #On! ")), F.lit(" la "), F.lit(" ##La-x, "))
@@ -182,7 +191,7 @@ def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workspace files of customers: settings, persona, profile, notes."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k = F.col("c_custkey")
     t = k.cast("string")
     seg = F.lower("c_mktsegment")

@@ -7,6 +7,8 @@ a snapshot and ``(k, pos)`` for rows created by delta ``k``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +171,7 @@ REDACTED = "<redacted>"
 NOT_EXPORTED = "<not-exported>"
 
 
+@lru_cache(maxsize=None)
 def struct_type(ddl: str) -> T.StructType:
     """StructType of a DDL string."""
     return T.StructType.fromDDL(ddl)
@@ -191,13 +194,18 @@ def record_columns(**values: Column) -> list[Column]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _fields(ddl: str) -> tuple[tuple[str, str], ...]:
+    body = ddl[len("struct<"):-1] if ddl.startswith("struct<") else ddl
+    return tuple((f.name, f.dataType.simpleString()) for f in struct_type(body).fields)
+
+
 def struct_of(ddl: str, **values: Column) -> Column:
     """A struct with every field of ``ddl``; fields not given are null."""
-    body = ddl[len("struct<"):-1] if ddl.startswith("struct<") else ddl
-    fields = struct_type(body).fields
-    unknown = set(values) - {f.name for f in fields}
+    fields = _fields(ddl)
+    unknown = set(values) - {name for name, _ in fields}
     if unknown:
         raise ValueError(f"not fields of the struct: {sorted(unknown)}")
     return F.struct(*[
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        values.get(name, F.lit(None)).cast(typ).alias(name) for name, typ in fields
     ])

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.json_records import json_map, record_of, unknown_fields
+from memloom.functions.json_records import (
+    json_map, opened, parse_records, records_of_maps, unknown_fields,
+)
 from memloom.functions.text import trim
 from memloom.operators.validate import fail_fast, validate_lines
 from memloom.schemas import (
@@ -184,12 +186,12 @@ def records_of_lines(lines: DataFrame) -> DataFrame:
 
     Lines that are no records are left out; :func:`validate_lines` reports them.
     """
-    parsed = lines.withColumn("_m", json_map(F.col("line"))).where(F.col("_m").isNotNull())
-    parsed = parsed.withColumn("_r", record_of(F.col("_m")))
-    keep = [F.col(c) for c in ("archive",) if c in lines.columns]
-    if "pos" in lines.columns:
-        keep.append(F.struct(F.lit(0).alias("delta"), F.col("pos").alias("pos")).cast(ORD).alias("ord"))
-    return parsed.select(*keep, "_r.*")
+    keep = [c for c in ("archive", "pos") if c in lines.columns]
+    parsed = parse_records(lines, "line", keep)
+    out = [F.col(c) for c in ("archive",) if c in keep]
+    if "pos" in keep:
+        out.append(F.struct(F.lit(0).alias("delta"), F.col("pos").alias("pos")).cast(ORD).alias("ord"))
+    return parsed.select(*out, *RECORD_FIELDS)
 
 
 def scan_records(entries: DataFrame, mode: str = "report") -> DataFrame:
@@ -272,15 +274,14 @@ def scan_deltas(entries: DataFrame) -> DataFrame:
     A delete may carry no more than ids.
     """
     seqs = delta_manifests(entries).select("archive", "base_sequence", "delta_seq")
-    lines = memory_lines(entries).select("archive", "pos", "line")
-    parsed = lines.withColumn("_m", json_map(F.col("line"))).where(F.col("_m").isNotNull())
+    parsed = memory_lines(entries).select("archive", "pos", opened(F.col("line")).alias("_m"))
     operation = F.try_variant_get(F.try_element_at("_m", F.lit("operation")), "$", "string")
     body = F.map_filter("_m", lambda k, _: k != "operation")
     rows = parsed.select("archive", "pos", operation.alias("operation"), body.alias("_b"))
-    rows = rows.withColumn("_r", record_of(F.col("_b")))
+    rows = records_of_maps(rows, "_b", ["archive", "pos", "operation"])
     return rows.join(seqs, "archive").select(
         "archive", "base_sequence", F.col("delta_seq").cast("int").alias("delta_seq"), "pos",
-        "operation", *[F.col(f"_r.{c}").alias(c) for c in RECORD_FIELDS],
+        "operation", *RECORD_FIELDS,
     )
 
 

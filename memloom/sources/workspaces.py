@@ -95,6 +95,18 @@ def scan_workspaces(
     return with_agent_ids(files.unionByName(stored), runtime)
 
 
+def stage_workspaces(spark: SparkSession, root: str, runtime: str, staging: str) -> DataFrame:
+    """Read every workspace once into a columnar table and return that table.
+
+    A raw file source reads whole files for any filter on their path.  The staged table
+    is sorted by path, so readers of a few named files skip the rest, and readers of
+    text never touch the raw bytes.
+    """
+    files = scan_workspaces(spark, root, runtime)
+    files.hint("rebalance").sortWithinPartitions("path").write.mode("overwrite").parquet(staging)
+    return spark.read.parquet(staging)
+
+
 def with_agent_ids(files: DataFrame, runtime: str) -> DataFrame:
     """Add ``agent_id``: the workspace's stored id, else one derived from its path."""
     stored = files.where(F.col("path") == AGENT_ID_FILE).groupBy("workspace").agg(

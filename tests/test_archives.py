@@ -249,7 +249,7 @@ def test_export_table_runtime(spark, tmp_path):
         "h3/workspace/memory/archive/2026-01-02.md": "old", "h4/config.toml": '[memory]\nbackend="none"\n',
         "h4/workspace/memory/a.md": "not used",
     })
-    table = workspaces.scan_workspaces(spark, str(root), "zeroclaw")
+    table = workspaces.stage_workspaces(spark, str(root), "zeroclaw", str(tmp_path / "staged"))
     ids = {r.workspace.split("/")[-2]: r.agent_id for r in workspaces.workspaces(table).collect()}
     rows = spark.createDataFrame(
         [(ids["h1"], "n1", "k", "c1", "core", "2026-01-01T00:00:00Z"),
