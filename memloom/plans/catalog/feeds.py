@@ -1,6 +1,6 @@
 """S1-S9, ST1-ST3, U1, and the export plan."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from memloom.operators import memories
 from memloom.plans import views as v
 from memloom.plans.catalog import query, sql_uuid5
 from memloom.plans.catalog.deltas import _chain_sql, _flat
-from memloom.plans.catalog.notes import SECTIONS
+from memloom.plans.catalog.notes import _TYPE, SECTIONS
+from memloom.session import shared_dir
 from memloom.sources import archives, sinks
 from memloom.sources.workspaces import note_files
 
@@ -161,13 +162,8 @@ def adapter_records(spark, sf_dir):
 
 
 def _work_dir(spark):
-    """A new folder for the state of one run, in the shared folder where one is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        import uuid
-
-        return f"{named.rstrip('/')}/memloom-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix="memloom-run-")
+    """A new place for the state of one run."""
+    return f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}"
 
 
 @query(_chain_sql(3))
@@ -204,10 +200,11 @@ def stream_records(spark, sf_dir):
     return spark.read.schema("id string, agent_id string").parquet(f"{work}/out")
 
 
-@query(None)
+@query(f"""WITH {SECTIONS}, t AS (SELECT {_TYPE} AS memory_type, coalesce(CAST(day AS TIMESTAMP), make_timestamp((doc_id + 1767225600) * 1000000)) AS moment FROM sec)
+SELECT memory_type, 'memory/' || year(moment) || '-Q' || quarter(moment) || '.jsonl' AS file, count(*) AS n FROM t GROUP BY 1, 2""")
 def note_memory_types(spark, sf_dir):
     """Records per memory type and quarter, from note texts to partitions."""
     from memloom.operators.snapshot import with_partition
 
     recs = with_partition(memories.openclaw_records(v.note_files(spark, sf_dir)))
-    return recs.groupBy("memory_type", "partition").agg(F.count(F.lit(1)).alias("n"))
+    return recs.groupBy("memory_type", F.col("partition").alias("file")).agg(F.count(F.lit(1)).alias("n"))

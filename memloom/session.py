@@ -24,21 +24,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where none is named, as in local tests.
+    A folder of our own is used only where none is named, and only in local mode.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
     )
     if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-    elif not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-checkpoint-"))
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="memloom-")
+
+
+def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=eager)
