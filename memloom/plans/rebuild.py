@@ -40,13 +40,8 @@ def read_deltas(
     """Entries, manifests and layer documents of all delta archives under ``path``."""
     only = _pick(spark, path, "delta", staged)
     marks = archives.delta_manifests(only("manifest"))
-    entries = archives.scan_deltas(only("manifest", "memory")).drop("archive")
-    docs = only("identity", "principals", "credentials").join(
-        marks.select("archive", "delta_seq"), "archive"
-    ).select(
-        "agent_id", F.col("role").alias("layer"), F.col("delta_seq").cast("bigint").alias("seq"),
-        F.col("data").cast("string").alias("doc"),
-    )
+    entries = archives.scan_deltas(only("memory")).drop("archive")
+    docs = archives.scan_layer_documents(only("identity", "principals", "credentials"))
     return entries, marks, docs
 
 

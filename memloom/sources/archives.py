@@ -24,7 +24,7 @@ from memloom.schemas import (
 
 ENTRY_DDL = (
     "archive string, agent_id string, entry string, role string, place int, first_pos bigint, "
-    "data binary"
+    "base_sequence bigint, delta_seq bigint, data binary"
 )
 # unpacked bytes handed back to Spark at a time
 OUTPUT_BYTES = 8 << 20
@@ -63,11 +63,17 @@ def _reader(kind: str, roles: frozenset[str] | None):
             manifest_data = box.read(manifest_name)
             manifest = json.loads(manifest_data)
         except (zipfile.BadZipFile, KeyError, ValueError) as problem:
-            yield name, None, manifest_name, "unreadable", 0, 0, str(problem).encode()
+            yield name, None, manifest_name, "unreadable", 0, 0, None, None, str(problem).encode()
             return
         agent = (manifest.get("agent") or {}).get("id")
+        base = seq = None
+        if kind == "delta":
+            # a delta without a number of its own follows its base
+            sync = manifest.get("sync") or {}
+            base = int(sync.get("base_sequence") or 0)
+            seq = max(int(sync.get("new_sequence") or 0), base + 1)
         if roles is None or "manifest" in roles:
-            yield name, agent, manifest_name, "manifest", 0, 0, manifest_data
+            yield name, agent, manifest_name, "manifest", 0, 0, base, seq, manifest_data
         present = set(box.namelist())
         named = named_files(manifest)
         lines_before = 0
@@ -75,10 +81,10 @@ def _reader(kind: str, roles: frozenset[str] | None):
             if roles is not None and role not in roles:
                 continue
             if entry not in present:
-                yield name, agent, entry, "missing", place, 0, None
+                yield name, agent, entry, "missing", place, 0, base, seq, None
                 continue
             data = box.read(entry)
-            yield name, agent, entry, role, place, lines_before, data
+            yield name, agent, entry, role, place, lines_before, base, seq, data
             if role == "memory":
                 text = data.decode("utf-8", "replace")
                 lines_before += sum(1 for line in text.split("\n") if line.strip())
@@ -86,10 +92,13 @@ def _reader(kind: str, roles: frozenset[str] | None):
             known = {manifest_name, *(entry for _, entry in named)}
             for entry in box.namelist():
                 if entry not in known and not entry.endswith("/"):
-                    yield name, agent, entry, "file", 0, 0, box.read(entry)
+                    yield name, agent, entry, "file", 0, 0, base, seq, box.read(entry)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "agent_id", "entry", "role", "place", "first_pos", "data"]
+        columns = [
+            "archive", "agent_id", "entry", "role", "place", "first_pos", "base_sequence",
+            "delta_seq", "data",
+        ]
         rows, size = [], 0
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
@@ -173,10 +182,10 @@ def memory_lines(entries: DataFrame) -> DataFrame:
     )
     kept = F.filter(numbered, lambda x: x["line"] != "")
     return df.select(
-        "archive", "agent_id", F.col("entry").alias("partition"), "first_pos",
-        F.posexplode(kept).alias("_i", "_l"),
+        "archive", "agent_id", F.col("entry").alias("partition"), "first_pos", "base_sequence",
+        "delta_seq", F.posexplode(kept).alias("_i", "_l"),
     ).select(
-        "archive", "agent_id", "partition", "_l.line_number",
+        "archive", "agent_id", "base_sequence", "delta_seq", "partition", "_l.line_number",
         (F.col("first_pos") + F.col("_i")).cast("bigint").alias("pos"), "_l.line",
     )
 
@@ -240,11 +249,15 @@ def scan_layer(entries: DataFrame, layer: str) -> DataFrame:
     return rows if "agent_id" in items.names else rows.withColumn("agent_id", F.col("owner"))
 
 
-def scan_layer_documents(entries: DataFrame, seq: int = 0) -> DataFrame:
-    """Replaceable layers as whole documents: ``agent_id, layer, seq, doc``."""
+def scan_layer_documents(entries: DataFrame) -> DataFrame:
+    """Replaceable layers as whole documents: ``agent_id, layer, seq, doc``.
+
+    ``seq`` is the sequence of the delta, 0 for a snapshot.
+    """
     layers = entries.where(F.col("role").isin("identity", "principals", "credentials"))
     return layers.select(
-        "agent_id", F.col("role").alias("layer"), F.lit(seq).cast("bigint").alias("seq"),
+        "agent_id", F.col("role").alias("layer"),
+        F.coalesce("delta_seq", F.lit(0)).cast("bigint").alias("seq"),
         F.col("data").cast("string").alias("doc"),
     )
 
@@ -261,11 +274,10 @@ def missing(entries: DataFrame) -> DataFrame:
 def delta_manifests(entries: DataFrame) -> DataFrame:
     """One manifest row per delta archive, with the sequence it is applied at."""
     df = _text(entries, "manifest").select(
-        "archive", "agent_id", F.from_json("_text", DELTA_MANIFEST_DDL).alias("m")
-    ).select("archive", "agent_id", "m.*")
-    base = F.coalesce(F.col("sync.base_sequence"), F.lit(0))
-    seq = F.greatest(F.coalesce(F.col("sync.new_sequence"), F.lit(0)), base + 1)
-    return df.withColumn("base_sequence", base).withColumn("delta_seq", seq)
+        "archive", "agent_id", "base_sequence", "delta_seq",
+        F.from_json("_text", DELTA_MANIFEST_DDL).alias("m"),
+    )
+    return df.select("archive", "agent_id", "m.*", "base_sequence", "delta_seq")
 
 
 def scan_deltas(entries: DataFrame) -> DataFrame:
@@ -273,16 +285,12 @@ def scan_deltas(entries: DataFrame) -> DataFrame:
 
     A delete may carry no more than ids.
     """
-    seqs = delta_manifests(entries).select("archive", "base_sequence", "delta_seq")
-    parsed = memory_lines(entries).select("archive", "pos", opened(F.col("line")).alias("_m"))
+    keep = ["archive", "base_sequence", "delta_seq", "pos", "operation"]
+    parsed = memory_lines(entries).select(*keep[:-1], opened(F.col("line")).alias("_m"))
     operation = F.try_variant_get(F.try_element_at("_m", F.lit("operation")), "$", "string")
     body = F.map_filter("_m", lambda k, _: k != "operation")
-    rows = parsed.select("archive", "pos", operation.alias("operation"), body.alias("_b"))
-    rows = records_of_maps(rows, "_b", ["archive", "pos", "operation"])
-    return rows.join(seqs, "archive").select(
-        "archive", "base_sequence", F.col("delta_seq").cast("int").alias("delta_seq"), "pos",
-        "operation", *RECORD_FIELDS,
-    )
+    rows = parsed.select(*keep[:-1], operation.alias("operation"), body.alias("_b"))
+    return records_of_maps(rows, "_b", keep).withColumn("delta_seq", F.col("delta_seq").cast("int"))
 
 
 def known_operations(deltas: DataFrame) -> DataFrame:
