@@ -12,9 +12,6 @@ from memloom.functions.checks import rfc3339, rfc3339_text
 from memloom.functions.ids import normal_uuid
 from memloom.schemas import RECORD_FIELDS, struct_type
 
-_INSTANTS = (
-    "created_at", "updated_at", "observed_at", "valid_from", "valid_until", "last_accessed_at",
-)
 _OBJECT = "map<string,variant>"
 _LIST = "array<map<string,variant>>"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memloom.functions.text import is_blank
+from memloom.functions.text import is_blank, trim
 
 _IMPORTANCE = r"(?U)\[(\w+)\|i=([\d.]+)\]"
 
@@ -75,20 +75,25 @@ def section_tags(content: Column, category: Column) -> Column:
     Tags are the file category, then per line its importance tag and hashtags, each
     kept where first seen; confidence is the highest score, category the first tag.
     """
-    text_lines = F.split(content, "\n")
-    scored = F.filter(F.transform(text_lines, importance_tag), lambda s: s.isNotNull())
     per_line = F.transform(
-        text_lines,
-        lambda line: F.concat(
-            F.array_compact(F.array(importance_tag(line)["tag"])), hashtags(line)
-        ),
-    )
-    return F.struct(
-        F.array_distinct(F.concat(F.array(category), F.flatten(per_line))).alias("tags"),
-        F.array_max(F.transform(scored, lambda s: s["score"])).alias("confidence"),
-        F.try_element_at(scored, F.lit(1))["tag"].alias("category"),
+        F.split(content, "\n"),
+        lambda line: F.struct(importance_tag(line).alias("own"), hashtags(line).alias("hash")),
     )
 
+    def collect(found: Column) -> Column:
+        scored = F.filter(F.transform(found, lambda x: x["own"]), lambda o: o.isNotNull())
+        tags = F.transform(
+            found, lambda x: F.concat(F.array_compact(F.array(x["own"]["tag"])), x["hash"])
+        )
+        return F.struct(
+            F.array_distinct(F.concat(F.array(category), F.flatten(tags))).alias("tags"),
+            F.array_max(F.transform(scored, lambda s: s["score"])).alias("confidence"),
+            F.try_element_at(scored, F.lit(1))["tag"].alias("category"),
+        )
+
+    # a one-element list stands in for a variable, so each line is matched once
+    return F.transform(F.array(per_line), collect)[0]
+
 
 def archive_file_class(path: Column) -> Column:
     """``struct<memory_type,namespace,status,observed_on>`` of a dated/session/other file."""
@@ -122,8 +127,6 @@ def timezone(text: Column, runtime: str) -> Column:
     The text is cut at its ``## `` lines, so only the blocks under a matching heading
     are searched.
     """
-    from memloom.functions.text import trim
-
     trimmed = F.array_join(F.transform(F.split(text, "\n"), trim), "\n")
     blocks = F.split(trimmed, r"(?md)^(?=## )")
     head = lambda block: F.substring_index(block, "\n", 1)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.schemas import ORD
+from memloom.schemas import DELTA_OPERATIONS, ORD
 
 KEY = ["agent_id", "id"]
 
@@ -73,7 +73,7 @@ def change_counts(deltas: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataF
     """Creates, updates and deletes per agent."""
     return deltas.groupBy(*by).agg(*[
         F.count_if(F.col("operation") == op).alias(f"{op}s")
-        for op in ("create", "update", "delete")
+        for op in DELTA_OPERATIONS
     ])
 
 
@@ -220,7 +220,7 @@ def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
     join with the list of what the fold decided.  Where that list is small enough for
     AQE to broadcast, base rows never leave their partition.
     """
-    entries = deltas.where(F.col("operation").isin("create", "update", "delete"))
+    entries = deltas.where(F.col("operation").isin(*DELTA_OPERATIONS))
     touched = entries.select(*KEY).distinct()
     base_keys = base.select(
         *KEY, F.col("ord.delta").cast("int").alias("delta"), F.col("ord.pos").alias("pos")

@@ -23,6 +23,14 @@ def layer_last_wins(spark, sf_dir):
     return snap.latest_layers(layers)
 
 
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS agent_id, 'o' || o_orderkey AS id, 'memory/' || year(t) || '-Q' || quarter(t) || '.jsonl' AS file FROM
+  (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 40 DAY END AS t FROM orders)""")
+def records_by_quarter(spark, sf_dir):
+    """Records brought together by agent and quarter, hot quarters split."""
+    placed = snap.repartition_records(v.order_records(spark, sf_dir))
+    return placed.select("agent_id", "id", F.col("partition").alias("file"))
+
+
 _CUSTOMER_STATE = """state AS (SELECT CAST(c_custkey AS VARCHAR) AS agent_id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey % 9 END AS seq,
   c_custkey % 5 <> 0 AS synced FROM customer WHERE c_custkey % 6 <> 0)"""
 

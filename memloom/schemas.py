@@ -128,10 +128,6 @@ MEMORY_ROW_DDL = (
     "timestamp string, embedding binary"
 )
 
-SYNC_STATE_DDL = (
-    "agent_id string, last_synced_sequence bigint, last_synced_at timestamp, snapshot_path string"
-)
-
 # Fixed values of the interchange format ------------------------------------
 
 MEMORY_TYPES = ("semantic", "episodic", "procedural", "preference", "summary")

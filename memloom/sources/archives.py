@@ -18,7 +18,7 @@ from memloom.functions.json_records import (
 from memloom.functions.text import trim
 from memloom.operators.validate import fail_fast, validate_lines
 from memloom.schemas import (
-    ARCHIVE_GLOB, ATTACHMENT_DDL, CREDENTIAL_DDL, DELTA_GLOB, DELTA_MANIFEST_DDL, DELTA_OPERATIONS,
+    ARCHIVE_GLOB, ATTACHMENT_DDL, CREDENTIAL_DDL, DELTA_GLOB, DELTA_MANIFEST_DDL,
     IDENTITY_DDL, MANIFEST_DDL, ORD, PRINCIPAL_DDL, RECORD_FIELDS, struct_type,
 )
 
@@ -291,8 +291,3 @@ def scan_deltas(entries: DataFrame) -> DataFrame:
     body = F.map_filter("_m", lambda k, _: k != "operation")
     rows = parsed.select(*keep[:-1], operation.alias("operation"), body.alias("_b"))
     return records_of_maps(rows, "_b", keep).withColumn("delta_seq", F.col("delta_seq").cast("int"))
-
-
-def known_operations(deltas: DataFrame) -> DataFrame:
-    """Entries whose operation is known; others are skipped when applied."""
-    return deltas.where(F.col("operation").isin(*DELTA_OPERATIONS))
