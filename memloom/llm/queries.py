@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import packing, sharding, tokens
+from memloom.llm import packing, sharding, simhash, tokens
 from memloom.llm.common import documents
 from memloom.session import shared_dir
 
@@ -21,6 +21,11 @@ def byte_vocabulary() -> packing.Vocabulary:
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{shared_dir(spark)}/memloom-runs/{uuid.uuid4().hex}/token-cache"
     counts = tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
@@ -44,5 +49,5 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_byte_shards, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_counts, op6_byte_shards, op9_packing)}
 ORACLE: dict[str, str] = {}
