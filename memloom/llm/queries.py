@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import packing, sharding, simhash, tokens
-from memloom.llm.common import documents
+from memloom.llm import language, packing, sharding, simhash, tokens
+from memloom.llm.common import documents, held_out
 from memloom.session import shared_dir
 
 #: The sequence length and the end id of the packing query and the pipeline.
@@ -21,6 +21,13 @@ def byte_vocabulary() -> packing.Vocabulary:
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.learn(language.label_rows(docs))
+    found = language.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,5 +56,5 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_counts, op6_byte_shards, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op9_packing)}
 ORACLE: dict[str, str] = {}
