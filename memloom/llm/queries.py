@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import language, packing, sharding, simhash, tokens
+from memloom.llm import language, packing, perplexity, sharding, simhash, tokens
 from memloom.llm.common import documents, held_out
 from memloom.session import shared_dir
 
@@ -49,6 +49,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(packing.pack(documents(spark, sf_dir), byte_vocabulary(), WINDOW, END_ID))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(documents(spark, sf_dir))
+
+
 def packed_rows(packed: packing.Packed) -> DataFrame:
     """Where each piece went, with a digest of its ids."""
     pieces = packed.pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -56,5 +60,6 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op9_packing,
+                                   op10_quality_rules)}
 ORACLE: dict[str, str] = {}
