@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import blocks
+from memloom.llm.common import blocks, stored
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
@@ -65,6 +65,7 @@ def token_counts(docs: DataFrame, model: str, cache: str) -> DataFrame:
                         content_digest(F.col("text")).alias("digest"))
     encode_misses(keyed.select("digest", "text"), model, version, cache)
     counts = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "counts")  # a plain table: the join can split a content of many copies
     sizes = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
