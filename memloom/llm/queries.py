@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import language, packing, perplexity, sharding, simhash, tokens, toxicity
+from memloom.llm import language, licenses, packing, perplexity, sharding, simhash, tokens, toxicity
 from memloom.llm.common import documents, held_out
 from memloom.session import shared_dir
 
@@ -45,6 +45,10 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("detections")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -68,6 +72,6 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op8_toxicity,
-                                   op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op7_licenses,
+                                   op8_toxicity, op9_packing, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
