@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import language, licenses, packing, perplexity, sharding, simhash, tokens, toxicity
+from memloom.llm import decontam, language, licenses, packing, perplexity, sharding, simhash, tokens, toxicity
 from memloom.llm.common import documents, held_out
 from memloom.session import shared_dir
 
@@ -33,6 +33,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{shared_dir(spark)}/memloom-runs/{uuid.uuid4().hex}/token-cache"
     counts = tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
@@ -72,6 +76,6 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op5_token_counts, op6_byte_shards, op7_licenses,
-                                   op8_toxicity, op9_packing, op10_quality_rules)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_benchmark_leaks, op5_token_counts,
+                                   op6_byte_shards, op7_licenses, op8_toxicity, op9_packing, op10_quality_rules)}
+ORACLE: dict[str, str] = {"op4_benchmark_leaks": decontam.SQL}
