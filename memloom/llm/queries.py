@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import decontam, language, licenses, packing, perplexity, sharding, simhash, tokens, toxicity
+from memloom.llm import decontam, language, licenses, packing, perplexity, quality, sharding, simhash, tokens, toxicity
 from memloom.llm.common import documents, held_out
 from memloom.session import shared_dir
 
 #: The sequence length and the end id of the packing query and the pipeline.
 WINDOW, END_ID = 2048, 1
+#: Beliefs from which a document stays.
+QUALITY_FLOOR, LANGUAGE_FLOOR = 0.3, 0.4
 
 
 def byte_vocabulary() -> packing.Vocabulary:
@@ -21,6 +23,13 @@ def byte_vocabulary() -> packing.Vocabulary:
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_quality(documents(spark, sf_dir), labels).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "content_score", "metadata_score",
+        (F.col("score") >= QUALITY_FLOOR).alias("kept"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.learn(language.label_rows(docs))
@@ -76,6 +85,6 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_simhash, op4_benchmark_leaks, op5_token_counts,
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_simhash, op4_benchmark_leaks, op5_token_counts,
                                    op6_byte_shards, op7_licenses, op8_toxicity, op9_packing, op10_quality_rules)}
 ORACLE: dict[str, str] = {"op4_benchmark_leaks": decontam.SQL}
