@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.session import shared_dir
 
@@ -149,6 +150,9 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def table_of(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
-    """A batch of ``columns``; names given as ``True`` are taken from ``batch``."""
-    return pa.RecordBatch.from_pydict({k: batch.column(k) if v is True else v for k, v in columns.items()})
+def widened(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A copy of ``schema`` with more fields; ``add`` alone would change that of its DataFrame."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import blocks, held_out, lookup, span_hash, spans
+from memloom.llm.common import blocks, held_out, lookup, span_hash, spans, widened
 
 #: Labelled rows learned from, for each language: those of smallest digest.
 SAMPLE_ROWS = 2000
@@ -196,7 +196,7 @@ def predict_languages(docs: DataFrame, model: Model, keep_text: bool = False) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *found],
                                              names=[*columns, "lang_pred", "score"])
 
-    return docs.mapInArrow(add, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(add, widened(schema, lang_pred="string", score="double"))
 
 
 def label_rows(docs: DataFrame) -> DataFrame:

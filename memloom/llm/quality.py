@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import PLAIN, blocks, held_out, mix, span_hash, spans, stored, text_bytes
+from memloom.llm.common import PLAIN, blocks, held_out, mix, span_hash, spans, stored, text_bytes, widened
 from memloom.llm.perplexity import text_rules
 from memloom.llm.toxicity import logistic
 
@@ -141,7 +141,7 @@ def features(docs: DataFrame, values: tuple[str, ...] = ("source", "lang"), size
         *[F.col(v).cast("string").alias(f"v{i}") for i, v in enumerate(values)],
         F.col(size).cast("double").alias("size"), *([F.struct(*docs.columns).alias("given")] if carry else []))
     kept = ["doc_id", "digest"] + ["given"] * carry
-    schema = base.select(*kept).schema.add("content", "binary").add("metadata", "binary")
+    schema = widened(base.select(*kept).schema, content="binary", metadata="binary")
     n = len(values)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,7 @@ def _score(table: DataFrame, model: Model) -> DataFrame:
     """``table`` with the log odds of each view instead of its blobs."""
     shared = table.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in table.columns if c not in VIEWS]
-    schema = table.select(*kept).schema
-    for name in VIEWS:
-        schema = schema.add(f"{name}_odds", "double")
+    schema = widened(table.select(*kept).schema, **{f"{name}_odds": "double" for name in VIEWS})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import blocks, stored
+from memloom.llm.common import blocks, stored, widened
 from memloom.llm.components import components
 
 BITS = 64
@@ -55,8 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))],
                                              names=[*batch.schema.names, "fingerprint"])
 
-    schema = docs.schema
-    return docs.mapInArrow(add, type(schema)([*schema.fields]).add("fingerprint", "long"))
+    return docs.mapInArrow(add, widened(docs.schema, fingerprint="long"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
