@@ -58,6 +58,20 @@ def drop_runs(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sample_by(rows: DataFrame, by: str, n: int, groups: int = 500) -> DataFrame:
+    """About ``n`` different values of ``digest`` for each value of ``by``, with all their rows.
+
+    A digest is in or out by its own bits alone, against a share that comes from the number
+    of digests of its group, so nothing is ranked and no group meets in one task.  Values
+    of ``by`` beyond the ``groups`` most frequent ones are left out.
+    """
+    span = 1 << 40
+    share = rows.groupBy(by).agg(F.approx_count_distinct("digest", 0.02).alias("_n")).orderBy(F.desc("_n"), by).limit(groups)
+    share = share.select(by, (F.lit(float(n)) / F.col("_n") * span).cast("long").alias("_share"))
+    # at most ``groups`` rows
+    return rows.join(F.broadcast(share), by).where(F.pmod("digest", F.lit(span)) < F.col("_share")).drop("_share")
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Every row of ``batches``, in slices of about ``BLOCK_BYTES`` of ``column``."""
     for batch in batches:

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import blocks, held_out, lookup, span_hash, spans, widened
+from memloom.llm.common import blocks, held_out, lookup, sample_by, span_hash, spans, widened
 
-#: Labelled rows learned from, for each language: those of smallest digest.
+#: Different labelled texts learned from, for each language: a share of all by digest.
 SAMPLE_ROWS = 2000
 #: Words, and n-grams of each order, kept for each language: the most frequent.
 WORDS, GRAMS = 40_000, 20_000
@@ -107,22 +107,12 @@ class Model:
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Log frequencies from a bounded sample of the rows of ``docs`` that name a language.
 
-    For each language the ``sample_rows`` different texts of smallest digest are taken; what is kept
+    About ``sample_rows`` different texts of each language are taken by digest; what is kept
     is bounded by ``WORDS`` and ``GRAMS`` for each language, however large ``docs`` is.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("digest"))
-    order = Window.partitionBy("lang").orderBy("digest")
-    # only digests are ranked; texts move once the last digest of each language is known
-    last = (
-        rows.select("lang", "digest").distinct()
-        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows)
-        .groupBy("lang").agg(F.max("digest").alias("last"))
-    )
-    sample = (
-        rows.join(last, "lang").where("digest <= last")
-        .groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    )
+    sample = sample_by(rows, "lang", sample_rows).groupBy("lang", "digest").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):

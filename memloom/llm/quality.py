@@ -7,15 +7,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import PLAIN, blocks, held_out, mix, span_hash, spans, stored, text_bytes, widened
+from memloom.llm.common import PLAIN, blocks, held_out, mix, sample_by, span_hash, spans, stored, text_bytes, widened
 from memloom.llm.perplexity import text_rules
 from memloom.llm.toxicity import logistic
 
 #: Labelled rows of each label that a view is fitted on, and confident rows of each label
-#: that a view hands to the other in a round: those of smallest digest.
+#: that a view hands to the other in a round: a share of all by digest.
 SAMPLE_ROWS, HANDED_ROWS = 10_000, 5_000
 ROUNDS = 3
 #: Calibrated belief from which a view hands a row over.
@@ -185,12 +185,6 @@ def _score(table: DataFrame, model: Model) -> DataFrame:
     return table.mapInArrow(score, schema)
 
 
-def _first(rows: DataFrame, n: int, *by: str) -> DataFrame:
-    """Digests of the ``n`` rows of smallest digest of each value of ``by``."""
-    order = Window.partitionBy(*by).orderBy("digest")
-    return rows.select(*by, "digest").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
-
-
 def co_train(table: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fit both views on labelled rows, then let each teach the other.
 
@@ -203,8 +197,7 @@ def co_train(table: DataFrame, rounds: int = ROUNDS) -> Model:
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:  # nothing to tell apart
         return Model(prior=12.0 if sizes.get(1) else -12.0 if sizes else 0.0)
-    taken = _first(known, SAMPLE_ROWS, "label")  # at most twice that many narrow rows
-    rows = known.join(F.broadcast(taken.drop("label")), "digest").select("digest", "label", *VIEWS).dropDuplicates(["digest"]).toArrow()
+    rows = sample_by(known, "label", SAMPLE_ROWS).select("digest", "label", *VIEWS).dropDuplicates(["digest"]).toArrow()
     x = [_matrix(rows.column(v)) for v in VIEWS]
     y = rows.column("label").to_numpy().astype(float)
     weight = np.array([max(1.0, sizes[int(label)] / SAMPLE_ROWS) for label in y])
@@ -220,7 +213,8 @@ def co_train(table: DataFrame, rounds: int = ROUNDS) -> Model:
         for i, view in enumerate(VIEWS):
             teacher = F.col(f"{VIEWS[1 - i]}_odds")
             confident = scored.where(F.abs(teacher) >= sure).withColumn("taught", (teacher > 0).cast("int"))
-            handed = _first(confident, HANDED_ROWS, "taught")  # at most twice that many narrow rows
+            handed = sample_by(confident.select("digest", "taught"), "taught", HANDED_ROWS).distinct()
+            # about twice HANDED_ROWS narrow rows
             more = (fresh.select("digest", view).join(F.broadcast(handed), "digest")
                     .dropDuplicates(["digest"]).toArrow())
             given = more.column("taught").to_numpy().astype(float)

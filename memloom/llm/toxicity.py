@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import ALNUM, blocks, held_out, lookup, span_hash, text_bytes, word_spans
+from memloom.llm.common import ALNUM, blocks, held_out, lookup, sample_by, span_hash, text_bytes, word_spans
 
-#: Labelled documents learned from, for each label: those of smallest id digest.
+#: Labelled documents learned from, for each label: a share of all by the digest of the id.
 SAMPLE_ROWS = 10_000
 #: Words with a score, those furthest from chance, and how far (in standard deviations).
 WORDS, FURTHEST = 50_000, 3.0
@@ -124,13 +124,12 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
         .withColumn("digest", F.xxhash64("doc_id"))
     )
-    order = Window.partitionBy("toxic").orderBy("digest")
-    taken = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_rows)
+    taken = sample_by(known, "toxic", sample_rows)
     sizes = known.groupBy("toxic").count()
     taken = taken.join(F.broadcast(sizes), "toxic").select(
         "doc_id", "toxic", F.greatest(F.lit(1.0), F.col("count") / sample_rows).alias("weight"),
         (F.pmod("digest", F.lit(3)) == 0).cast("int").alias("fold"))
-    # at most 2 * sample_rows narrow rows
+    # about 2 * sample_rows narrow rows
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").drop("doc_id")
 
 
