@@ -58,6 +58,17 @@ def drop_runs(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(docs: DataFrame) -> Column:
+    """All columns but ``doc_id`` and ``text`` in one struct ``given``, out of the way of any name."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.struct(F.lit(None).cast("int").alias(""), *others).alias("given")
+
+
+def restored(columns: list[str]) -> list[Column]:
+    """The columns of a table whose others were put ``aside``."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col("given").getField(c).alias(c) for c in columns]
+
+
 def sample_by(rows: DataFrame, by: str, n: int, groups: int = 500) -> DataFrame:
     """About ``n`` different values of ``digest`` for each value of ``by``, with all their rows.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import PLAIN, blocks, held_out, mix, sample_by, span_hash, spans, stored, text_bytes, widened
+from memloom.llm.common import PLAIN, aside, blocks, held_out, mix, restored, sample_by, span_hash, spans, stored, text_bytes, widened
 from memloom.llm.perplexity import text_rules
 from memloom.llm.toxicity import logistic
 
@@ -134,13 +134,13 @@ def features(docs: DataFrame, values: tuple[str, ...] = ("source", "lang"), size
              carry: bool = False) -> DataFrame:
     """Both views of every document, stored: blobs ``content`` and ``metadata``, and a digest.
 
-    ``carry`` keeps all columns of ``docs`` beside them, under ``given``.
+    ``carry`` keeps ``text`` and all other columns of ``docs`` beside them (see ``aside``).
     """
     base = docs.select(
         "doc_id", "text", F.xxhash64("doc_id", "text").alias("digest"),
         *[F.col(v).cast("string").alias(f"v{i}") for i, v in enumerate(values)],
-        F.col(size).cast("double").alias("size"), *([F.struct(*docs.columns).alias("given")] if carry else []))
-    kept = ["doc_id", "digest"] + ["given"] * carry
+        F.col(size).cast("double").alias("size"), *[aside(docs)] * carry)
+    kept = ["doc_id", "digest", *["text", "given"] * carry]
     schema = widened(base.select(*kept).schema, content="binary", metadata="binary")
     n = len(values)
 
@@ -243,10 +243,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, carr
         return 1 / (1 + F.exp(-z))
 
     return odds.select(
-        "doc_id", *(["given"] if carry else []), belief(both).alias("score"),
+        "doc_id", *["text", "given"] * carry, belief(both).alias("score"),
         belief(F.col("content_odds")).alias("content_score"), belief(F.col("metadata_odds")).alias("metadata_score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
     """The rows of ``docs`` that score at least ``floor``, with all their columns."""
-    return score_quality(docs, labels, carry=True).where(F.col("score") >= floor).select("given.*")
+    return score_quality(docs, labels, carry=True).where(F.col("score") >= floor).select(*restored(docs.columns))

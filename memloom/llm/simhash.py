@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import blocks, stored, widened
+from memloom.llm.common import aside, blocks, restored, stored, widened
 from memloom.llm.components import components
 
 BITS = 64
@@ -44,10 +44,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``docs`` with a column ``fingerprint`` (bigint holding the 64 bits)."""
-    fields = docs.schema.fieldNames()
-    if "fingerprint" in fields:
-        docs, fields = docs.drop("fingerprint"), [f for f in fields if f != "fingerprint"]
+    """``docs`` with a column ``fingerprint`` (bigint holding the 64 bits), which it must not have yet."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -229,18 +226,13 @@ def drop_near_copies(docs: DataFrame, words: int = 4, distance: int = 4) -> Data
     Rows without an id come after all others; between rows of one id (repeated rows) the
     first stored one stays.
     """
-    columns = docs.columns
-    numbered = docs.select(*columns, F.monotonically_increasing_id().alias("_row"))
-    rows = stored(fingerprints(numbered.withColumn("_keep", F.col("fingerprint")) if "fingerprint" in columns
-                               else numbered, words), "rows")
-    keys = rows.select("_row", "doc_id", "fingerprint")
+    numbered = docs.select("doc_id", "text", aside(docs), F.monotonically_increasing_id().alias("row_no"))
+    rows = stored(fingerprints(numbered, words), "rows")
+    keys = rows.select("row_no", "doc_id", "fingerprint")
     roots = components(near_edges(keys, distance))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no")
     first = keys.groupBy("fingerprint").agg(F.min(place).alias("first"))
     first = first.join(roots, first["fingerprint"] == roots["node"], "left").select(
         F.coalesce("root", "fingerprint").alias("root"), "first")
-    kept = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    rows = rows.join(kept, "_row", "left_semi")
-    if "fingerprint" in columns:
-        rows = rows.drop("fingerprint").withColumnRenamed("_keep", "fingerprint")
-    return rows.select(*columns)
+    kept = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("row_no"))
+    return rows.join(kept, "row_no", "left_semi").select(*restored(docs.columns))
