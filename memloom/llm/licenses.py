@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Everything that stands between words.
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: A word in a text whose capitals are still there.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BEGIN, END = "\x01", "\x02"
 #: No rule spans more words.
@@ -81,7 +83,7 @@ FAMILIES: list[Family] = [
     apache-1.0 | apache | apache (?:software )?licen[sc]e | (?:version |v )?v?1 0 | apache 1 0
     apache | apache | apache (?:software )?licen[sc]e
     mit | mit | mit (?:open source )?licen[sc]e | | mit
-    mit-0 | mit | mit no attribution(?: licen[sc]e)? | | mit 0
+    mit-0 | no attribution | mit no attribution(?: licen[sc]e)? | | mit 0
     x11 | x11 | x11 licen[sc]e | | x11
     expat | expat | expat licen[sc]e
     bsd-2-clause | bsd | bsd (?:2|two) clause(?: licen[sc]e)? | | bsd 2 clause
@@ -213,6 +215,29 @@ def words_of(text: Column) -> Column:
     return F.regexp_replace(low, GAPS, " ")
 
 
+def anchors(table: list[Rule]) -> list[str]:
+    """Words of which every text with a match has one: the one all names share if the
+    pattern cannot do without it, or else the longest of the keyword."""
+    out = set()
+    for r in table:
+        needed = re.sub(r"\(\?:[^()]*\)\?", "", r.pattern)
+        out.add("licen" if "licen" in needed else max(r.keyword.split(" "), key=len))
+    return sorted(out)
+
+
+def likely(text: Column, table: list[Rule]) -> Column:
+    """False only for texts without a match of any rule or base phrase.
+
+    Looked up in the raw text, so that most texts are never rewritten.  All letters are
+    lower-cased here, which leaves no ASCII match out.
+    """
+    low = F.lower(text)
+    found = F.lit(False)
+    for word in {"licen", *anchors(table)} - {"cc"}:
+        found = found | low.contains(word)
+    return found | (low.contains("cc") & low.rlike("cc" + GAPS + "by"))
+
+
 def places(words: Column, pattern: Column) -> Column:
     """First and last word (from 0) of every match of ``pattern``, as an array of structs.
 
@@ -224,14 +249,19 @@ def places(words: Column, pattern: Column) -> Column:
 
 
 def _literal(rows: list[Rule]) -> Column:
-    fields = ("label", "keyword", "pattern", "priority", "confidence")
-    return F.array(*[F.struct(F.lit(n).alias("nth"), *(F.lit(v).alias(k) for k, v in zip(fields, row)))
-                     for n, row in enumerate(rows)])
+    """The rules of each keyword, as an array of structs."""
+    of: dict[str, list[Column]] = {}
+    for n, r in enumerate(rows):
+        of.setdefault(r.keyword, []).append(F.struct(
+            F.lit(n).alias("nth"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"),
+            F.lit(r.confidence).alias("confidence")))
+    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*found).alias("rules")) for k, found in of.items()])
 
 
 def detect(words: Column, table: list[Rule]) -> Column:
     """All matches of all rules whose keyword the text has: label, first, last, nth, confidence."""
-    likely = F.filter(_literal(table), lambda r: words.contains(r["keyword"]) & F.rlike(words, r["pattern"]))
+    present = F.filter(_literal(table), lambda g: words.contains(g["keyword"]))
+    likely = F.flatten(F.transform(present, lambda g: F.filter(g["rules"], lambda r: F.rlike(words, r["pattern"]))))
     return F.flatten(F.transform(likely, lambda r: F.transform(
         places(words, r["pattern"]),
         lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["nth"].alias("nth"),
@@ -267,12 +297,10 @@ def scan_licenses(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame
     no Python.
     """
     table = rules() if table is None else table
-    # a text with none of these has no match of any rule, nor a base phrase
-    keywords = sorted({r.keyword for r in table} | {phrase.split(" ")[0] for phrase, _ in BASE}, key=len)
-    keywords = [k for i, k in enumerate(keywords) if not any(short in k for short in keywords[:i])]
-    gate = "(?<= )(?:" + "|".join(keywords) + ")"
-    docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    docs = docs.select("doc_id", "words", F.col("words").rlike(gate).alias("likely"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(
+        "doc_id", F.regexp_count(text, F.lit(WORD)).alias("n_words"), likely(text, table).alias("likely"), "text")
+    docs = docs.select("doc_id", "n_words", "likely", F.when(F.col("likely"), words_of(F.col("text"))).alias("words"))
 
     def named(phrase: str, label: str) -> Column:
         at = places(F.col("words"), F.lit(_whole(phrase)))
@@ -282,9 +310,8 @@ def scan_licenses(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame
     base = [named(phrase, label) for phrase, label in BASE]
     nothing = F.expr("cast(array() AS array<struct<first: int, label: string>>)")
     none = F.expr("cast(array() AS array<struct<first: int, last: int, nth: int, label: string, confidence: double>>)")
-    count = F.length("words") - F.length(F.replace("words", F.lit(" "))) - 1
     docs = docs.select(
-        "doc_id", count.cast("long").alias("n_words"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"),
         F.when(F.col("likely"), F.flatten(F.array(*[F.coalesce(b, nothing) for b in base]))).otherwise(nothing).alias("base"),
         F.when(F.col("likely"), F.array_sort(detect(F.col("words"), table))).otherwise(none).alias("found"),
     )
