@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.session import shared_dir
+from memloom.session import configure, shared_dir
 
 #: Text bytes of one block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -36,6 +36,7 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)  # bounds an Arrow batch by bytes
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
