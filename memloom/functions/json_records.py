@@ -122,10 +122,6 @@ def records_of_maps(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataF
     return opened.select(*keep, *cols)
 
 
-def _each(items: Column, fn, typ: str) -> Column:
-    return F.transform(items, lambda item: fn(item, typ))
-
-
 # --- writing -----------------------------------------------------------------
 # Objects are put together as text: known fields through to_json, which leaves nulls
 # out, and open fields spliced in as they are.

@@ -82,8 +82,8 @@ def change_counts(deltas: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataF
 # positions per chunk: bounds every collected array whatever the skew of the ids
 CHUNK = 4096
 
-_SEGMENT = "struct<delta:int,chunk:bigint,after:bigint,n:bigint,upd_delta:int,upd_pos:bigint>"
-_STATE = f"struct<live:array<{_SEGMENT}>,pend:array<{_SEGMENT}>,idx:boolean,cur:int>"
+_SEGMENT = "struct<delta:bigint,chunk:bigint,after:bigint,n:bigint,upd_delta:bigint,upd_pos:bigint>"
+_STATE = f"struct<live:array<{_SEGMENT}>,pend:array<{_SEGMENT}>,idx:boolean,cur:bigint>"
 
 # What one chunk of one delta does to the rows of one id.  `live` are the rows the id
 # has at the start of a delta, as runs of rows of one chunk; `pend` those this delta
@@ -98,7 +98,7 @@ named_struct(
 """
 
 _SEG = """named_struct('delta', s.delta, 'chunk', s.chunk, 'after', {after}, 'n', {n},
-  'upd_delta', cast(null as int), 'upd_pos', cast(null as bigint))"""
+  'upd_delta', cast(null as bigint), 'upd_pos', cast(null as bigint))"""
 
 _INIT_LIVE = "slice(r.live, 1, size(r.live) - 1)"
 _LAST = "element_at(r.live, -1)"
@@ -110,7 +110,7 @@ def _fold_step() -> str:
 
     popped = f"""if({_LAST}.n > 1, concat({_INIT_LIVE}, array(named_struct(
         'delta', {_LAST}.delta, 'chunk', {_LAST}.chunk, 'after', {_LAST}.after,
-        'n', {_LAST}.n - 1, 'upd_delta', cast(null as int), 'upd_pos', cast(null as bigint)))),
+        'n', {_LAST}.n - 1, 'upd_delta', cast(null as bigint), 'upd_pos', cast(null as bigint)))),
         {_INIT_LIVE})"""
     replaced = f"""concat({_INIT_LIVE}, array(named_struct(
         'delta', {_LAST}.delta, 'chunk', {_LAST}.chunk, 'after', {_LAST}.after, 'n', {_LAST}.n,
@@ -140,7 +140,7 @@ def _chunk_events(base_keys: DataFrame, entries: DataFrame) -> DataFrame:
     op = F.col("operation")
     steps = entries.select(
         *KEY,
-        F.col("delta_seq").cast("int").alias("delta"),
+        F.col("delta_seq").cast("bigint").alias("delta"),
         F.col("pos").cast("bigint").alias("pos"),
         F.when(op == "create", 1).when(op == "update", 2).otherwise(3).alias("op"),
     )
@@ -223,17 +223,17 @@ def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
     entries = deltas.where(F.col("operation").isin(*DELTA_OPERATIONS))
     touched = entries.select(*KEY).distinct()
     base_keys = base.select(
-        *KEY, F.col("ord.delta").cast("int").alias("delta"), F.col("ord.pos").alias("pos")
+        *KEY, F.col("ord.delta").cast("bigint").alias("delta"), F.col("ord.pos").alias("pos")
     ).join(touched, KEY, "left_semi")
     actions = _actions(base_keys, entries).select(
         *KEY, "delta", "pos", F.col("ord").alias("_ord"), F.lit(True).alias("_listed")
     )
     payload = [c for c in base.columns if c not in (*KEY, "ord")]
     rows = base.select(
-        *KEY, F.col("ord.delta").cast("int").alias("delta"), F.col("ord.pos").alias("pos"),
+        *KEY, F.col("ord.delta").cast("bigint").alias("delta"), F.col("ord.pos").alias("pos"),
         F.lit(True).alias("_base"), *payload,
     ).unionByName(entries.where("operation <> 'delete'").select(
-        *KEY, F.col("delta_seq").cast("int").alias("delta"),
+        *KEY, F.col("delta_seq").cast("bigint").alias("delta"),
         F.col("pos").cast("bigint").alias("pos"), F.lit(False).alias("_base"), *payload,
     ))
     settled = rows.join(actions, [*KEY, "delta", "pos"], "left").where(

@@ -105,7 +105,14 @@ def _unpack(dtype: str):
 
     def unpack(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in blobs:
-            yield s.map(lambda b: np.frombuffer(b, dtype=dtype).astype("f8"), na_action="ignore")
+            there = np.flatnonzero(s.notna())
+            packed = s.iloc[there].tolist()
+            values = np.frombuffer(b"".join(packed), dtype=dtype).astype("f8")
+            ends = np.cumsum([0, *map(len, packed)]) // np.dtype(dtype).itemsize
+            out = [None] * len(s)
+            for i, a, b in zip(there, ends, ends[1:]):
+                out[i] = values[a:b]
+            yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(unpack, T.ArrayType(T.DoubleType()))
 

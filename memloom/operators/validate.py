@@ -51,7 +51,7 @@ def check_keys(extra: Column, severity: str, rule: str, prefix: Column) -> Colum
     keys = F.coalesce(F.json_object_keys(extra), F.array().cast("array<string>"))
     return F.transform(
         keys,
-        lambda k: finding(severity, rule, _s(prefix, ".", k), _s("unknown field '", k, "'")),
+        lambda k: finding(severity, rule, _s(prefix, ".", k), _s("not a field of the format: ", k)),
     )
 
 
@@ -123,9 +123,9 @@ def validate_records(records: DataFrame) -> DataFrame:
         check(_blank(c("source.runtime")), E, "V13", p("source.runtime"),
               F.lit("source runtime is empty")),
         check(~c("memory_type").isin(*MEMORY_TYPES), W, "V14", p("memory_type"),
-              _s("unknown memory_type '", c("memory_type"), "', treated as 'semantic'")),
+              _s("memory_type not in the list: ", c("memory_type"), ", read as semantic")),
         check(~c("status").isin(*MEMORY_STATUSES), W, "V15", p("status"),
-              _s("unknown status '", c("status"), "', treated as 'active'")),
+              _s("status not in the list: ", c("status"), ", read as active")),
         check_keys(c("extra"), W, "V16", prefix),
     ]
     return _emit(records, rules, _keep(records))
@@ -162,7 +162,7 @@ def validate_principals(principals: DataFrame) -> DataFrame:
         check(profile["principal_id"] != F.col("id"), E, "V23", p("profile.principal_id"),
               _s("profile names ", profile["principal_id"], ", principal is ", F.col("id"))),
         check(~F.col("principal_type").isin(*PRINCIPAL_TYPES), W, "V24", p("principal_type"),
-              _s("unknown principal_type '", F.col("principal_type"), "', treated as 'human'")),
+              _s("principal_type not in the list: ", F.col("principal_type"), ", read as human")),
     ]
     found = _emit(principals, rules, _keep(principals, "owner"))
     return found.withColumnRenamed("owner", "agent_id")
@@ -183,7 +183,7 @@ def validate_credentials(credentials: DataFrame) -> DataFrame:
     ]
     rules.append(
         check(~c("credential_type").isin(*CREDENTIAL_TYPES), W, "V29", p("credential_type"),
-              _s("unknown credential_type '", c("credential_type"), "', treated as 'custom'"))
+              _s("credential_type not in the list: ", c("credential_type"), ", read as custom"))
     )
     return _emit(credentials, rules, _keep(credentials))
 

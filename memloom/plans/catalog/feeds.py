@@ -143,8 +143,11 @@ def delta_lines(spark, sf_dir):
     return lines.select("agent_id", "delta_seq", "pos", get("operation"), get("id"))
 
 
-@query("""SELECT doc_id, path, runtime FROM (SELECT doc_id, {p} AS path FROM documents), (SELECT unnest(['openclaw', 'zeroclaw']) AS runtime)
-WHERE starts_with(path, 'memory/') OR (runtime = 'openclaw' AND path = 'MEMORY.md')""".replace("{p}", SECTIONS.split("SELECT doc_id, ")[1].split(" AS path")[0]))
+_NOTE_PATH = SECTIONS.split("SELECT doc_id, ")[1].split(" AS path")[0]
+
+
+@query(f"""SELECT doc_id, path, runtime FROM (SELECT doc_id, {_NOTE_PATH} AS path FROM documents), (SELECT unnest(['openclaw', 'zeroclaw']) AS runtime)
+WHERE starts_with(path, 'memory/') OR (runtime = 'openclaw' AND path = 'MEMORY.md')""")
 def note_file_scan(spark, sf_dir):
     """Which files are notes, per runtime."""
     files = v.table(spark, sf_dir, "documents").select("doc_id", v.note_path(F.col("doc_id")).alias("path"))
@@ -180,7 +183,8 @@ def stream_deltas(spark, sf_dir):
         "base_sequence",
         F.coalesce(F.lag("delta_seq").over(Window.partitionBy("agent_id").orderBy("delta_seq")), F.lit(0)).cast("bigint"),
     )
-    rows = deltas.join(heads, ["agent_id", "delta_seq"])
+    sizes = deltas.groupBy("agent_id", "delta_seq").agg(F.count(F.lit(1)).alias("record_count"))
+    rows = deltas.join(heads, ["agent_id", "delta_seq"]).join(sizes, ["agent_id", "delta_seq"])
     rows.write.parquet(f"{work}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
     ingest.stream_apply_deltas(stream, state, f"{work}/checkpoint", "hold").awaitTermination()

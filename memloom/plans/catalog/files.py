@@ -95,7 +95,7 @@ _TEXT = """CASE WHEN c_custkey % 3 = 0 THEN 'soul ' || c_custkey WHEN c_custkey
 
 
 @query(f"""SELECT CAST(c_custkey AS VARCHAR) AS agent_id, 'SOUL.md' AS path, {_TEXT} AS content FROM customer WHERE c_custkey % 3 < 2
-UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'identity.json', '{{"a":1}}' FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'identity.json', '{{' || chr(10) || '  "a": 1' || chr(10) || '}}' FROM customer WHERE c_custkey % 5 = 0
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'USER.md', '# ' || CASE WHEN c_custkey % 4 = 0 THEN 'User' ELSE c_name END || chr(10) ||
   CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '## Timezone' || chr(10) || chr(10) || 'A/B' || chr(10) ELSE '' END FROM customer WHERE c_custkey % 7 <> 0
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'USER.md', 'profile' FROM customer WHERE c_custkey % 7 = 0""")

@@ -14,7 +14,7 @@ from memloom.plans.catalog import query
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS line,
   generate_subscripts(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)), 1) AS n
-  FROM documents WHERE text <> ''),
+  FROM documents),
 k AS (SELECT *, regexp_replace(trim(split_part(line, '=', 1)), '^"+|"+$', '', 'g') AS name FROM l),
 r AS (SELECT doc_id, n, CASE WHEN contains(line, '=') AND regexp_matches(lower(name), 'api_key|token|secret|password')
   THEN split_part(line, '=', 1) || '= "<redacted>"' ELSE line END AS line FROM k)
@@ -22,7 +22,7 @@ SELECT doc_id, md5(string_agg(line || chr(10), '' ORDER BY n)) AS text_md5,
   count(*) FILTER (ends_with(line, '= "<redacted>"')) AS redacted FROM r GROUP BY doc_id""")
 def redact_documents(spark, sf_dir):
     """Secret values taken out of whole texts."""
-    d = v.table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", redact(F.col("text")).alias("t"))
+    d = v.table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("t"))
     hits = F.filter(F.split("t", "\n"), lambda line: line.endswith('= "<redacted>"'))
     return d.select("doc_id", F.md5("t").alias("text_md5"), F.size(hits).cast("bigint").alias("redacted"))
 

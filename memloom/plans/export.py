@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from memloom.operators import memories, migrate, profiles, snapshot as snap, workspace_settings
 from memloom.operators.ordering import with_order
+from memloom.plans.rebuild import layer_tables
 from memloom.plans.registry import register
-from memloom.schemas import MANIFEST_DDL, struct_of, struct_type
+from memloom.schemas import IDENTITY_DDL, MANIFEST_DDL, PRINCIPAL_DDL, struct_of, struct_type
 from memloom.sources import workspaces as ws
 from memloom.sources.sinks import Snapshot
 
@@ -101,7 +102,7 @@ def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
     get files rebuilt from their layers and records, and everyone an agent-id file.
     Files come in parts, to be written in order with a blank line between.
     """
-    part = lambda c: F.lit(None).cast("struct<delta:int,slice:bigint>").alias("part")
+    part = lambda c: F.lit(None).cast("struct<delta:bigint,slice:bigint>").alias("part")
     agents = snapshot.manifests.select("agent_id")
     ids = migrate.agent_id_files(agents).select(
         "agent_id", "path", part(None), F.col("content").cast("binary").alias("data")
@@ -113,8 +114,19 @@ def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
     made = migrate.file_parts(snapshot.records, runtime).select(
         "agent_id", "path", "part", F.col("content").cast("binary").alias("data")
     )
-    if snapshot.identities is not None and snapshot.principals is not None:
-        persona = migrate.profile_files(snapshot.identities, snapshot.principals, runtime)
+    identities, principals = snapshot.identities, snapshot.principals
+    if snapshot.layer_docs is not None:  # a snapshot that was read has its layers as documents
+        typed = layer_tables(snapshot.layer_docs)
+        if identities is None:
+            identities = typed["identities"].drop("agent_id").withColumnRenamed("owner", "agent_id")
+        principals = typed["principals"] if principals is None else principals
+    if identities is not None or principals is not None:
+        spark = snapshot.records.sparkSession
+        if identities is None:
+            identities = spark.createDataFrame([], struct_type(IDENTITY_DDL))
+        if principals is None:
+            principals = spark.createDataFrame([], f"owner string, pos int, {PRINCIPAL_DDL}")
+        persona = migrate.profile_files(identities, principals, runtime)
         made = made.unionByName(persona.select(
             "agent_id", "path", part(None), F.col("content").cast("binary").alias("data")
         ))

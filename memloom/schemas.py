@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORD = "struct<delta:int,pos:bigint>"
+ORD = "struct<delta:bigint,pos:bigint>"
 
 RECORD_FIELDS: dict[str, str] = {
     "agent_id": "string",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="memloom-")
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_dir(application: str) -> str:
+    """A folder for one application in local mode, gone when Python ends."""
+    path = tempfile.mkdtemp(prefix="memloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:

@@ -21,6 +21,7 @@ from memloom.schemas import (
     ARCHIVE_GLOB, ATTACHMENT_DDL, CREDENTIAL_DDL, DELTA_GLOB, DELTA_MANIFEST_DDL,
     IDENTITY_DDL, MANIFEST_DDL, ORD, PRINCIPAL_DDL, RECORD_FIELDS, struct_type,
 )
+from memloom.sources.files import list_files, named, with_content
 
 ENTRY_DDL = (
     "archive string, agent_id string, entry string, role string, place int, first_pos bigint, "
@@ -121,17 +122,12 @@ def scan_archives(
 
     ``role`` is ``manifest``, a layer, ``memory``, ``file`` for everything else,
     ``missing`` for an entry the manifest names but the archive lacks, or
-    ``unreadable``.  ``roles`` limits which members are unpacked at all.  One archive is
-    one task's row, so fleets of archives spread over the cluster.
+    ``unreadable``.  ``roles`` limits which members are unpacked at all.  Archives are
+    found whatever their names and dealt out to all tasks.
     """
-    blobs = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", ARCHIVE_GLOB if kind == "snapshot" else DELTA_GLOB)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "content")
-    )
-    return unpack(blobs, kind, roles)
+    found = list_files(spark, path).where(named(ARCHIVE_GLOB if kind == "snapshot" else DELTA_GLOB))
+    blobs = with_content(found.select("uri").repartition("uri"), "content")
+    return unpack(blobs.select(F.col("uri").alias("path"), "content"), kind, roles)
 
 
 def unpack(
@@ -262,6 +258,25 @@ def scan_layer_documents(entries: DataFrame) -> DataFrame:
     )
 
 
+def broken_documents(entries: DataFrame) -> DataFrame:
+    """Rule P1 over a scan: layers that are no JSON objects, or lists their items are not in,
+    and lines of delta entries that are no JSON objects or name no operation."""
+    layers = entries.where(F.col("role").isin(*LAYERS)).select(
+        "archive", "agent_id", "entry", "role", json_map(F.col("data").cast("string")).alias("m"))
+    item = F.try_variant_get(F.try_element_at("m", F.col("role")), "$", "array<map<string,variant>>")
+    wrong = F.when(F.col("m").isNull(), "not a JSON object").when(
+        (F.col("role") != "identity") & item.isNull(), "no list of objects under the layer's name")
+    documents = layers.select("archive", "agent_id", F.col("entry").alias("path"), wrong.alias("message"))
+    lines = memory_lines(entries).where("delta_seq IS NOT NULL").select(
+        "archive", "agent_id", "partition", "line_number", json_map(F.col("line")).alias("m"))
+    operation = F.try_variant_get(F.try_element_at("m", F.lit("operation")), "$", "string")
+    wrong = F.when(F.col("m").isNull(), "not a JSON object").when(operation.isNull(), "no operation")
+    place = F.concat_ws(":", "partition", F.col("line_number").cast("string"))
+    changes = lines.select("archive", "agent_id", place.alias("path"), wrong.alias("message"))
+    return documents.unionByName(changes).where("message IS NOT NULL").select(
+        "archive", "agent_id", F.lit("error").alias("severity"), F.lit("P1").alias("rule"), "path", "message")
+
+
 def missing(entries: DataFrame) -> DataFrame:
     """Rule P6 over a scan: unreadable archives and entries that are not there."""
     return entries.where(F.col("role").isin("missing", "unreadable")).select(
@@ -290,4 +305,4 @@ def scan_deltas(entries: DataFrame) -> DataFrame:
     operation = F.try_variant_get(F.try_element_at("_m", F.lit("operation")), "$", "string")
     body = F.map_filter("_m", lambda k, _: k != "operation")
     rows = parsed.select(*keep[:-1], operation.alias("operation"), body.alias("_b"))
-    return records_of_maps(rows, "_b", keep).withColumn("delta_seq", F.col("delta_seq").cast("int"))
+    return records_of_maps(rows, "_b", keep).withColumn("delta_seq", F.col("delta_seq").cast("bigint"))

@@ -97,7 +97,7 @@ def write_deltas(deltas: DataFrame, delta_manifests: DataFrame, path: str, push:
 
     A push that is run again replaces itself and nothing else.
     """
-    place = F.struct(F.col("delta_seq").cast("int").alias("delta"), F.col("pos").alias("pos")).cast(ORD)
+    place = F.struct(F.col("delta_seq").cast("bigint").alias("delta"), F.col("pos").alias("pos")).cast(ORD)
     rows = with_bucket(delta_lines(deltas)).withColumn("_place", place)
     rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "agent_id", "_place")
     rows.select("agent_id", "delta_seq", "pos", "value", "bucket").write.mode("overwrite").option(

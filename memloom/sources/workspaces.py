@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import agent_id
 from memloom.functions.settings import redact
 from memloom.schemas import AGENT_ID_FILE, MEMORY_ROW_DDL, ROOT_FILES, struct_type
-
-
-def _id_file_reader():
-    """Task function over workspace rows: the content of each one's agent-id file.
-
-    Spark's file sources skip names that start with a dot, so these few bytes per
-    workspace are opened from the tasks.
-    """
-    name = AGENT_ID_FILE
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            found = []
-            for workspace, uri in zip(batch["workspace"], batch["uri"]):
-                scheme, _, rest = uri.partition(":")
-                where = rest if scheme == "file" else uri
-                system, base = (
-                    (fs.LocalFileSystem(), "/" + where.lstrip("/"))
-                    if scheme == "file" or not rest else fs.FileSystem.from_uri(where)
-                )
-                path = f"{base}/{name}"
-                if system.get_file_info(path).type == fs.FileType.File:
-                    with system.open_input_stream(path) as f:
-                        found.append((workspace, f.read()))
-            yield pd.DataFrame(found, columns=["workspace", "data"])
-
-    return read
+from memloom.sources.files import list_files, with_content
 
 
 def scan_workspaces(
@@ -50,49 +19,38 @@ def scan_workspaces(
     ``workspace, agent_id, path, mtime, data, content``.  For one runtime each directory
     below ``root`` is a workspace; for the other it is a home with a ``workspace``
     directory, and its settings and database files count as files of the workspace.
-    ``notes_only`` lets the listing skip everything but Markdown.
+    ``notes_only`` reads Markdown only.  Files are listed first, whatever their names, ids are
+    attached to the listing, and each content is read once.
     """
     base = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if notes_only:
-        reader = reader.option("pathGlobFilter", "*.md")
-    full = F.regexp_replace("path", r"\A[A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "")
     prefix = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
-    relative = F.substr(full, F.lit(len(prefix) + 2))
-    home = F.substring_index(relative, "/", 1)
-    below = F.regexp_replace(relative, r"\A[^/]+/", "")
-    files = reader.load(base).select(
-        home.alias("_home"), below.alias("_below"),
-        F.left("path", F.length("path") - F.length(below) - 1).alias("_uri"),
-        F.col("modificationTime").alias("mtime"), F.col("content").alias("data"),
-    )
+    below = F.regexp_replace("path", r"\A[^/]+/", "")
+    found = list_files(spark, base).where(F.col("path").contains("/")).select(
+        F.substring_index("path", "/", 1).alias("_home"), below.alias("_below"), "uri", "mtime")
+    if notes_only:
+        found = found.where(F.col("_below").endswith(".md"))
+    tail = ""
     if runtime == "zeroclaw":
         inside = F.col("_below").startswith("workspace/")
         outside = F.col("_below").isin("config.toml", "memory.db")
-        path = F.when(inside, F.regexp_replace("_below", r"\Aworkspace/", "")).when(
-            outside, F.col("_below")
-        )
+        path = F.when(inside, F.regexp_replace("_below", r"\Aworkspace/", "")).otherwise(F.col("_below"))
         # settings beside the workspace win over a copy inside it
-        files = files.where(inside | outside).where(~(inside & (path == "config.toml")))
+        found = found.where(inside | outside).where(~(inside & (path == "config.toml")))
         tail = "/workspace"
     else:
-        path, tail = F.col("_below"), ""
-    workspace = F.concat(F.lit(f"{prefix}/"), F.col("_home"), F.lit(tail))
-    named = files.select(
-        workspace.alias("workspace"), F.concat("_uri", F.lit(tail)).alias("uri")
-    ).distinct()
-    files = files.select(
-        workspace.alias("workspace"), F.regexp_replace(path, r"\\", "/").alias("path"), "mtime",
-        "data", F.when(path.rlike(r"\.(md|toml|json)\z") | (path == AGENT_ID_FILE),
-                       F.col("data").cast("string")).alias("content"),
-    )
-    if notes_only:
-        return files
-    stored = named.mapInPandas(_id_file_reader(), "workspace string, data binary").select(
-        "workspace", F.lit(AGENT_ID_FILE).alias("path"), F.lit(None).cast("timestamp").alias("mtime"),
-        "data", F.col("data").cast("string").alias("content"),
-    )
-    return with_agent_ids(files.unionByName(stored), runtime)
+        path = F.col("_below")
+    found = found.select(
+        F.concat(F.lit(f"{prefix}/"), F.col("_home"), F.lit(tail)).alias("workspace"),
+        F.regexp_replace(path, r"\\", "/").alias("path"), "uri", "mtime")
+    if not notes_only:
+        # ids are a file each; they are read first, so contents never move for them
+        ids = with_content(found.where(F.col("path") == AGENT_ID_FILE).select("workspace", "uri"))
+        stored = ids.groupBy("workspace").agg(F.max(F.col("data").cast("string")).alias("_stored"))
+        found = found.join(stored, "workspace", "left").withColumn(
+            "agent_id", agent_id(F.col("_stored"), F.col("workspace"), runtime)).drop("_stored")
+    text = F.col("path").rlike(r"\.(md|toml|json)\z") | (F.col("path") == AGENT_ID_FILE)
+    return with_content(found.repartition("uri")).drop("uri").withColumn(
+        "content", F.when(text, F.col("data").cast("string")))
 
 
 def stage_workspaces(spark: SparkSession, root: str, runtime: str, staging: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memloom.operators.delta import apply_deltas
+from memloom.schemas import ORD
 from memloom.sources.archives import records_of_lines, text_lines
 from memloom.sources.sinks import with_bucket
 
@@ -110,7 +111,7 @@ class State:
 def init_state(records: DataFrame, sequences: DataFrame, path: str, buckets: int = 256) -> State:
     """Start a state table from records and ``agent_id, last_sequence`` rows."""
     state = State(records.sparkSession, path, buckets)
-    state.write("records", records, INITIAL)
+    state.write("records", records.withColumn("ord", F.col("ord").cast(ORD)), INITIAL)
     state.write("sequences", sequences.select("agent_id", "last_sequence"), INITIAL)
     state.commit(INITIAL, list(range(buckets)))
     return state
@@ -119,8 +120,9 @@ def init_state(records: DataFrame, sequences: DataFrame, path: str, buckets: int
 def gate(deltas: DataFrame, sequences: DataFrame) -> DataFrame:
     """Verdict on each delta of a batch: ``accept``, or why not (X21, ST2).
 
-    ``deltas``: ``agent_id, base_sequence, delta_seq`` and optionally ``record_count``,
-    one row per entry.  A delta is accepted when its base is the agent's last sequence,
+    ``deltas``: ``agent_id, base_sequence, delta_seq, record_count``, one row per entry;
+    the count is the one of the delta's manifest.  Without it nobody could tell a part of a
+    delta from the whole, so a delta that has none is ``uncounted`` and refused.  A delta is accepted when its base is the agent's last sequence,
     or the sequence of the accepted delta before it.  ``gap`` and ``incomplete`` deltas
     may become acceptable later, ``stale`` and ``conflict`` never.
     """
@@ -138,7 +140,7 @@ def gate(deltas: DataFrame, sequences: DataFrame) -> DataFrame:
     running = ~F.col("_stale") & ~F.col("_second")
     chain = Window.partitionBy("agent_id", running.cast("int")).orderBy("base_sequence", "delta_seq")
     before = F.lag("delta_seq").over(chain)
-    whole = F.col("expected").isNull() | (F.col("n") >= F.col("expected"))
+    whole = F.coalesce(F.col("n") >= F.col("expected"), F.lit(False))
     heads = heads.withColumn("_next", F.col("base_sequence") == F.coalesce(before, F.col("last")))
     heads = heads.withColumn("_whole", whole)
     upto = chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -146,6 +148,7 @@ def gate(deltas: DataFrame, sequences: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("_stale"), "stale")
         .when(F.col("_second"), "conflict")
+        .when(F.col("expected").isNull(), "uncounted")
         .when(ok, "accept")
         .when(~F.col("_whole"), "incomplete")
         .otherwise("gap")
@@ -201,7 +204,7 @@ def stream_apply_deltas(
 ) -> StreamingQuery:
     """Apply a stream of delta entries to ``state`` in sequence order per agent (ST1).
 
-    ``stream``: delta entries with ``base_sequence`` and ``delta_seq``.  With
+    ``stream``: delta entries with ``base_sequence``, ``delta_seq`` and ``record_count``.  With
     ``on_gap="reject"`` a delta whose predecessor is missing is refused; with ``"hold"``
     it waits for it (ST2).
     """

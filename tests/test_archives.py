@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators import migrate, report, snapshot as snap, validate as V
+from memloom.operators import delta, migrate, report, snapshot as snap, validate as V
 from memloom.plans import export, rebuild, registry
 from memloom.sources import archives, sinks, workspaces
 
@@ -77,9 +77,9 @@ def base_dir(tmp_path):
         d / "a.alf", {"memory/2026-Q2.jsonl": [rec(3, month=4)], "memory/2026-Q1.jsonl": [rec(1), rec(2, "two")]},
         {"identity.json": identity(1), "raw/r/SOUL.md": "# S", "raw/loose": "x", "artifacts/f.bin": b"\x00\x01",
          "attachments.json": {"attachments": [
-             {"id": "1", "filename": "f", "media_type": "m", "size_bytes": 15234, "archive_path": "artifacts/f.bin",
+             {"id": "1", "filename": "f", "media_type": "m", "size_bytes": 4711, "archive_path": "artifacts/f.bin",
               "hash": {"algorithm": "sha256", "value": "ab"}, "source_path": "f"},
-             {"id": "2", "filename": "g", "media_type": "m", "size_bytes": 50000000,
+             {"id": "2", "filename": "g", "media_type": "m", "size_bytes": 73000019,
               "hash": {"algorithm": "sha256", "value": "ab"}, "source_path": "g"}]}},
         {"identity": {"version": 1, "file": "identity.json"}, "attachments": {"count": 2, "file": "attachments.json"}},
     )
@@ -99,7 +99,7 @@ def test_scan_keeps_manifest_order_and_fields(spark, base_dir):
     atts = archives.scan_layer(entries, "attachments")
     (a,) = snap.attachment_rollup(atts).collect()
     assert (a["count"], a.included_count, a.included_size_bytes, a.referenced_count, a.referenced_size_bytes) == (
-        2, 1, 15234, 1, 50000000)
+        2, 1, 4711, 1, 73000019)
 
 
 def test_bad_archives_and_lines_are_findings(spark, tmp_path):
@@ -152,7 +152,7 @@ def test_rebuild(spark, base_dir, tmp_path):
         ("memory/2026-Q1.jsonl", 1, True), ("memory/2026-Q2.jsonl", 1, False), ("memory/2026-Q3.jsonl", 1, False)]
     assert m.layers.identity.version == 2 and m.layers.principals["count"] == 1
     assert m.layers.memory.has_raw_source is True and m.layers.memory.has_embeddings is False
-    assert m.layers.attachments.included_size_bytes == 15234
+    assert m.layers.attachments.included_size_bytes == 4711
     assert {r.entry for r in new.files.collect()} == {"raw/r/SOUL.md", "artifacts/f.bin"}
     assert V.validate_manifests(new.manifests).where("severity = 'error'").count() == 0
     same = rebuild.rebuild_snapshot(base, None, None, now())
@@ -301,3 +301,54 @@ def test_registry():
     registry.register("mine", lambda f: f, lambda r: r)
     assert registry.adapter("mine").name == "mine"
     del registry._ADAPTERS["mine"]
+
+
+def test_names_with_a_dot_or_underscore_are_read(spark, tmp_path):
+    names = ["memory/2026-01-01.md", "memory/_draft.md", "memory/.hidden.md", "memory/_old/x.md", "memory/.arch/y.md"]
+    for name in names:
+        f = tmp_path / "_home" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("## " + name)
+    (tmp_path / "_home" / ".alf-agent-id").write_text(AGENT)
+    (tmp_path / "loose.md").write_text("in no workspace")
+    files = workspaces.scan_workspaces(spark, str(tmp_path))
+    found = {r.path: r for r in files.collect()}
+    assert set(names) <= set(found) and "loose.md" not in found
+    assert all(found[n].content == "## " + n and bytes(found[n].data) == f"## {n}".encode() for n in names)
+    assert {r.agent_id for r in found.values()} == {AGENT}
+    assert {r.workspace for r in found.values()} == {f"{tmp_path}/_home"}
+    snapshot_zip(tmp_path / "_home" / "_a.alf", {"memory/2026-Q1.jsonl": [rec(1)]})
+    snapshot_zip(tmp_path / ".b.alf", {"memory/2026-Q1.jsonl": [rec(2)]})
+    ids = [r.id[-1] for r in archives.scan_records(archives.scan_archives(spark, str(tmp_path))).collect()]
+    assert sorted(ids) == ["1", "2"]
+
+
+def test_sequences_beyond_32_bits(spark, tmp_path):
+    big = 3_000_000_000
+    delta_zip(tmp_path / "a.alf-delta", big, big + 1, [("create", rec(7)), ("update", rec(1, "new"))])
+    snapshot_zip(tmp_path / "b.alf", {"memory/2026-Q1.jsonl": [rec(1)]})
+    entries, marks, _ = rebuild.read_deltas(spark, str(tmp_path))
+    assert [r.delta_seq for r in marks.collect()] == [big + 1]
+    base = rebuild.read_snapshot(spark, str(tmp_path))
+    out = delta.apply_deltas(base.records, entries).orderBy("ord").collect()
+    assert [(r.id[-1], r.content, r.ord.delta) for r in out] == [("1", "new", 0), ("7", "c", big + 1)]
+
+
+def test_broken_documents_are_findings(spark, tmp_path):
+    snapshot_zip(tmp_path / "a.alf", {"memory/2026-Q1.jsonl": [rec(1)]},
+                 {"identity.json": "no json", "principals.json": {"principals": 5}, "credentials.json": {"credentials": []}},
+                 {n: {"version": 1, "count": 1, "file": f"{n}.json"} for n in ("identity", "principals", "credentials")})
+    found = archives.broken_documents(archives.scan_archives(spark, str(tmp_path))).collect()
+    assert {(r.path, r.rule) for r in found} == {("identity.json", "P1"), ("principals.json", "P1")}
+    delta_zip(tmp_path / "d.alf-delta", 1, 2, [("create", rec(2)), (None, rec(3))])
+    found = archives.broken_documents(archives.scan_archives(spark, str(tmp_path), "delta")).collect()
+    assert [(r.path, r.message) for r in found] == [("memory/delta.jsonl:2", "no operation")]
+
+
+def test_import_takes_the_persona_of_a_read_snapshot(spark, tmp_path):
+    doc = {**identity(1), "prose": {"soul": "I am."}}
+    snapshot_zip(tmp_path / "a.alf", {"memory/2026-Q1.jsonl": [rec(1)]}, {"identity.json": doc},
+                 {"identity": {"version": 1, "file": "identity.json"}})
+    base = rebuild.read_snapshot(spark, str(tmp_path))
+    files = {r.path: bytes(r.data).decode() for r in export.import_files(base, "openclaw").collect()}
+    assert files["SOUL.md"] == "I am."

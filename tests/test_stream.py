@@ -1,5 +1,6 @@
 import json
 import uuid
+from collections import Counter
 
 import models
 from pyspark.sql import functions as F
@@ -10,11 +11,18 @@ ENTRY = (
     "agent_id string, id string, base_sequence bigint, delta_seq int, pos bigint, "
     "operation string, content string"
 )
+COUNTED = f"{ENTRY}, record_count bigint"
 BASE = "agent_id string, id string, ord struct<delta:int,pos:bigint>, content string"
 
 
+def counted(spark, rows):
+    """Entries with the count their delta's manifest would have."""
+    sizes = Counter(r[:1] + r[2:4] for r in rows)
+    return spark.createDataFrame([(*r, sizes[r[:1] + r[2:4]]) for r in rows], COUNTED)
+
+
 def write(spark, path, name, rows):
-    spark.createDataFrame(rows, ENTRY).coalesce(1).write.json(f"{path}/{name}")
+    counted(spark, rows).coalesce(1).write.json(f"{path}/{name}")
 
 
 def start(spark, tmp_path, base):
@@ -31,7 +39,7 @@ def lists(df):
 
 
 def run(spark, tmp_path, state, on_gap="reject"):
-    stream = spark.readStream.schema(ENTRY).option("recursiveFileLookup", "true").option(
+    stream = spark.readStream.schema(COUNTED).option("recursiveFileLookup", "true").option(
         "maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = ingest.stream_apply_deltas(stream, state, str(tmp_path / "ck"), on_gap)
     q.awaitTermination()
@@ -52,7 +60,7 @@ def test_deltas_arrive_in_order(spark, tmp_path):
     assert {r.agent_id: r.last_sequence for r in state.sequences().collect()} == {"a": 2, "b": 0}
     assert [(r.agent_id, r.verdict) for r in state.rejects().collect()] == [("b", "gap")]
     before = lists(state.records())
-    replay = spark.createDataFrame([("a", "1", 0, 1, 0, "delete", "")], ENTRY)
+    replay = counted(spark, [("a", "1", 0, 1, 0, "delete", "")])
     ingest.apply_batch(state, replay, 0)
     assert lists(state.records()) == before
     ingest.apply_batch(state, replay, 99)
@@ -63,10 +71,10 @@ def test_deltas_arrive_in_order(spark, tmp_path):
 def test_held_deltas_wait_for_their_predecessor(spark, tmp_path):
     base = {"a": [("1", "x")]}
     state = start(spark, tmp_path, base)
-    late = spark.createDataFrame([("a", "1", 1, 2, 0, "update", "second")], ENTRY)
+    late = counted(spark, [("a", "1", 1, 2, 0, "update", "second")])
     ingest.apply_batch(state, late, 0, "hold")
     assert lists(state.records()) == base and state.held().count() == 1
-    first = spark.createDataFrame([("a", "1", 0, 1, 0, "update", "first"), ("a", "2", 0, 1, 1, "create", "n")], ENTRY)
+    first = counted(spark, [("a", "1", 0, 1, 0, "update", "first"), ("a", "2", 0, 1, 1, "create", "n")])
     ingest.apply_batch(state, first, 1, "hold")
     assert lists(state.records()) == {"a": [("1", "second"), ("2", "n")]}
     assert state.held().count() == 0 and state.rejects().count() == 0
@@ -83,6 +91,20 @@ def test_incomplete_conflicting_and_emptying_deltas(spark, tmp_path):
     assert {(r.agent_id, r.verdict) for r in state.rejects().collect()} == {("c", "conflict"), ("n", "incomplete")}
 
 
+def test_a_delta_in_two_batches_is_applied_whole(spark, tmp_path):
+    rows = counted(spark, [("a", "1", 0, 1, 0, "update", "x1"), ("a", "2", 0, 1, 1, "create", "n")])
+    base = {"a": [("1", "x")]}
+    state = start(spark, tmp_path, base)
+    ingest.apply_batch(state, rows.where("pos = 0"), 0, "hold")
+    assert lists(state.records()) == base
+    ingest.apply_batch(state, rows.where("pos = 1"), 1, "hold")
+    assert lists(state.records()) == {"a": [("1", "x1"), ("2", "n")]}
+    ingest.apply_batch(state, rows.withColumns({
+        "base_sequence": F.lit(1), "delta_seq": F.lit(2), "record_count": F.lit(None).cast("bigint")}), 2, "hold")
+    assert lists(state.records()) == {"a": [("1", "x1"), ("2", "n")]}
+    assert [r.verdict for r in state.rejects().collect()] == ["uncounted"]
+
+
 def test_record_stream(spark, tmp_path):
     d = tmp_path / "lines"
     d.mkdir()
