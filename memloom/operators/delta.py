@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.ordering import with_position
 from memloom.schemas import DELTA_OPERATIONS, ORD
 
 KEY = ["agent_id", "id"]
@@ -37,36 +38,43 @@ def compute_delta(old: DataFrame, new: DataFrame, ignore_cols: Sequence[str] = (
     """
     payload = [c for c in new.columns if c not in (*KEY, "ord")]
     compared = [c for c in payload if c not in ignore_cols]
-    # the filter keeps `copies` in every use of this aggregate, so all of them are the
-    # same plan and its shuffle is made once and reused
-    last = old.groupBy(*KEY).agg(
-        F.max_by(F.struct("ord", *payload), F.col("ord")).alias("row"),
-        F.count(F.lit(1)).alias("copies"),
-    ).where(F.col("copies") >= 1)
-    old_last = last.select(
-        *KEY, "copies", F.col("row.ord").alias("ord"), *[F.col(f"row.{c}").alias(c) for c in payload]
-    )
-
-    n, o = new.alias("n"), old_last.withColumn("_found", F.lit(True)).alias("o")
-    on = reduce(lambda a, b: a & b, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in KEY])
-    changed = n.join(o, on, "left").where(
-        F.col("o._found").isNull() | ~records_equal("n", "o", compared)
-    ).select(
-        F.when(F.col("o._found").isNull(), "create").otherwise("update").alias("operation"),
-        *[F.col(f"n.{c}").alias(c) for c in [*KEY, "ord", *payload]],
-    )
 
-    gone = old_last.join(new.select(*KEY).distinct(), KEY, "left_anti")
-    deleted = gone.select(F.lit("delete").alias("operation"), *KEY, "ord", *payload)
-    # earlier copies of a vanished id: normally none, and AQE drops the empty join
-    twice = gone.where("copies > 1").select(*KEY, F.col("ord").alias("_last"))
-    copies = old.join(twice, KEY).where(F.col("ord") != F.col("_last")).select(
-        F.lit("delete").alias("operation"), *KEY, "ord", *payload
-    )
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.select(*KEY, "ord", content_digest(compared).alias("digest"))
+
+    # only keys, places and digests are compared; records follow for what has changed
+    last = narrow(old).groupBy(*KEY).agg(F.max_by("digest", F.col("ord")).alias("before"))
+    fresh = narrow(new)
+    changed = fresh.join(last, KEY, "left").where(~F.col("before").eqNullSafe(F.col("digest"))).select(
+        *KEY, "ord", F.when(F.col("before").isNull(), "create").otherwise("update").alias("operation"))
+    gone = last.select(*KEY).join(fresh.select(*KEY).distinct(), KEY, "left_anti")
+    out = ["operation", *KEY, "ord", *payload]
+    written = new.join(changed, [*KEY, "ord"]).select(*out)
+    deleted = old.join(gone, KEY, "left_semi").withColumn("operation", F.lit("delete")).select(*out)
     rank = F.when(F.col("operation") == "create", 0).when(F.col("operation") == "update", 1)
-    return changed.unionByName(deleted).unionByName(copies).withColumn(
-        "op_rank", rank.otherwise(2)
-    )
+    return written.unionByName(deleted).withColumn("op_rank", rank.otherwise(2))
+
+
+def content_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 of the named fields, equal exactly where :func:`records_equal` holds.
+
+    The fields are written out by name, so a value cannot pass for one of another field.
+    """
+    text = F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return F.unhex(F.sha2(text, 256))
+
+
+def number_deltas(changes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Computed changes as entries of each agent's next delta (S7): ``delta_seq`` and a ``pos``
+    from 0 in list order, ready to be written and applied.
+
+    ``sequences``: ``agent_id, last_sequence``; agents not in it start from 0.
+    """
+    placed = with_position(changes, ["agent_id"], [F.col("op_rank"), F.col("ord")])
+    last = sequences.select("agent_id", F.col("last_sequence").cast("bigint").alias("base_sequence"))
+    return placed.join(last, "agent_id", "left").withColumn(
+        "base_sequence", F.coalesce("base_sequence", F.lit(0).cast("bigint"))
+    ).withColumn("delta_seq", F.col("base_sequence") + 1).drop("op_rank", "ord")
 
 
 def change_counts(deltas: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:

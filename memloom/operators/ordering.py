@@ -11,34 +11,40 @@ from memloom.session import cut_lineage
 def with_position(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
     """Add the 0-based position of each row within ``keys``, ordered by ``order``.
 
-    One key may hold most rows, so a window per key would run in one task.  Rows are
-    range-partitioned by key *and* order instead: a key spans as many partitions as it
-    needs, each ranks its own rows, and the counts of the earlier partitions of the key
-    are added.  ``order`` must be unique per key, which also keeps the ranges even.
-    The ranges are drawn by sampling, so they are pinned by a checkpoint before they
-    are used twice.
+    One key may hold most rows, so a window per key would run in one task.  The distinct
+    values of key and order are counted and range-partitioned by both instead: a key spans
+    as many partitions as it needs, each sums its own counts, and the sums of the earlier
+    partitions of the key are added.  Rows themselves move once, to meet their position;
+    rows of equal order get consecutive ones.  The ranges are drawn by sampling, so these
+    narrow rows are pinned by a checkpoint before they are used twice.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    within = Window.partitionBy(*keys, "_range").orderBy(*order)
-    ranked = ranged.withColumn("_rank", F.row_number().over(within) - 1)
-    same_key = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    by = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] + [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    tagged = df.select("*", *by)
+    names = tagged.columns[len(df.columns):]
+    groups = [n for n in names if n.startswith("_k")]
+    counted = tagged.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(counted.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*groups, "_range").agg(F.sum("_n").alias("_all"))
+    offsets = totals.select(
+        *[F.col(g).alias(f"_t{g}") for g in groups], F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*groups, "_range").orderBy(*[n for n in names if n not in groups])
+    summed = ranged.withColumn("_before", F.coalesce(
+        F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     on = F.col("_range") == F.col("_r")
-    for cond in same_key:
-        on = on & cond
-    joined = ranked.join(offsets, on, "left")
-    return joined.select(
-        *df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name)
-    )
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_t{g}"))
+    placed = summed.join(offsets, on).select(
+        *[F.col(n).alias(f"_p{n}") for n in names], (F.col("_offset") + F.col("_before")).alias("_start"), "_n")
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"_p{n}"))
+    joined = tagged.join(placed, on)
+    # equal rows: the join has brought them together
+    again = Window.partitionBy(*[f"_p{n}" for n in names]).orderBy(F.lit(0))
+    pos = F.col("_start") + F.when(F.col("_n") > 1, F.row_number().over(again) - 1).otherwise(0)
+    return joined.select(*df.columns, pos.cast("bigint").alias(name))
 
 
 def with_order(records: DataFrame, tie: list[Column] | None = None) -> DataFrame:

@@ -219,6 +219,22 @@ def validate_links(
 # --- raw lines ---------------------------------------------------------------
 
 _REQUIRED = ("id", "agent_id", "content", "memory_type", "status", "namespace")
+# fixed values: the types fields are written in, as patterns of type names
+_TEXT, _NUMBER, _WHOLE, _OBJECT = r"\ASTRING\z", r"\A(BIGINT|DOUBLE|DECIMAL.*)\z", r"\A(BIGINT|DECIMAL\(\d+,0\))\z", r"\AOBJECT<"
+_TEXTS, _NUMBERS, _OBJECTS = r"\AARRAY<(STRING|VOID)>\z", r"\AARRAY<(BIGINT|DOUBLE|DECIMAL.*|VOID)>\z", r"\AARRAY<(OBJECT<.*|VOID)>\z"
+_KINDS = {
+    **{name: _TEXT for name in ("id", "agent_id", "content", "memory_type", "status", "namespace", "category", "supersedes")},
+    **{f"source.{name}": _TEXT for name in (
+        "runtime", "runtime_version", "origin", "origin_file", "extraction_method", "session_id", "interaction_id")},
+    "source.identity_version": _WHOLE, "temporal.access_count": _WHOLE,
+    "confidence": _NUMBER, "source": _OBJECT, "temporal": _OBJECT, "tags": _TEXTS,
+    "entities": _OBJECTS, "embeddings": _OBJECTS, "related_records": _OBJECTS,
+}
+_ITEM_KINDS = {
+    "entities": {"name": _TEXT, "type": _TEXT},
+    "embeddings": {"model": _TEXT, "vector": _NUMBERS, "source": _TEXT},
+    "related_records": {"relation": _TEXT},
+}
 _IDS = ("id", "agent_id", "supersedes")
 _TIMES = (
     "created_at", "updated_at", "observed_at", "valid_from", "valid_until", "last_accessed_at",
@@ -245,6 +261,28 @@ def validate_lines(lines: DataFrame) -> DataFrame:
             out.append(F.struct(F.lit(f".{name}").alias("name"), text.alias("text")))
         return F.array(*out)
 
+    def kind(x: Column) -> Column:
+        """Type name of a value; null for an absent one, VOID for a JSON null."""
+        return F.when(x.isNotNull(), F.schema_of_variant(x))
+
+    def kinds(fields: dict[str, str]) -> Column:
+        """(name, kind, wanted) of each field."""
+        out = []
+        for name, wanted in fields.items():
+            key, _, rest = name.partition(".")
+            value = F.try_variant_get(v(key), f"$.{rest}", "variant") if rest else v(key)
+            out.append(F.struct(F.lit(f".{name}").alias("name"), kind(value).alias("kind"), F.lit(wanted).alias("wanted")))
+        return F.array(*out)
+
+    def parts(field: str, wanted: dict[str, str]) -> Column:
+        """(name, kind, wanted) of the required fields of each item of a list."""
+        items = F.try_variant_get(v(field), "$", "array<variant>")
+        return F.flatten(F.transform(items, lambda x, i: F.array(*[
+            F.struct(F.concat(F.lit(f".{field}["), i.cast("string"), F.lit(f"].{name}")).alias("name"),
+                     F.coalesce(kind(F.try_variant_get(x, f"$.{name}", "variant")), F.lit("VOID")).alias("kind"),
+                     F.lit(w).alias("wanted"))
+            for name, w in wanted.items()])))
+
     times = [f"temporal.{t}" for t in _TIMES]
     parsed = lines.select(*keep, json_map(F.col("line")).alias("_m"))
     read = parsed.select(
@@ -255,6 +293,8 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         texts(list(_IDS)).alias("_ids"),
         texts(times).alias("_times"),
         texts(["source.identity_version", "temporal.access_count"]).alias("_numbers"),
+        kinds(_KINDS).alias("_kinds"),
+        F.concat(*[F.coalesce(parts(field, wanted), F.array()) for field, wanted in _ITEM_KINDS.items()]).alias("_parts"),
         F.try_variant_get(v("related_records"), "$", "array<struct<id:string>>").alias("_links"),
         F.try_variant_get(
             v("embeddings"), "$", "array<struct<computed_at:string,dimensions:string>>"
@@ -266,15 +306,22 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         lambda x, i: _s(at, f".{items}[", i, f"].{field}")
     )
     bad = lambda test: F.coalesce(~test, F.lit(True))
-    is_whole = lambda c: c.rlike(r"\A[0-9]+\z")
+    upto = lambda bits: F.lit(str(2**bits - 1)).cast("decimal(20,0)")
+    most = lambda c: F.when(c.endswith("access_count"), upto(64)).otherwise(upto(32))
+    is_whole = lambda c, top: c.rlike(r"\A[0-9]{1,20}\z") & (c.try_cast("decimal(20,0)") <= top)
     no_uuid = lambda c: _s("not a UUID: '", c, "'")
     no_time = lambda c: _s("not an RFC 3339 instant: '", c, "'")
     no_number = lambda c: _s("not a whole number from 0: ", c)
+    wrong_kind = lambda c: _s("not of the field's type: ", c)
     known = ~F.col("_broken")
     rules = [
         check(F.col("_broken"), E, "P1", at, F.lit("not a JSON object")),
         check_each(F.col("_required"), lambda x, i: known & x["text"].isNull(), E, "P2", here,
                    lambda x, i: F.lit("required field missing")),
+        check_each(F.col("_kinds"), lambda x, i: (x["kind"] != "VOID") & ~F.rlike(x["kind"], x["wanted"]), E, "P2", here,
+                   lambda x, i: wrong_kind(x["kind"])),
+        check_each(F.col("_parts"), lambda x, i: ~F.rlike(x["kind"], x["wanted"]), E, "P2", here,
+                   lambda x, i: wrong_kind(x["kind"])),
         check_each(F.col("_ids"), lambda x, i: ~is_uuid(x["text"]), E, "P3", here,
                    lambda x, i: no_uuid(x["text"])),
         check_each(F.col("_links"), lambda x, i: bad(is_uuid(x["id"])), E, "P3",
@@ -283,9 +330,9 @@ def validate_lines(lines: DataFrame) -> DataFrame:
                    lambda x, i: no_time(x["text"])),
         check_each(F.col("_vectors"), lambda x, i: bad(is_rfc3339(x["computed_at"])), E, "P4",
                    within("embeddings", "computed_at"), lambda x, i: no_time(x["computed_at"])),
-        check_each(F.col("_numbers"), lambda x, i: ~is_whole(x["text"]), E, "P5", here,
+        check_each(F.col("_numbers"), lambda x, i: ~is_whole(x["text"], most(x["name"])), E, "P5", here,
                    lambda x, i: no_number(x["text"])),
-        check_each(F.col("_vectors"), lambda x, i: bad(is_whole(x["dimensions"])), E, "P5",
+        check_each(F.col("_vectors"), lambda x, i: bad(is_whole(x["dimensions"], upto(32))), E, "P5",
                    within("embeddings", "dimensions"), lambda x, i: no_number(x["dimensions"])),
     ]
     return _emit(read, rules, keep)

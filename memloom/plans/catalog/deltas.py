@@ -114,3 +114,26 @@ FROM old FULL JOIN new USING (agent_id, k) WHERE old.c IS DISTINCT FROM new.c"""
 def record_set_diff(spark, sf_dir):
     """Ids that differ between two record sets."""
     return D.diff_records(*v.old_and_new(spark, sf_dir)).select("agent_id", "id", "difference")
+
+
+@query(_STATES + """SELECT agent_id, 'o' || k AS id, c AS content, CASE WHEN d.operation = 'create' THEN 1 ELSE 0 END AS delta
+FROM new LEFT JOIN (SELECT agent_id, k, operation FROM d WHERE operation <> 'delete') AS d USING (agent_id, k)""")
+def sync_round_trip(spark, sf_dir):
+    """Compute a delta, number it, write and read it, apply it, write and read the snapshot
+    (X1, X4, X5, S6, S7)."""
+    import uuid
+
+    from memloom.session import shared_dir
+    from memloom.sources import sinks
+
+    work = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}"
+    old, new = v.old_and_new(spark, sf_dir)
+    marks = lambda df: df.select("agent_id").distinct().withColumn("last_sequence", F.lit(0))
+    sinks.write_snapshot(sinks.Snapshot(v.whole_records(old), marks(old)), f"{work}/base", buckets=2)
+    base = sinks.read_snapshot_tables(spark, f"{work}/base")
+    entries = D.number_deltas(D.compute_delta(base.records, v.whole_records(new)), marks(old))
+    sinks.write_deltas(entries, entries.select("agent_id", "delta_seq", "base_sequence").distinct(), f"{work}/deltas", "p1", buckets=2)
+    stored, _ = sinks.read_delta_tables(spark, f"{work}/deltas")
+    sinks.write_snapshot(sinks.Snapshot(D.apply_deltas(base.records, stored), base.manifests), f"{work}/next", buckets=2)
+    out = sinks.read_snapshot_tables(spark, f"{work}/next").records
+    return out.select("agent_id", "id", "content", F.col("ord.delta").cast("int").alias("delta"))

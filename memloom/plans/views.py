@@ -99,6 +99,12 @@ def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return recs.where(n % 10 != 0), recs.where(n % 7 != 0).withColumn("content", changed)
 
 
+def whole_records(df: DataFrame) -> DataFrame:
+    """Records with every column of the format, null where ``df`` has none."""
+    return df.select("ord", *[
+        (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in RECORD_FIELDS.items()])
+
+
 def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A base of order records and three deltas over them.
 

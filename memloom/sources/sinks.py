@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.json_records import record_json
+from memloom.functions.json_records import opened, record_json, records_of_maps
 from memloom.functions.quarters import quarter_label
 from memloom.schemas import ORD, RECORD_FIELDS
 
@@ -67,7 +67,12 @@ def write_records(records: DataFrame, path: str, layout: str = "fleet", buckets:
 
 
 def write_snapshot(snapshot: Snapshot, path: str, layout: str = "fleet", buckets: int = BUCKETS) -> None:
-    """Write every table of a snapshot; manifests go last and mark it complete."""
+    """Write every table of a snapshot; manifests go last and mark it complete.
+
+    Manifests of an earlier snapshot at ``path`` go first, so a job that dies in between
+    leaves no complete snapshot rather than a mixed one.
+    """
+    _remove(snapshot.records.sparkSession, f"{path}/manifests")
     write_records(snapshot.records, f"{path}/records", layout, buckets)
     tables = snapshot.tables()
     for name, df in tables.items():
@@ -77,6 +82,48 @@ def write_snapshot(snapshot: Snapshot, path: str, layout: str = "fleet", buckets
         snapshot.manifests.write.mode("overwrite").parquet(f"{path}/manifests")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
+def read_snapshot_tables(spark: SparkSession, path: str) -> Snapshot:
+    """The tables that :func:`write_snapshot` wrote in the ``fleet`` layout."""
+    system, place = _place(spark, f"{path}/manifests")
+    if not system.exists(place):
+        raise ValueError(f"no complete snapshot at {path}: it has no manifests")
+    tables = {}
+    for name in Snapshot.__dataclass_fields__:
+        system, place = _place(spark, f"{path}/{name}")
+        if system.exists(place):
+            tables[name] = spark.read.parquet(f"{path}/{name}")
+    tables["records"] = tables["records"].drop("quarter", "bucket")
+    return Snapshot(**tables)
+
+
+def read_delta_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and manifests of all pushes that :func:`write_deltas` wrote below ``path``.
+
+    Entries have ``delta_seq``, ``pos``, ``operation`` and the columns of the record.  A
+    push without manifests was not finished and is left out.
+    """
+    push = F.regexp_extract(F.col("_metadata.file_path"), r"/push=([^/]*)/(?:entries|manifests)/", 1)
+    marks = spark.read.parquet(f"{path}/push=*/manifests").withColumn("push", push)
+    lines = spark.read.parquet(f"{path}/push=*/entries").withColumn("push", push)
+    lines = lines.join(marks.select("push").distinct(), "push", "left_semi")
+    keep = ["delta_seq", "pos", "operation"]
+    maps = lines.select("delta_seq", "pos", opened(F.col("value")).alias("_m"))
+    operation = F.try_variant_get(F.try_element_at("_m", F.lit("operation")), "$", "string")
+    body = F.map_filter("_m", lambda k, _: k != "operation")
+    rows = maps.select("delta_seq", "pos", operation.alias("operation"), body.alias("_b"))
+    return records_of_maps(rows, "_b", keep), marks.drop("push")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of the ``fleet`` layout; filters on quarter and bucket prune directories."""
     return spark.read.parquet(path)
@@ -92,13 +139,15 @@ def delta_lines(deltas: DataFrame) -> DataFrame:
     return deltas.withColumn("value", F.concat(head, F.lit(","), F.substr(line, F.lit(2))))
 
 
-def write_deltas(deltas: DataFrame, delta_manifests: DataFrame, path: str, push: str) -> None:
+def write_deltas(
+    deltas: DataFrame, delta_manifests: DataFrame, path: str, push: str, buckets: int = BUCKETS
+) -> None:
     """Write the deltas of one push (S7): entries first, manifests last.
 
     A push that is run again replaces itself and nothing else.
     """
     place = F.struct(F.col("delta_seq").cast("bigint").alias("delta"), F.col("pos").alias("pos")).cast(ORD)
-    rows = with_bucket(delta_lines(deltas)).withColumn("_place", place)
+    rows = with_bucket(delta_lines(deltas), buckets).withColumn("_place", place)
     rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "agent_id", "_place")
     rows.select("agent_id", "delta_seq", "pos", "value", "bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "static"

@@ -352,3 +352,24 @@ def test_import_takes_the_persona_of_a_read_snapshot(spark, tmp_path):
     base = rebuild.read_snapshot(spark, str(tmp_path))
     files = {r.path: bytes(r.data).decode() for r in export.import_files(base, "openclaw").collect()}
     assert files["SOUL.md"] == "I am."
+
+
+def test_wrong_types_are_findings(spark):
+    whole = rec(1, confidence=0.5, tags=["a"], entities=[{"name": "n", "type": "t"}], related_records=[{"id": str(uuid.UUID(int=3)), "relation": "r"}],
+                embeddings=[{"model": "m", "dimensions": 1, "vector": [1], "source": "s", "computed_at": "2026-01-05T00:00:00Z"}])
+    cases = [
+        (whole, set()), ({**whole, "confidence": None, "tags": [], "entities": []}, set()),
+        ({**whole, "confidence": "high"}, {"p:3.confidence"}), ({**whole, "tags": "x"}, {"p:4.tags"}),
+        ({**whole, "entities": {"name": "n"}}, {"p:5.entities"}), ({**whole, "content": 5}, {"p:6.content"}),
+        ({**whole, "entities": [{"name": "n"}, {"name": 1, "type": "t"}]}, {"p:7.entities[0].type", "p:7.entities[1].name"}),
+        ({**whole, "embeddings": [{**whole["embeddings"][0], "vector": ["x"], "model": None}]},
+         {"p:8.embeddings[0].vector", "p:8.embeddings[0].model"}),
+        ({**whole, "embeddings": [{**whole["embeddings"][0], "dimensions": 2**32}]}, {"p:9.embeddings[0].dimensions"}),
+        ({**whole, "related_records": [{"id": str(uuid.UUID(int=3))}]}, {"p:10.related_records[0].relation"}),
+        ({**whole, "temporal": {**whole["temporal"], "access_count": 2**63}}, set()),
+        ({**whole, "source": "r"}, {"p:12.source", "p:12.source.runtime"}),
+    ]
+    lines = spark.createDataFrame([("p", i + 1, json.dumps(c)) for i, (c, _) in enumerate(cases)],
+                                  "partition string, line_number long, line string")
+    found = {r.path for r in V.validate_lines(lines).collect()}
+    assert found == set().union(*(e for _, e in cases))

@@ -165,3 +165,30 @@ def test_diff_records(spark):
     a = base_df(spark, {"a": [("1", "x"), ("2", "q"), ("4", "z")]})
     got = {r.id: r.difference for r in D.diff_records(e, a).collect()}
     assert got == {"2": "content mismatch", "3": "missing", "4": "unexpected"}
+
+
+def test_digests_tell_fields_apart_and_move_few_records(spark):
+    row = "select 'a' agent_id, '{0}' id, named_struct('delta',0L,'pos',{0}L) ord, {1} x, {2} y, 'body {0}' content"
+    old = spark.sql(" union all ".join([row.format(1, "'v'", "null"), row.format(2, "'v'", "'w'")]))
+    new = spark.sql(" union all ".join([row.format(1, "null", "'v'"), row.format(2, "'v'", "'w'")]))
+    found = D.compute_delta(old, new)
+    assert [(r.operation, r.id) for r in found.collect()] == [("update", "1")]
+    plan = D.compute_delta(base_df(spark, {"a": [("1", "x")]}), base_df(spark, {"a": [("1", "x")]}))
+    text = plan._jdf.queryExecution().sparkPlan().toString()
+    # contents stand in no aggregate: records are only looked up for keys that changed
+    assert "max_by(content" not in text and "SortAggregate" not in text.split("content#")[0]
+
+
+def test_numbered_deltas_have_dense_positions(spark):
+    old = {f"a{a}": [(str(i), "x") for i in range(5)] for a in range(3)}
+    new = {f"a{a}": [(str(i), "y") for i in range(2, 8)] for a in range(3)}
+    seqs = spark.createDataFrame([("a0", 7)], "agent_id string, last_sequence bigint")
+    o, n = base_df(spark, old), base_df(spark, new)
+    d = D.number_deltas(D.compute_delta(o, n), seqs)
+    rows = d.collect()
+    for a in old:
+        mine = sorted((r.pos, r.operation) for r in rows if r.agent_id == a)
+        assert [p for p, _ in mine] == list(range(8))
+        assert [op for _, op in mine] == ["create"] * 3 + ["update"] * 3 + ["delete"] * 2
+    assert {r.delta_seq for r in rows if r.agent_id == "a0"} == {8} and {r.delta_seq for r in rows if r.agent_id == "a1"} == {1}
+    assert D.diff_records(n, D.apply_deltas(o, d)).count() == 0
