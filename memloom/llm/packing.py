@@ -130,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
     pieces = stored(pieces, "pieces")
 
     alone = pieces.where(F.col("length") == window).select(
-        "piece", (-1 - F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        "piece", (2 * F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < window).select("piece", "length")
     tokens = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (window * group_windows)))
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
         base = np.repeat((ends - lengths[order])[first], np.diff(np.r_[first, len(order)]))
         return pd.DataFrame({
             "piece": group["piece"].to_numpy()[order],
-            "sequence_id": (int(key[0]) << 32) + at[order],
+            "sequence_id": 2 * ((int(key[0]) << 32) + at[order]),
             "offset": ends - lengths[order] - base,
         })
 
