@@ -20,6 +20,7 @@ HEADLINE = (
     "record_uuid5",
     "record_order",
     "delta_compute",
+    "delta_of_few_changes",
     "delta_chain",
     "snapshot_rebuild",
     "record_set_diff",

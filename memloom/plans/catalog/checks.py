@@ -177,3 +177,23 @@ def missing_entries(spark, sf_dir):
     full = v.table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("o_orderkey"))
     present = named.join(full, "o_orderkey", "left_semi")
     return V.missing_entries(named.select("archive", "entry"), present).select("archive", "path", "rule")
+
+
+@query(" UNION ALL ".join([
+    _p("P2", ".confidence", "event_id % 7 = 0"), _p("P2", ".tags", "event_id % 7 = 1"), _p("P2", ".content", "event_id % 7 = 2"),
+    _p("P2", ".entities[1].type", "event_id % 7 = 3"), _p("P2", ".related_records", "event_id % 7 = 4"),
+    _p("P3", ".agent_id", "true")]))
+def record_type_findings(spark, sf_dir):
+    """Fields of the wrong type, also inside lists."""
+    k = F.col("ord.pos") % 7
+    e = v.event_records(spark, sf_dir).withColumn("confidence", F.lit(0.5)).withColumn("tags", F.lit(None).cast("array<string>"))
+    line = F.regexp_replace(record_json(F.struct(*[c for c in e.columns if c != "ord"])), r'"confidence":0\.5,?', "")
+    put = lambda text: F.regexp_replace(line, r"\A\{", F.lit("{" + text + ","))
+    bad = (
+        F.when(k == 0, put('"confidence":"high"')).when(k == 1, put('"tags":"x"'))
+        .when(k == 2, F.regexp_replace(line, '"content":"[a-z]*"', '"content":5'))
+        .when(k == 3, put('"entities":[{"name":"a","type":"t"},{"name":"b"}]'))
+        .when(k == 4, put('"related_records":{"id":"x"}')).otherwise(line)
+    )
+    lines = e.select(F.lit("p").alias("partition"), F.col("ord.pos").alias("line_number"), bad.alias("line"))
+    return V.validate_lines(lines).select("line_number", "rule", "path")

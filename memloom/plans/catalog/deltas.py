@@ -25,6 +25,17 @@ def delta_compute(spark, sf_dir):
     return found.select("operation", "agent_id", "id", F.col("ord.pos").alias("pos"), "content", "op_rank")
 
 
+@query(f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS agent_id, o_orderkey AS k, {CENTS} AS c FROM orders)
+SELECT agent_id, 'o' || k AS id, CASE k % 80 WHEN 0 THEN 'update' WHEN 40 THEN 'update' WHEN 1 THEN 'delete' ELSE 'create' END AS operation,
+  CASE WHEN k % 40 = 0 THEN c || '+' ELSE c END AS content FROM o WHERE k % 80 IN (0, 40, 1, 2)""")
+def delta_of_few_changes(spark, sf_dir):
+    """Two states that differ in one record of twenty."""
+    recs = v.order_records(spark, sf_dir)
+    n = F.col("ord.pos") % 80
+    new = recs.where(n != 1).withColumn("content", F.when(n % 40 == 0, F.concat("content", F.lit("+"))).otherwise(F.col("content")))
+    return D.compute_delta(recs.where(n != 2), new).select("agent_id", "id", "operation", "content")
+
+
 @query(_STATES + """SELECT agent_id, count(*) FILTER (operation = 'create') AS creates,
   count(*) FILTER (operation = 'update') AS updates, count(*) FILTER (operation = 'delete') AS deletes
 FROM d GROUP BY agent_id""")
