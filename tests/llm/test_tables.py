@@ -146,6 +146,30 @@ def test_sequences_hold_the_ids(spark):
     assert len({r["sequence_id"] for r in rows}) == len(rows)
 
 
+def test_pipeline_against_plain_steps(spark):
+    from test_search import brute_components, brute_fingerprint
+
+    from memloom.llm import language, quality
+    docs = {r["doc_id"]: r["text"] for r in documents(spark, SMALL).collect()}
+    known = language.predict_languages(documents(spark, SMALL), language.learn(language.label_rows(documents(spark, SMALL))))
+    ids = [r[0] for r in known.where("lang_pred <> 'und'").where(known["score"] >= queries.LANGUAGE_FLOOR).select("doc_id").collect()]
+    left = documents(spark, SMALL).where(f"doc_id IN ({','.join(map(str, ids))})")
+    good = quality.score_quality(left, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    ids = sorted(r[0] for r in good.where(good["score"] >= queries.QUALITY_FLOOR).select("doc_id").collect())
+    groups = brute_components(np.array([brute_fingerprint(docs[i]) for i in ids], np.uint64), 4)
+    ids = [i for n, i in enumerate(ids) if groups[n] == n]
+
+    def shingles(text, k=5):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i: i + k]) for i in range(len(words) - k + 1)}
+
+    items = [shingles(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    ids = [i for i in ids if not any(len(s & shingles(docs[i])) >= 0.8 * len(s) for s in items if s)]
+    found = corpus_pipeline.run(spark, SMALL).toPandas()
+    assert set(found["doc_id"]) == set(ids) and len(ids) < len(docs)
+    packed_exactly([{"doc_id": i, "text": docs[i]} for i in ids], found, 2048, queries.byte_vocabulary())
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = documents(spark, MEDIUM)
     seen = {}
