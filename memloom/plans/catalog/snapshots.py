@@ -144,7 +144,6 @@ def manifest_build(spark, sf_dir):
         F.col("o_custkey").cast("string").alias("agent_id"), (F.col("o_orderkey") % 20).alias("base_sequence"),
         F.lit(0).alias("new_sequence"))
     m = snap.build_manifest(agents, layers, v.ts(v.AS_OF), snap.highest_sequence(none, deltas))
-    m = m.where(F.col("agent").isNotNull())
     return m.select(
         "agent_id", "alf_version", "created_at", F.col("agent.name").alias("name"),
         F.array_join("raw_sources", ",").alias("raw_sources"), F.col("checksum").isNull().alias("no_checksum"),

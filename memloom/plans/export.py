@@ -42,9 +42,10 @@ def zeroclaw_to_records(
 
 
 register("openclaw", openclaw_to_records,
-         lambda records: migrate.file_parts(records, "openclaw"), "Markdown notes")
+         lambda records: migrate.assemble_files(migrate.file_parts(records, "openclaw")), "Markdown notes")
 register("zeroclaw", zeroclaw_to_records,
-         lambda records: migrate.file_parts(records, "zeroclaw"), "memory table or Markdown notes")
+         lambda records: migrate.assemble_files(migrate.file_parts(records, "zeroclaw")),
+         "memory table or Markdown notes")
 
 
 def export_workspaces(
@@ -96,23 +97,22 @@ def export_workspaces(
 
 
 def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
-    """Workspace files of a snapshot for a runtime: ``agent_id, path, part, data``.
+    """Whole workspace files of a snapshot for a runtime: ``agent_id, path, data``.
 
     Agents whose snapshot carries the runtime's own files get exactly those; the others
     get files rebuilt from their layers and records, and everyone an agent-id file.
-    Files come in parts, to be written in order with a blank line between.
+    Where a file may be too large for one value, :func:`migrate.file_parts` gives its parts.
     """
-    part = lambda c: F.lit(None).cast("struct<delta:bigint,slice:bigint>").alias("part")
     agents = snapshot.manifests.select("agent_id")
     ids = migrate.agent_id_files(agents).select(
-        "agent_id", "path", part(None), F.col("content").cast("binary").alias("data")
+        "agent_id", "path", F.col("content").cast("binary").alias("data")
     )
     restored = migrate.restore_files(snapshot.files, runtime) if snapshot.files is not None else None
     rest = agents
     if restored is not None:
         rest = agents.join(restored.select("agent_id").distinct(), "agent_id", "left_anti")
-    made = migrate.file_parts(snapshot.records, runtime).select(
-        "agent_id", "path", "part", F.col("content").cast("binary").alias("data")
+    made = migrate.assemble_files(migrate.file_parts(snapshot.records, runtime)).select(
+        "agent_id", "path", F.col("content").cast("binary").alias("data")
     )
     identities, principals = snapshot.identities, snapshot.principals
     if snapshot.layer_docs is not None:  # a snapshot that was read has its layers as documents
@@ -128,9 +128,9 @@ def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
             principals = spark.createDataFrame([], f"owner string, pos int, {PRINCIPAL_DDL}")
         persona = migrate.profile_files(identities, principals, runtime)
         made = made.unionByName(persona.select(
-            "agent_id", "path", part(None), F.col("content").cast("binary").alias("data")
+            "agent_id", "path", F.col("content").cast("binary").alias("data")
         ))
     out = ids.unionByName(made.join(rest, "agent_id", "left_semi"))
     if restored is not None:
-        out = out.unionByName(restored.select("agent_id", "path", part(None), "data"))
+        out = out.unionByName(restored.select("agent_id", "path", "data"))
     return out
