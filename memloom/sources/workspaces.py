@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.ids import agent_id
+from memloom.functions.ids import agent_id, is_uuid
 from memloom.functions.settings import redact
+from memloom.functions.text import trim
 from memloom.schemas import AGENT_ID_FILE, MEMORY_ROW_DDL, ROOT_FILES, struct_type
 from memloom.sources.files import list_files, with_content
 
@@ -75,6 +76,14 @@ def with_agent_ids(files: DataFrame, runtime: str) -> DataFrame:
     ).drop("_stored")
 
 
+def broken_agent_ids(files: DataFrame) -> DataFrame:
+    """Findings for stored agent ids that are no UUIDs; such a workspace gets a derived id."""
+    stored = trim(F.col("content"))
+    return files.where((F.col("path") == AGENT_ID_FILE) & ~F.coalesce(is_uuid(stored), F.lit(False))).select(
+        "workspace", F.lit("error").alias("severity"), F.lit("D8").alias("rule"), "path",
+        F.concat(F.lit("no UUID: "), F.coalesce(stored, F.lit(""))).alias("message"))
+
+
 def workspaces(files: DataFrame) -> DataFrame:
     """``agent_id, workspace`` pairs of a file table."""
     return files.select("agent_id", "workspace").distinct()

@@ -373,3 +373,11 @@ def test_wrong_types_are_findings(spark):
                                   "partition string, line_number long, line string")
     found = {r.path for r in V.validate_lines(lines).collect()}
     assert found == set().union(*(e for _, e in cases))
+
+
+def test_a_stored_id_that_is_no_uuid_is_a_finding(spark, tmp_path):
+    for name, text in (("a", AGENT + "\n"), ("b", "agent seven"), ("c", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ".alf-agent-id").write_text(text)
+    found = workspaces.broken_agent_ids(workspaces.scan_workspaces(spark, str(tmp_path))).collect()
+    assert {(r.workspace.rsplit("/", 1)[1], r.message) for r in found} == {("b", "no UUID: agent seven"), ("c", "no UUID: ")}
