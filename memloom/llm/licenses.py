@@ -162,11 +162,11 @@ FAMILIES: list[Family] = [
     eiffel-2.0 | eiffel | eiffel forum licen[sc]e | | efl 2 0
     zpl-2.1 | zope | zope public licen[sc]e | (?:version |v )?v?2 1 | zpl 2 1
     zpl | zope | zope public licen[sc]e
-    naist | naist | nara institute of science and technology licen[sc]e | | naist 2003
+    naist | nara institute | nara institute of science and technology licen[sc]e | | naist 2003
     etalab-2.0 | etalab | etalab open licen[sc]e | (?:version |v )?v?2(?: 0)? | etalab 2 0
     ogl-uk-3.0 | open government | open government licen[sc]e | (?:version |v )?v?3(?: 0)? | ogl uk 3 0
     ogl-uk | open government | open government licen[sc]e
-    openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
+    openrail | rail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
     llama | llama | llama (?:2 |3 )?community licen[sc]e
     gemma | gemma | gemma terms of use
     cc0-1.0 | cc0 | cc0 | (?:version |v )?v?1 0(?: universal)? | cc0 1 0
@@ -215,14 +215,22 @@ def words_of(text: Column) -> Column:
     return F.regexp_replace(low, GAPS, " ")
 
 
+def _always(pattern: str, part: str) -> bool:
+    """Whether every branch of ``pattern`` holds ``part``."""
+
+    def needed(group: re.Match) -> str:
+        return part if not group[2] and all(part in branch for branch in group[1].split("|")) else " "
+
+    before = ""
+    while before != pattern:  # innermost groups first
+        before, pattern = pattern, re.sub(r"\(\?:([^()]*)\)(\?)?", needed, pattern)
+    return part in pattern
+
+
 def anchors(table: list[Rule]) -> list[str]:
-    """Words of which every text with a match has one: the one all names share if the
-    pattern cannot do without it, or else the longest of the keyword."""
-    out = set()
-    for r in table:
-        needed = re.sub(r"\(\?:[^()]*\)\?", "", r.pattern)
-        out.add("licen" if "licen" in needed else max(r.keyword.split(" "), key=len))
-    return sorted(out)
+    """Words of which every text with a match has one: the one all names share if every
+    branch of the pattern holds it, or else the longest of the keyword."""
+    return sorted({"licen" if _always(r.pattern, "licen") else max(r.keyword.split(" "), key=len) for r in table})
 
 
 def likely(text: Column, table: list[Rule]) -> Column:
