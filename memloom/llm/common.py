@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,6 +130,27 @@ def word_spans(column: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, *spans(kind[data], offsets)
 
 
+def coded_words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct runs of bytes ``inside``, and the place there and the row of every run."""
+    starts, ends, rows = spans(inside, offsets)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    runs = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    coded = runs.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), rows
+
+
+def best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each ``by`` in ``order``, with their ``rank`` from 1.
+
+    First among those of one of 64 lots of partitions, then among what is left of these.
+    """
+    lot = rows.withColumn("_lot", F.pmod(F.spark_partition_id(), F.lit(64)))
+    nth = F.row_number().over(Window.partitionBy(by, "_lot").orderBy(*order))
+    few = lot.withColumn("rank", nth).where(F.col("rank") <= k).drop("_lot", "rank")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+
 @functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import decontam, language, licenses, packing, perplexity, quality, sharding, simhash, tokens, toxicity
+from memloom.llm import (decontam, language, lexical, licenses, maxscore, packing, perplexity, quality, sharding, simhash,
+                         spelling, tokens, toxicity)
 from memloom.llm.common import documents, held_out
-from memloom.session import shared_dir
+from memloom.session import configure, shared_dir
 
 #: The sequence length and the end id of the packing query and the pipeline.
 WINDOW, END_ID = 2048, 1
@@ -78,6 +79,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(documents(spark, sf_dir))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    vectors = maxscore.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return maxscore.top_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def packed_rows(packed: packing.Packed) -> DataFrame:
     """Where each piece went, with a digest of its ids."""
     pieces = packed.pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -86,5 +102,7 @@ def packed_rows(packed: packing.Packed) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_simhash, op4_benchmark_leaks, op5_token_counts,
-                                   op6_byte_shards, op7_licenses, op8_toxicity, op9_packing, op10_quality_rules)}
-ORACLE: dict[str, str] = {"op4_benchmark_leaks": decontam.SQL}
+                                   op6_byte_shards, op7_licenses, op8_toxicity, op9_packing, op10_quality_rules,
+                                   op11_spelling, op12_ranked_search, op13_top_products)}
+ORACLE: dict[str, str] = {"op4_benchmark_leaks": decontam.SQL, "op12_ranked_search": lexical.SQL,
+                          "op13_top_products": maxscore.SQL}
