@@ -14,12 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import ALNUM, LOWER, best, blocks, coded_words, stored, text_bytes
+from memloom.llm.common import ALNUM, LOWER, best, blocks, coded_words, spans, stored, text_bytes, widened
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Items of one pass over the index, and their words.
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 2_000_000
 #: Strata of which the bounds are known before the first of them is visited.
@@ -41,8 +40,17 @@ class Index:
     n_terms: int
 
 
-def term_count(text: str | Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number ``n`` of terms of each text; rows without a term are left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            data, offsets = text_bytes(batch.column("text"))
+            n = np.bincount(spans(ALNUM[data], offsets)[2], minlength=batch.num_rows).astype(np.int64)
+            counted = pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "n"])
+            yield counted.filter(pa.array(n > 0))
+
+    return docs.mapInArrow(count, widened(docs.schema, n="long"))
 
 
 def _terms(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -92,11 +100,10 @@ def build_index(docs: DataFrame) -> Index:
     postings, of about 2 MB of text.  Null texts and those without a term are left out,
     null ids and repeated rows stay as they are, an empty table gives an empty index.
     """
-    counted = docs.select("doc_id", "text", term_count("text").alias("n")).where("n > 0")
-    n_docs, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, n_terms = _counted(docs.select("text")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     m = F.expr(f"75 + cast(25 * n as decimal(19,0)) * cast({n_docs} as decimal(19,0)) div cast({max(1, n_terms)} as decimal(20,0))")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = counted.select("doc_id", "text", m.cast("long").alias("m")).hint("rebalance", "m").sortWithinPartitions("m")
+    dealt = _counted(docs.select("doc_id", "text")).select("doc_id", "text", m.cast("long").alias("m")).hint("rebalance", "m").sortWithinPartitions("m")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
