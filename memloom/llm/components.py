@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import stored
+from memloom.llm.common import discard, stored
 
 
 def _star(pairs: DataFrame, keep: str) -> DataFrame:
@@ -23,8 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has columns ``u`` and ``v`` (bigint) in any order, repeats allowed.  A round
     aggregates by node with partial sums and joins back, so a node with a third of all
-    edges is split like any skewed join; each round is written to the shared folder.
-    The rounds end when a round changes nothing.
+    edges is split like any skewed join; each round is written to the shared folder, and
+    the one before it deleted.  The rounds end when a round changes nothing.
     """
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                    .distinct(), "edges")
@@ -39,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "v > u")
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = stored(_star(large, "v <= u"), "edges")
+        before_it, edges = edges, stored(_star(large, "v <= u"), "edges")
+        discard(before_it)
         now = mark(edges)
         if now == before:
             break

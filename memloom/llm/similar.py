@@ -1,6 +1,7 @@
 """Groups of texts whose word shingles have a Jaccard similarity over a bound, found without loss.
 
-Shingles are put in one order for all texts.  Two texts of which ``similarity`` of all
+Fingerprints are linked first, by the index of ``simhash``; links that the shingles confirm
+stay.  For the rest shingles are put in one order for all texts.  Two texts of which ``similarity`` of all
 shingles are common have one in common among the first few of each (the prefix filter), so
 texts meet by those, and every pair that meets is checked by its shingles.
 """
@@ -12,13 +13,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import PLAIN, aside, blocks, chain_hash, lookup, mix, restored, span_hash, stored, widened, word_spans
+from memloom.llm import simhash
+from memloom.llm.common import (PLAIN, aside, blocks, chain_hash, discard, lookup, mix, restored, span_hash, stored, widened,
+                                word_spans)
 from memloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits by which linked fingerprints may differ; what lies further apart meets by shingles.
+DISTANCE = 4
 #: Texts looked at for shingles that many texts share, and how many of those are told
 #: apart.  Both only say what is put last in the order; any order gives the same groups.
 SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
@@ -52,16 +57,28 @@ def _hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``copy``: 64 bits of a digest of the words, white space and case aside."""
+    """``docs`` with a column ``copy``, equal for texts with equal words, white space and case aside.
+
+    It is half of a digest of 128 bits, and the other half where two texts share the first.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            ids = b"".join(blake2b(b" ".join((t or "").encode().lower().split()), digest_size=8).digest()
+            ids = b"".join(blake2b(b" ".join((t or "").encode().lower().split()), digest_size=16).digest()
                            for t in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.frombuffer(ids, np.int64))],
-                                             names=[*batch.schema.names, "copy"])
+            halves = np.frombuffer(ids, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                                             names=[*batch.schema.names, "copy", "more"])
 
-    return docs.mapInArrow(add, widened(docs.schema, copy="long"))
+    rows = stored(docs.mapInArrow(add, widened(docs.schema, copy="long", more="long")), "rows")
+    clash = rows.groupBy("copy").agg(F.min("more").alias("a"), F.max("more").alias("b")).where("a <> b")
+    clash = clash.select("copy", F.lit(True).alias("clash"))
+    if clash.limit(1).count():
+        told = stored(rows.join(clash, "copy", "left").withColumn("copy", F.when(F.col("clash"), F.col("more")).otherwise(F.col("copy")))
+                      .select(*rows.columns), "rows")
+        discard(rows)
+        rows = told
+    return rows.drop("more")
 
 
 def common_shingles(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +126,16 @@ def prefixes(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
 
 
 def meeting(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose key another copy has, too, each once and with the ``least`` copy of its key.
+    """The rows of ``keys`` whose key another copy has, too, each once and with the ``least`` copy of
+    its key, its place and number of shingles.
 
     Narrow rows are sorted by key and read in a stream; a text has many keys, so one key
     has a small share of them.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = least = copy = None
+        key = copy = None
+        low = np.zeros((3, 1), np.int64)  # copy, place and number of the least copy of ``key``
         first: tuple | None = None  # the row of the least copy, until another one comes
         for batch in batches:
             if not batch.num_rows:
@@ -133,82 +152,133 @@ def meeting(keys: DataFrame) -> DataFrame:
                 continue
             run = np.cumsum(begin)  # 0: goes on from the batch before
             starts = np.flatnonzero(begin)
-            low = np.r_[np.int64(least if least is not None else 0), c[starts]][run]
+            lows = np.concatenate([low, np.stack([c[starts], p[starts], n[starts]]).astype(np.int64)], axis=1)[:, run]
             size = np.bincount(run, minlength=len(starts) + 1)
             keep = (size[run] > 1) | (run == 0)
-            alone = bool(begin[-1])
-            first = (k[-1], c[-1], p[-1], n[-1]) if alone else None
-            key, copy, least = k[-1], c[-1], low[-1]
-            yield pa.RecordBatch.from_pydict({"key": k[keep], "copy": c[keep], "place": p[keep], "n": n[keep], "least": low[keep]})
+            first = (k[-1], c[-1], p[-1], n[-1]) if begin[-1] else None
+            key, copy, low = k[-1], c[-1], lows[:, -1:]
+            yield pa.RecordBatch.from_pydict({
+                "key": k[keep], "copy": c[keep], "place": p[keep], "n": n[keep], "least": lows[0][keep],
+                "least_place": lows[1][keep].astype(np.int32), "least_n": lows[2][keep].astype(np.int32)})
 
     return keys.repartition("key").sortWithinPartitions("key", "copy").select("key", "copy", "place", "n").mapInArrow(
-        each, "key long, copy long, place int, n int, least long")
+        each, "key long, copy long, place int, n int, least long, least_place int, least_n int")
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A table of numbers, to be sent to every task if it has ``FEW`` rows or less."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``pairs`` (``u``, ``v``) of copies whose texts have ``similarity`` or more, by their shingles themselves."""
+    """The ``pairs`` (``u``, ``v``) of copies whose texts have ``similarity`` or more, by their shingles themselves.
+
+    Only texts of copies in ``pairs`` are read on; one of them is joined at a time, and what
+    was written for that is deleted at the end.
+    """
     pairs = stored(pairs, "pairs")
-    nodes = stored(pairs.select(F.col("u").alias("copy")).union(pairs.select("v")).distinct(), "nodes")
-    few = F.broadcast(nodes) if nodes.count() <= FEW else nodes
-    texts = stored(rows.select("copy", "text").join(few, "copy", "left_semi")
-                   .groupBy("copy").agg(F.first("text").alias("text")), "texts")
+    nodes = pairs.select(F.col("u").alias("copy")).union(pairs.select("v")).distinct()
+    once = rows.groupBy("copy").agg(F.min("row_no").alias("row_no")).join(nodes, "copy", "left_semi")
+    once = stored(once.select("row_no"), "once")
+    texts = stored(rows.join(_few(once), "row_no", "left_semi").select("copy", "text"), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            keep = []
-            for one, other in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist()):
-                one, other = shingles(one, words), shingles(other, words)
-                both = len(one & other)
-                keep.append(both / max(1, len(one) + len(other) - both) >= similarity)
+            keep, last = [], None
+            for u, one, other in zip(*(batch.column(c).to_pylist() for c in ("u", "text", "other"))):
+                if u != last:  # pairs of one text come one after the other
+                    last, held = u, shingles(one, words)
+                other = shingles(other, words)
+                both = len(held & other)
+                keep.append(both / max(1, len(held) + len(other) - both) >= similarity)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = pairs.join(texts.withColumnRenamed("copy", "u"), "u").join(
-        texts.select(F.col("copy").alias("v"), F.col("text").alias("other")), "v")
-    return stored(sides.select("u", "v", "text", "other").mapInArrow(check, "u long, v long"), "verified")
+    sides = _few(pairs).join(texts.select(F.col("copy").alias("v"), F.col("text").alias("other")), "v").join(
+        texts.withColumnRenamed("copy", "u"), "u")
+    out = stored(sides.select("u", "v", "text", "other").mapInArrow(check, "u long, v long"), "verified")
+    discard(pairs, once, texts)
+    return out
+
+
+def fingerprint_pairs(rows: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """Pairs of copies whose SimHash fingerprints a Gray-ordered index links, or which have the same one."""
+    codes = simhash.fingerprints(rows.select("copy", "text"), words).select("copy", "fingerprint").distinct()
+    codes = stored(codes, "codes")
+    least = codes.groupBy("fingerprint").agg(F.min("copy").alias("v"))
+    same = codes.join(least, "fingerprint").where("copy <> v").select(F.col("copy").alias("u"), "v")
+    edges = stored(simhash.near_edges(codes, distance), "near")
+    ends = [least.select(F.col("fingerprint").alias(c), F.col("v").alias(f"{c}_copy")) for c in "uv"]
+    near = edges.join(ends[0], "u").join(ends[1], "v").select(F.col("u_copy").alias("u"), F.col("v_copy").alias("v"))
+    return same.union(near).distinct()
+
+
+def _could(n: str, place: str, other_n: str, other_place: str, similarity: float) -> Column:
+    """Whether two texts may reach ``similarity`` if their first common shingle has these places."""
+    need = (F.col(n) + F.col(other_n)) * (similarity / (1 + similarity)) - 1e-6
+    return F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) >= need
 
 
 def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``u``, ``v`` of ``copy`` that connect all texts of ``similarity`` or more.
 
-    All texts that meet by a shingle are first checked against one of them, which connects
-    a group of near copies by as many links as it has texts.  Then all pairs that meet and
-    are not connected yet are checked, if size and place of the shingle allow enough common
-    ones.
+    First come the pairs that the fingerprint index links; they connect most near copies at a
+    few links a text.  What it leaves apart meets by shingles: each text with one that its
+    shingle has in common, which connects a group by as many links as it has texts; then all
+    pairs that meet and are not connected yet.  A pair is checked only if its sizes and the
+    places of the shingle allow enough common ones.  That holds where the shingle is their
+    first common one, and there every pair meets; so no link is lost.
     """
+    links = verified(fingerprint_pairs(rows, words), rows, words, similarity)
     met = stored(meeting(prefixes(rows, words, similarity)), "met")
-    star = met.where("copy <> least").select(F.col("copy").alias("u"), F.col("least").alias("v")).distinct()
-    first = verified(star, rows, words, similarity)
-    root = components(first)
-    met = met.drop("least").join(root, met["copy"] == root["node"], "left").select(
+    star = met.where(F.col("copy") != F.col("least")).where(_could("n", "place", "least_n", "least_place", similarity))
+    star = _apart(star.select(F.col("least").alias("u"), F.col("copy").alias("v")).distinct(), components(links))
+    links = links.union(verified(star, rows, words, similarity))
+    root = components(links)
+    named = met.select("key", "copy", "place", "n").join(root, met["copy"] == root["node"], "left").select(
         "key", "place", "copy", "n", F.coalesce("root", "copy").alias("root"))
-    met = stored(met, "met-roots")
-    apart = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    met = stored(met.join(apart, "key", "left_semi"), "met-apart")
-    a, b = met.alias("a"), met.alias("b")
-    need = (F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-6
+    named = stored(named, "met-roots")
+    apart = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = stored(named.join(apart, "key", "left_semi"), "met-apart")
+    discard(met, named)
+    a, b = left.alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.copy") > F.col("b.copy"))
-                   & (F.col("a.root") != F.col("b.root"))
-                   & (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need))
+                   & (F.col("a.root") != F.col("b.root")) & _could("a.n", "a.place", "b.n", "b.place", similarity))
     pairs = pairs.select(F.col("a.copy").alias("u"), F.col("b.copy").alias("v")).distinct()
-    return first.union(verified(pairs, rows, words, similarity))
+    last = verified(pairs, rows, words, similarity)
+    discard(left)
+    return links.union(last)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that ``roots`` does not connect."""
+    for c in "uv":
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of ``docs``, with all its columns: the one of smallest id.
 
     A group is what a chain of texts leads to of which each two neighbours share
-    ``similarity`` or more of their distinct shingles of ``words`` words.  Texts without a
-    word are copies of each other.  Rows without an id come after all others; between rows
-    of one id (repeated rows) the first stored one stays.
+    ``similarity`` or more of their distinct shingles of ``words`` words.  Words are what white
+    space parts, A-Z lower-cased; a text of fewer words is one shingle.  Null and empty texts and
+    those of white space are copies of each other.  Rows without an id come after all others;
+    between rows of one id (repeated rows) the first stored one stays.  Texts of any length
+    are compared whole; columns may have any names; an empty table stays empty.
+
+    Pairs that meet by one shingle, are not connected and could still be similar are all
+    checked: many texts of one frame that all stay just under ``similarity`` cost their square.
     """
     numbered = docs.select("doc_id", "text", aside(docs), F.monotonically_increasing_id().alias("row_no"))
-    rows = stored(copies(numbered), "rows")
-    roots = components(similar_edges(rows, words, similarity))
+    rows = copies(numbered)
+    edges = similar_edges(rows, words, similarity)
+    roots = components(edges)
+    discard(edges)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no")
     first = rows.groupBy("copy").agg(F.min(place).alias("first"))
     first = first.join(roots, first["copy"] == roots["node"], "left").select(
         F.coalesce("root", "copy").alias("root"), "first")
     kept = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("row_no"))
     gone = stored(rows.select("row_no").join(kept, "row_no", "left_anti"), "gone")
-    few = F.broadcast(gone) if gone.count() <= FEW else gone
-    return rows.join(few, "row_no", "left_anti").select(*restored(docs.columns))
+    discard(roots)
+    return rows.join(_few(gone), "row_no", "left_anti").select(*restored(docs.columns))

@@ -4,20 +4,21 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import decontam, language, licenses, packing, perplexity, quality, queries, sharding, simhash, tokens, toxicity
+from memloom.llm import decontam, language, licenses, packing, perplexity, quality, queries, sharding, simhash, similar, tokens, toxicity
 from memloom.session import shared_dir
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, fingerprint string, score string, "
-          "digest string, label string, shard string, words string, half string, _row string, given string")
+          "digest string, label string, shard string, words string, half string, _row string, given string, "
+          "copy string, row_no string, root string, key string, more string, n string")
 LONG = "over the long road " * 15_000 + "e" * 30_000
 
 
 def rows():
     texts = [None, "", " \n\t", "42 -- 17!", "the cat sat on the mat and the dog lay by the door", LONG,
              "same text here as there", "same text here as there", "der Hund liegt vor der Tür und schläft im Haus", "𝒳 😀 \u0000 ﬀ"]
-    out = [(i, t, ["en", None, "de"][i % 3], ["a", None][i % 2], [len(t or ""), None][i % 2]) + ("x",) * 9
+    out = [(i, t, ["en", None, "de"][i % 3], ["a", None][i % 2], [len(t or ""), None][i % 2]) + ("x",) * 15
            for i, t in enumerate(texts)]
-    return out + [out[6], out[6], (None, "no id at all", "en", "a", 3) + (None,) * 9, (None, None, None, None, None) + (None,) * 9]
+    return out + [out[6], out[6], (None, "no id at all", "en", "a", 3) + (None,) * 15, (None,) * 20]
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +87,7 @@ def test_filters_keep_rows_as_they_are(docs, empty, labels, items):
     steps = {
         "language": lambda d: language.keep_known(d, model, 0.0),
         "quality": lambda d: quality.keep_good(d, labels, 0.0),
-        "copies": simhash.drop_near_copies,
+        "copies": similar.drop_similar,
         "leaks": lambda d: decontam.drop_leaks(d, items),
     }
     given = {tuple(r) for r in docs.collect()}
@@ -97,7 +98,7 @@ def test_filters_keep_rows_as_they_are(docs, empty, labels, items):
         assert step(empty).count() == 0, name
     assert quality.keep_good(docs, labels, 0.0).count() == docs.count()
     assert sorted(r[0] for r in language.keep_known(docs, model, 0.0).where("doc_id < 4").select("doc_id").collect()) == []
-    left = [r[0] for r in simhash.drop_near_copies(docs).select("doc_id").collect()]
+    left = [r[0] for r in similar.drop_similar(docs).select("doc_id").collect()]
     assert left.count(6) == 1 and 7 not in left and 4 in left
 
 

@@ -97,3 +97,30 @@ def test_stage_on_given_documents(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     kept = {r[0] for r in corpus_pipeline.one_of_each(spark, docs, SF).select("doc_id").collect()}
     assert kept == brute_kept(rows) and len(kept) < len(rows)
+
+
+def test_texts_of_one_half_digest_stay_apart(spark, monkeypatch):
+    class Digest:
+        def __init__(self, data, digest_size):
+            self.data = data
+
+        def digest(self):
+            return b"\0" * 8 + __import__("hashlib").blake2b(self.data, digest_size=8).digest()
+
+    rows = [(1, "one two three"), (2, "four five"), (3, "ONE two  three"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS row_no")
+    monkeypatch.setattr(similar, "blake2b", Digest)
+    found = {r["doc_id"]: r["copy"] for r in similar.copies(docs).collect()}
+    assert found[1] == found[3] and len(set(found.values())) == 3
+
+
+def test_many_texts_just_apart(spark):
+    """One frame with as many own words that no two texts are near, and one copy of each: all are checked, none is lost."""
+    frame = [f"frame{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        words = frame[:48] + [f"own{i}x{j}" for j in range(8)] + frame[48:]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "tail"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    kept = {r[0] for r in similar.drop_similar(docs).select("doc_id").collect()}
+    assert kept == {2 * i for i in range(1500)}

@@ -147,7 +147,7 @@ def test_sequences_hold_the_ids(spark):
 
 
 def test_pipeline_against_plain_steps(spark):
-    from test_search import brute_components, brute_fingerprint
+    from test_similar import brute_kept
 
     from memloom.llm import language, quality
     docs = {r["doc_id"]: r["text"] for r in documents(spark, SMALL).collect()}
@@ -156,8 +156,7 @@ def test_pipeline_against_plain_steps(spark):
     left = documents(spark, SMALL).where(f"doc_id IN ({','.join(map(str, ids))})")
     good = quality.score_quality(left, spark.read.parquet(f"{SMALL}/labels.parquet"))
     ids = sorted(r[0] for r in good.where(good["score"] >= queries.QUALITY_FLOOR).select("doc_id").collect())
-    groups = brute_components(np.array([brute_fingerprint(docs[i]) for i in ids], np.uint64), 4)
-    ids = [i for n, i in enumerate(ids) if groups[n] == n]
+    ids = sorted(brute_kept([(i, docs[i]) for i in ids]))
 
     def shingles(text, k=5):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
