@@ -85,6 +85,14 @@ def partition_inventory(records: DataFrame, as_of: Column, seal: str = "elapsed"
     return named.withColumn("sealed", _sealed(seal, as_of))
 
 
+def quarter_counts(records: DataFrame) -> DataFrame:
+    """Partition file and range, record count and whether any has embeddings, per agent and quarter."""
+    return records.groupBy("agent_id", _quarter(records)).agg(
+        F.count(F.lit(1)).alias("record_count"),
+        F.bool_or(F.coalesce(F.size("embeddings") > 0, F.lit(False))).alias("has_embeddings"),
+    ).select("agent_id", *quarter_info(F.col("_start")), "record_count", "has_embeddings")
+
+
 def memory_inventory(
     records: DataFrame, as_of: Column, seal: str = "elapsed", raw_agents: DataFrame | None = None
 ) -> DataFrame:
@@ -93,10 +101,13 @@ def memory_inventory(
     Records are counted per quarter first, so what is gathered per agent is one row per
     quarter.  ``raw_agents``: the agents (``agent_id``) with raw source files.
     """
-    per_quarter = records.groupBy("agent_id", _quarter(records)).agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.bool_or(F.size("embeddings") > 0).alias("has_embeddings"),
-    ).select("agent_id", *quarter_info(F.col("_start")), "record_count", "has_embeddings")
+    return memory_section(quarter_counts(records), as_of, seal, raw_agents)
+
+
+def memory_section(
+    per_quarter: DataFrame, as_of: Column, seal: str = "elapsed", raw_agents: DataFrame | None = None
+) -> DataFrame:
+    """:func:`memory_inventory` from rows of :func:`quarter_counts`."""
     info = F.struct("file", "from", "to", "record_count", _sealed(seal, as_of).alias("sealed"))
     per_agent = per_quarter.groupBy("agent_id").agg(
         F.sum("record_count").alias("record_count"),

@@ -296,3 +296,55 @@ def snapshot_rebuild(spark, sf_dir):
         "agent_id", F.col("sync.last_sequence").cast("int").alias("last_sequence"),
         F.explode("layers.memory.partitions").alias("p"),
     ).select("agent_id", "p.file", "p.record_count", "p.sealed", "last_sequence")
+
+
+_YEAR = "year(t) = 1995"
+
+
+@query(f"""WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS agent_id, o_orderkey AS k, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS c,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 40 DAY END AS t FROM orders),
+s AS (SELECT agent_id, k, CASE WHEN {_YEAR} AND k % 25 IN (2, 3) THEN c || '+' ELSE c END AS c,
+  CASE WHEN {_YEAR} AND k % 25 = 3 THEN t + INTERVAL 400 DAY ELSE t END AS t FROM b
+  WHERE NOT ({_YEAR} AND k % 25 = 1) AND (k % 10 <> 0 OR ({_YEAR} AND k % 25 = 5))),
+q AS (SELECT *, 'memory/' || year(t) || '-Q' || quarter(t) || '.jsonl' AS file, date_trunc('quarter', t) + INTERVAL 3 MONTH <= TIMESTAMP '1996-03-31' AS sealed FROM s)
+SELECT agent_id, 'o' || k AS id, c AS content, file, count(*) OVER (PARTITION BY agent_id, file) AS record_count, sealed,
+  count(*) OVER (PARTITION BY agent_id) AS agent_records, 1 AS last_sequence, CAST(agent_id AS BIGINT) % 3 + 1 AS identity_version FROM q""")
+def snapshot_update(spark, sf_dir):
+    """A delta of one year folded into a written snapshot, whose other quarters stay as they are."""
+    import uuid
+
+    from memloom.plans.rebuild import update_snapshot
+    from memloom.session import shared_dir
+    from memloom.sources import sinks
+
+    path = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}/snapshot"
+    recs = v.whole_records(v.order_records(spark, sf_dir))
+    n = F.col("ord.pos")
+    agents = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("agent_id"))
+    identities = agents.withColumn("version", (F.col("agent_id").cast("int") % 3 + 1))
+    old = recs.where(n % 10 != 0)
+    layers = snap.layer_inventory(agents, identities, memory=snap.memory_inventory(old, v.ts(v.AS_OF), seal="never"))
+    agent_t = struct_type(MANIFEST_DDL)["agent"].dataType.simpleString()
+    named = agents.withColumn("agent", struct_of(agent_t, id=F.col("agent_id")))
+    base = sinks.Snapshot(old, snap.build_manifest(named, layers, v.ts(v.AS_OF)), identities=identities)
+    sinks.write_snapshot(base, path, buckets=2)
+
+    k = n % 25
+    seen = F.coalesce("temporal.observed_at", "temporal.created_at")
+    moved = F.col("temporal").withField("observed_at", seen + F.expr("interval 400 days"))
+    step = F.when(k == 1, "delete").when(k.isin(2, 3), "update").when((k == 5) & (n % 10 == 0), "create")
+    deltas = recs.where((F.year(seen) == 1995) & step.isNotNull()).select(
+        "*", step.alias("operation"), F.lit(1).cast("bigint").alias("delta_seq"), n.alias("pos"))
+    deltas = deltas.withColumn("content", F.when(k.isin(2, 3), F.concat("content", F.lit("+"))).otherwise(F.col("content")))
+    deltas = deltas.withColumn("temporal", F.when(k == 3, moved).otherwise(F.col("temporal")))
+    marks = agents.select("agent_id", F.struct(F.lit(0).cast("bigint").alias("base_sequence"),
+                                               F.lit(1).cast("bigint").alias("new_sequence")).alias("sync"))
+    new = update_snapshot(spark, path, deltas, marks, v.ts("1996-03-31 00:00:00"), buckets=2)
+    m = F.col("layers.memory")
+    parts = new.manifests.select(
+        "agent_id", F.col("sync.last_sequence").cast("int").alias("last_sequence"), m["record_count"].alias("agent_records"),
+        F.col("layers.identity.version").alias("identity_version"), F.explode(m["partitions"]).alias("p"))
+    parts = parts.select("*", F.col("p.file").alias("file"))
+    return snap.with_partition(new.records).withColumnRenamed("partition", "file").join(parts, ["agent_id", "file"]).select(
+        "agent_id", "id", "content", "file", F.col("p.record_count").alias("record_count"), F.col("p.sealed").alias("sealed"),
+        "agent_records", "last_sequence", "identity_version")

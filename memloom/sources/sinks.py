@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.json_records import opened, record_json, records_of_maps
@@ -41,6 +41,11 @@ def with_quarter(records: DataFrame) -> DataFrame:
     return records.withColumn("quarter", quarter_label(seen))
 
 
+def part() -> Column:
+    """``quarter/bucket``, the directory of a record; at most ``BUCKETS`` for each quarter."""
+    return F.concat_ws("/", F.coalesce("quarter", F.lit("")), F.col("bucket").cast("string")).alias("part")
+
+
 def write_records(records: DataFrame, path: str, layout: str = "fleet", buckets: int = BUCKETS) -> None:
     """Write records by quarter.
 
@@ -72,7 +77,7 @@ def write_snapshot(snapshot: Snapshot, path: str, layout: str = "fleet", buckets
     Manifests of an earlier snapshot at ``path`` go first, so a job that dies in between
     leaves no complete snapshot rather than a mixed one.
     """
-    _remove(snapshot.records.sparkSession, f"{path}/manifests")
+    remove(snapshot.records.sparkSession, f"{path}/manifests")
     write_records(snapshot.records, f"{path}/records", layout, buckets)
     tables = snapshot.tables()
     for name, df in tables.items():
@@ -87,20 +92,43 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     system, place = _place(spark, path)
     system.delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def replace_parts(spark: SparkSession, source: str, path: str) -> set[str]:
+    """Put the directories of records below ``source`` in the place of those of ``path``; they are named as ``quarter/bucket``.
+
+    Directories that ``source`` has not stay untouched.
+    """
+    rows = spark.read.parquet(source) if any_file(spark, source) else None
+    if rows is None:
+        return set()
+    out = rows.hint("rebalance", "quarter", "bucket").sortWithinPartitions("quarter", "bucket", "agent_id", "ord")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("quarter", "bucket").parquet(path)
+    named = rows.select(part()).distinct()
+    return {r[0] for r in named.collect()}
+
+
+def any_file(spark: SparkSession, path: str) -> bool:
+    """Whether a written table has a directory at all."""
+    system, place = _place(spark, path)
+    return system.exists(place) and any(s.isDirectory() for s in system.listStatus(place))
+
+
 def read_snapshot_tables(spark: SparkSession, path: str) -> Snapshot:
     """The tables that :func:`write_snapshot` wrote in the ``fleet`` layout."""
-    system, place = _place(spark, f"{path}/manifests")
-    if not system.exists(place):
+    if not exists(spark, f"{path}/manifests"):
         raise ValueError(f"no complete snapshot at {path}: it has no manifests")
     tables = {}
     for name in Snapshot.__dataclass_fields__:
-        system, place = _place(spark, f"{path}/{name}")
-        if system.exists(place):
+        if exists(spark, f"{path}/{name}"):
             tables[name] = spark.read.parquet(f"{path}/{name}")
     tables["records"] = tables["records"].drop("quarter", "bucket")
     return Snapshot(**tables)
