@@ -348,3 +348,40 @@ def snapshot_update(spark, sf_dir):
     return snap.with_partition(new.records).withColumnRenamed("partition", "file").join(parts, ["agent_id", "file"]).select(
         "agent_id", "id", "content", "file", F.col("p.record_count").alias("record_count"), F.col("p.sealed").alias("sealed"),
         "agent_records", "last_sequence", "identity_version")
+
+
+@query(f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS agent_id, o_orderkey AS k, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS c,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 40 DAY END AS t FROM orders),
+p AS (SELECT *, year(t) = 1994 AND k % 40 IN (1, 2, 3) AS gone FROM o),
+n AS (SELECT agent_id, count(*) FILTER (NOT gone) AS n FROM p GROUP BY 1)
+SELECT 'record' AS kind, agent_id, 'o' || k AS id, c AS detail, n FROM p JOIN n USING (agent_id) WHERE NOT gone
+UNION ALL SELECT 'audit', agent_id, 'o' || k, CASE k % 2 WHEN 0 THEN 'even' ELSE 'odd' END || ' ' || year(t) || '-Q' || quarter(t), 1 FROM p WHERE gone
+UNION ALL SELECT 'audit', agent_id, 'x' || k, 'unknown ', 0 FROM p WHERE k % 1000 = 1""")
+def purge_records(spark, sf_dir):
+    """Single records taken out of a written snapshot, what is left and the audit rows."""
+    import uuid
+
+    from memloom.plans import purge
+    from memloom.session import shared_dir
+    from memloom.sources import sinks
+
+    path = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}/snapshot"
+    recs = v.whole_records(v.order_records(spark, sf_dir))
+    n = F.col("ord.pos")
+    agents = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("agent_id"))
+    layers = snap.layer_inventory(agents, memory=snap.memory_inventory(recs, v.ts(v.AS_OF)))
+    agent_t = struct_type(MANIFEST_DDL)["agent"].dataType.simpleString()
+    named = agents.withColumn("agent", struct_of(agent_t, id=F.col("agent_id")))
+    sinks.write_snapshot(sinks.Snapshot(recs, snap.build_manifest(named, layers, v.ts(v.AS_OF))), path, buckets=2)
+    seen = F.coalesce("temporal.observed_at", "temporal.created_at")
+    requests = recs.where((F.year(seen) == 1994) & (n % 40).isin(1, 2, 3)).select(
+        "agent_id", "id", F.when(n % 2 == 0, "even").otherwise("odd").alias("reason"))
+    unknown = recs.where(n % 1000 == 1).select(
+        "agent_id", F.concat(F.lit("x"), n.cast("string")).alias("id"), F.lit("unknown").alias("reason"))
+    purge.purge_records(spark, path, requests.union(unknown), v.ts(v.AS_OF), "r1", buckets=2)
+    new = sinks.read_snapshot_tables(spark, path)
+    counts = new.manifests.select("agent_id", F.col("layers.memory.record_count").cast("bigint").alias("n"))
+    left = new.records.join(counts, "agent_id").select(F.lit("record").alias("kind"), "agent_id", "id", F.col("content").alias("detail"), "n")
+    quarter = F.substring_index(F.coalesce("part", F.lit("")), "/", 1)
+    return left.union(purge.purge_log(spark, path).select(
+        F.lit("audit"), "agent_id", "id", F.concat_ws(" ", "reason", quarter), F.col("copies").cast("bigint")))

@@ -146,10 +146,9 @@ def touched_parts(records: DataFrame, deltas: DataFrame, buckets: int = BUCKETS)
     are at most ``buckets`` directories for each quarter, so the list is short.
     """
     entries = deltas.where(F.col("operation").isin(*DELTA_OPERATIONS))
-    keys = sinks.with_bucket(entries.select(*KEY).distinct(), buckets)
-    here = [r[0] for r in keys.select("bucket").distinct().collect()]
-    left = records.where(F.col("bucket").isin(here)).select(*KEY, "quarter", "bucket")
-    left = left.join(keys.select(*KEY), KEY, "left_semi").select(sinks.part())
+    keys = entries.select(*KEY).distinct()
+    left = sinks.in_reach(records, keys, buckets).select(*KEY, "quarter", "bucket")
+    left = left.join(keys, KEY, "left_semi").select(sinks.part())
     entered = sinks.with_bucket(sinks.with_quarter(entries.where("operation <> 'delete'")), buckets).select(sinks.part())
     return sorted(r[0] for r in left.union(entered).distinct().collect())
 

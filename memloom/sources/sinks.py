@@ -12,6 +12,8 @@ from memloom.functions.quarters import quarter_label
 from memloom.schemas import ORD, RECORD_FIELDS
 
 BUCKETS = 256
+#: Record files keep a Bloom filter of their ids for each block.
+BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.expected.ndv#id": "100000"}
 
 
 @dataclass
@@ -46,6 +48,22 @@ def part() -> Column:
     return F.concat_ws("/", F.coalesce("quarter", F.lit("")), F.col("bucket").cast("string")).alias("part")
 
 
+#: Ids of a search that are pushed to the scan.
+PUSHED_IDS = 10
+
+
+def in_reach(records: DataFrame, keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of written ``records`` that may have one of ``keys`` (``agent_id``, ``id``).
+
+    There are ``buckets`` numbers at most to choose directories by; up to ``PUSHED_IDS``
+    ids go to the scan, too, where the Bloom filter of a block tells that it has none.
+    """
+    here = [r[0] for r in with_bucket(keys.select("agent_id").distinct(), buckets).select("bucket").distinct().collect()]
+    ids = [r[0] for r in keys.select("id").distinct().limit(PUSHED_IDS + 1).collect()]
+    rows = records.where(F.col("bucket").isin(here))
+    return rows.where(F.col("id").isin(ids)) if len(ids) <= PUSHED_IDS else rows
+
+
 def write_records(records: DataFrame, path: str, layout: str = "fleet", buckets: int = BUCKETS) -> None:
     """Write records by quarter.
 
@@ -58,8 +76,8 @@ def write_records(records: DataFrame, path: str, layout: str = "fleet", buckets:
     if layout == "fleet":
         out = with_bucket(df, buckets).hint("rebalance", "quarter", "bucket")
         out = out.sortWithinPartitions("quarter", "bucket", "agent_id", "ord")
-        out.select("ord", *RECORD_FIELDS, "quarter", "bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
+        out.select("ord", *RECORD_FIELDS, "quarter", "bucket").write.mode("overwrite").options(
+            partitionOverwriteMode="static", **BLOOM
         ).partitionBy("quarter", "bucket").parquet(path)
     elif layout == "jsonl":
         out = df.hint("rebalance", "agent_id", "quarter")
@@ -111,7 +129,7 @@ def replace_parts(spark: SparkSession, source: str, path: str) -> set[str]:
     if rows is None:
         return set()
     out = rows.hint("rebalance", "quarter", "bucket").sortWithinPartitions("quarter", "bucket", "agent_id", "ord")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("quarter", "bucket").parquet(path)
+    out.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **BLOOM).partitionBy("quarter", "bucket").parquet(path)
     named = rows.select(part()).distinct()
     return {r[0] for r in named.collect()}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators import snapshot as snap
 from memloom.operators.delta import apply_deltas
-from memloom.plans import rebuild, views as v
+from memloom.plans import purge, rebuild, views as v
 from memloom.schemas import MANIFEST_DDL, struct_of, struct_type
 from memloom.sources import sinks
 
@@ -123,3 +123,27 @@ def test_directories_without_a_record_go(spark, written):
     assert sum(r["layers"]["memory"]["record_count"] for r in new.manifests.collect()) == len(base_rows()) - 7
     none = rebuild.update_snapshot(spark, written, deltas(spark, every[:1]).where("false"), None, v.ts(v.AS_OF), buckets=BUCKETS)
     assert none.records.count() == len(base_rows()) - 6
+
+
+def test_purge_of_few_and_unknown_ids(spark, written):
+    wanted = spark.createDataFrame([("a0", "r2", "asked"), ("a0", "undated", "asked"), ("a5", "none", "odd"), ("a0", "r2", "again")],
+                                   "agent_id string, id string, reason string")
+    found = purge.find_records(spark, written, wanted, BUCKETS)
+    assert {(r["agent_id"], r["id"], r["part"].split("/")[0]) for r in found.collect()} == {("a0", "r2", "2024-Q3"), ("a0", "undated", "")}
+    assert all(os.path.exists("/" + r["file"].removeprefix("file:").lstrip("/")) for r in found.collect())
+    before = files(written)
+    rows = purge.purge_records(spark, written, wanted, v.ts(v.AS_OF), "r1", BUCKETS)
+    log = {(r["agent_id"], r["id"], r["reason"], r["copies"]) for r in rows.collect()}
+    assert log == {("a0", "r2", "again", 1), ("a0", "undated", "asked", 1), ("a5", "none", "odd", 0)}
+    assert len(set(before) - set(files(written))) == 2  # one file of each touched directory
+    new = sinks.read_snapshot_tables(spark, written)
+    assert new.records.count() == len(base_rows()) - 2 and new.records.where("agent_id = 'a0' AND id = 'r2'").count() == 0
+    purge.purge_records(spark, written, wanted, v.ts(v.AS_OF), "r1", BUCKETS)  # the same run again
+    assert {r["copies"] for r in purge.purge_log(spark, written).collect()} == {0, 1}
+
+
+def test_scan_is_told_the_ids(spark, written):
+    keys = spark.createDataFrame([("a0", "r2")], "agent_id string, id string")
+    plan = purge.find_records(spark, written, keys, BUCKETS)._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "r2" in plan.split("PushedFilters:")[1][:200]
+    assert "content" not in plan.split("ReadSchema:")[1][:200]
