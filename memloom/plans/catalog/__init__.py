@@ -39,5 +39,5 @@ def sql_uuid5(namespace: bytes, name: str) -> str:
 
 
 from memloom.plans.catalog import (  # noqa: E402,F401
-    checks, deltas, feeds, files, notes, profiles, retention, scalars, search, snapshots,
+    browser, checks, deltas, feeds, files, notes, profiles, retention, scalars, search, snapshots,
 )
