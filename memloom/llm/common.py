@@ -23,6 +23,9 @@ from memloom.session import configure, shared_dir
 #: Text bytes of one block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
+#: Groups of a sample whose narrow rows are broadcast.
+FEW_GROUPS = 100_000
+
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -79,18 +82,19 @@ def restored(columns: list[str]) -> list[Column]:
     return [F.col(c) if c in ("doc_id", "text") else F.col("given").getField(c).alias(c) for c in columns]
 
 
-def sample_by(rows: DataFrame, by: str, n: int, groups: int = 500) -> DataFrame:
+def sample_by(rows: DataFrame, by: str, n: int) -> DataFrame:
     """About ``n`` different values of ``digest`` for each value of ``by``, with all their rows.
 
     A digest is in or out by its own bits alone, against a share that comes from the number
-    of digests of its group, so nothing is ranked and no group meets in one task.  Values
-    of ``by`` beyond the ``groups`` most frequent ones are left out.
+    of digests of its group, so nothing is ranked and no group meets in one task.  There may
+    be any number of groups; their shares are sent to every task while they are ``FEW_GROUPS``
+    or less, and joined beyond.
     """
     span = 1 << 40
-    share = rows.groupBy(by).agg(F.approx_count_distinct("digest", 0.02).alias("_n")).orderBy(F.desc("_n"), by).limit(groups)
-    share = share.select(by, (F.lit(float(n)) / F.col("_n") * span).cast("long").alias("_share"))
-    # at most ``groups`` rows
-    return rows.join(F.broadcast(share), by).where(F.pmod("digest", F.lit(span)) < F.col("_share")).drop("_share")
+    share = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.approx_count_distinct("digest", 0.02).alias("_n"))
+    share = stored(share.select(by, (F.lit(float(n)) / F.col("_n") * span).cast("long").alias("_share")), "shares")
+    few = F.broadcast(share) if share.count() <= FEW_GROUPS else share
+    return rows.join(few, by).where(F.pmod("digest", F.lit(span)) < F.col("_share")).drop("_share")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

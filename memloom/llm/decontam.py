@@ -16,6 +16,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Minima of a signature; one in common makes a candidate.
 MINIMA = 64
+#: Items of so few shingles are looked up by the hashes themselves: minima would miss some by chance.
+FEW_SHINGLES = 4
 #: Shingles of the smallest size class; every further class is twice as wide.
 TILE = 8
 #: Words of the items that are searched for in one pass over the documents.
@@ -30,14 +32,27 @@ def size_class(shingles: int) -> int:
     return max(0, (max(shingles, 1) - 1) // TILE).bit_length()
 
 
+def _marks(size: int) -> np.ndarray:
+    """What tells the minima of a size class and of each function from others."""
+    return mix(np.uint64(size * MINIMA + 1) + np.arange(MINIMA, dtype=np.uint64))
+
+
 def _key(minimum: np.ndarray, size: int, nth: int) -> np.ndarray:
-    return minimum ^ mix(np.full(1, size * MINIMA + nth + 1, np.uint64))
+    return minimum ^ _marks(size)[nth]
+
+
+def _owners(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ``keys`` that are equal to that at ``first``: which of ``first``, and the place."""
+    n = np.searchsorted(keys, keys[first], "right") - first
+    of = np.repeat(np.arange(len(first)), n)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
 
 @dataclass
 class Items:
     """A block of items: for each its id, distinct shingle hashes and shingles, and an index
-    of its signature.  ``short`` has the hashes of items under ``SHINGLE`` words by length."""
+    of its signature.  ``short`` has, by the words of a shingle, the sorted hashes of items of
+    ``FEW_SHINGLES`` or less, and their owners."""
 
     ids: list = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
@@ -46,6 +61,7 @@ class Items:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     likely: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Items:
@@ -53,7 +69,8 @@ class Items:
         data, starts, ends, rows = word_spans(pa.array(texts, pa.string()), ALNUM)
         edges = np.searchsorted(rows, np.arange(len(texts) + 1))
         hashes = span_hash(data, starts, ends)
-        keys, owners = [], []
+        keys, owners = [np.zeros(0, np.uint64)], []
+        few: dict[int, list[tuple[int, int]]] = {}
         for i, item_id in enumerate(ids):
             own = slice(edges[i], edges[i + 1])
             n = edges[i + 1] - edges[i]
@@ -67,12 +84,16 @@ class Items:
             out.hashes.append(h)
             out.shingles.append({b" ".join(words[j: j + k]) for j in range(n - k + 1)})
             out.sizes.append(k)
-            if k == SHINGLE:
-                size = size_class(len(h))
-                lowest = [int((h * f + s).min()) for f, s in zip(_FACTORS, _SHIFTS)]
-                keys += [int(_key(np.array([m], np.uint64), size, j)[0]) for j, m in enumerate(lowest)]
+            if len(h) <= FEW_SHINGLES:
+                few.setdefault(k, []).extend((x, place) for x in h.tolist())
+            else:
+                lowest = (h[:, None] * _FACTORS + _SHIFTS).min(axis=0)
+                keys.append(lowest ^ _marks(size_class(len(h))))
                 owners += [place] * MINIMA
-        keys, owners = np.array(keys, np.uint64), np.array(owners, np.int64)
+        for k, pairs in few.items():
+            pairs.sort()
+            out.short[k] = np.array([h for h, _ in pairs], np.uint64), np.array([p for _, p in pairs], np.int64)
+        keys, owners = np.concatenate(keys), np.array(owners, np.int64)
         order = np.argsort(keys, kind="stable")
         out.keys, out.owners = keys[order], owners[order]
         out.likely = np.zeros(1 << 16, bool)
@@ -80,7 +101,7 @@ class Items:
         return out
 
     def classes(self) -> set[int]:
-        return {size_class(len(h)) for h, k in zip(self.hashes, self.sizes) if k == SHINGLE}
+        return {size_class(len(h)) for h in self.hashes if len(h) > FEW_SHINGLES}
 
     def candidates(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Pairs of a row and the first place in ``keys`` of a minimum that one of its windows has.
@@ -127,15 +148,13 @@ class Items:
         hashes, first = by_size[SHINGLE]
         wanted: set[tuple[int, int]] = set()
         row, place = self.candidates(hashes, rows[first])
-        for r, p in zip(row.tolist(), place.tolist()):
-            key = self.keys[p]
-            while p < len(self.keys) and self.keys[p] == key:  # items may share a minimum
-                wanted.add((r, int(self.owners[p])))
-                p += 1
-        for item, k in enumerate(self.sizes):
-            if k < SHINGLE:
-                h, at = by_size[k]
-                wanted.update((int(r), item) for r in set(rows[at[h == self.hashes[item][0]]].tolist()))
+        of_row, at_key = _owners(self.keys, place)
+        wanted.update(zip(row[of_row].tolist(), self.owners[at_key].tolist()))
+        for k, (keys, owners) in self.short.items():
+            h, at = by_size[k]
+            first, found = lookup(keys, h)
+            of_hash, at_key = _owners(keys, first[found])
+            wanted.update(zip(rows[at[found]][of_hash].tolist(), owners[at_key].tolist()))
         edges = np.searchsorted(rows, np.arange(len(column) + 1))
         of = {k: np.searchsorted(rows[at], np.arange(len(column) + 1)) for k, (_, at) in by_size.items()}
         held: tuple[int, int] | None = None

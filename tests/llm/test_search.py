@@ -114,3 +114,20 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     real = decontam.item_blocks
     monkeypatch.setattr(decontam, "item_blocks", lambda rows: real(rows, 60))
     assert {tuple(r) for r in decontam.find_items(documents(spark, SMALL), items).collect()} == whole
+
+
+def test_items_of_few_shingles_are_never_missed():
+    rng = np.random.default_rng(1)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in [5] * 4000 + [6] * 500 + [7] * 500 + [8] * 500 + [9] * 300 + [2] * 300]
+    block = decontam.Items.of(list(range(len(items))), items)
+    filler = " ".join(f"x{x}" for x in rng.integers(0, 10**6, 40))
+    texts = [f"{filler} {items[i]} {filler} {items[(i * 7 + 1) % len(items)]} z" for i in range(len(items))]
+    found = {(r, i) for r, i, _ in block.search(decontam.pa.array(texts), 0.8)}
+    wanted = {(i, i) for i in range(len(items))} | {(i, (i * 7 + 1) % len(items)) for i in range(len(items))}
+    assert wanted <= found and len(found) < len(wanted) + 50
+
+
+def test_items_that_share_their_shingles():
+    block = decontam.Items.of([0, 1, 2, 3], ["a b c d e", "a b c d e", "A, b c d e f", "c d"])
+    found = sorted(block.search(decontam.pa.array(["x a b c d e f", "a b c d e", "a b c d", None]), 0.8))
+    assert found == [(0, 0, 1), (0, 1, 1), (0, 2, 2), (0, 3, 1), (1, 0, 1), (1, 1, 1), (1, 3, 1), (2, 3, 1)]
