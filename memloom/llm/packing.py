@@ -20,6 +20,9 @@ from memloom.llm.common import blocks, stored
 PIECE_TOKENS = 512
 #: Windows that one differencing run fills; a run is one group of pieces.
 GROUP_WINDOWS = 256
+#: Neighbouring pieces of fewer tokens than this are divided as one, of up to twice as many:
+#: so a group has a bounded number of parts to divide, also where every text is a word.
+SMALL_TOKENS = 64
 
 #: Texts of these characters alone, without a special token, are split alike by both libraries.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ–—‘-„€]*")
@@ -91,8 +94,8 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
     """Pack every token of every document into windows of at most ``window`` tokens.
 
     A document is its ids and ``end_id``.  Whole windows are cut off first and stand alone;
-    what is left is cut into pieces of ``piece_tokens``.  Pieces are dealt by number to
-    groups of about ``group_windows`` windows, and each group is divided by multiway
+    what is left is cut into pieces of ``piece_tokens``, and small neighbours are taken
+    together (``bundles``).  These are dealt by number to groups of about ``group_windows`` windows, and each group is divided by multiway
     differencing (``difference``), which gives nearly equal windows; a group whose fullest
     window is over capacity is divided again into one window more.  The number of groups
     follows the number of tokens, so a task's work is bounded at any size.
@@ -121,24 +124,26 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").take(row), "start": pa.array(start, pa.int64()),
                 "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(whole, pa.int64()),
+                "back": bundles(np.array([len(x) // 4 for x in ids], np.int64), min(SMALL_TOKENS, piece_tokens // 2)),
             })
 
     pieces = docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, start long, ids binary, doc_tokens long"
+        cut, f"doc_id {kind}, start long, ids binary, doc_tokens long, back long"
     ).withColumns({"piece": F.monotonically_increasing_id(),
                    "length": (F.length("ids") / 4).cast("long")})
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.withColumn("bundle", F.col("piece") - F.col("back")).drop("back"), "pieces")
 
     alone = pieces.where(F.col("length") == window).select(
         "piece", (2 * F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < window).select("piece", "length")
+    rest = pieces.where(F.col("length") < window).select("piece", "length", "bundle")
     tokens = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (window * group_windows)))
 
     def divide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("piece")
         lengths = group["length"].to_numpy()
-        at = windows_of(lengths, window)
+        first = np.flatnonzero(np.diff(group["bundle"].to_numpy(), prepend=-1))
+        at = np.repeat(windows_of(np.add.reduceat(lengths, first), window), np.diff(np.r_[first, len(lengths)]))
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(lengths[order])
         first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
@@ -150,12 +155,25 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = 2048, end_id: in
         })
 
     packed = (
-        rest.withColumn("group", F.pmod(F.xxhash64("piece"), F.lit(groups)))
+        rest.withColumn("group", F.pmod(F.xxhash64("bundle"), F.lit(groups)))
         .groupBy("group").applyInPandas(divide, "piece long, sequence_id long, offset long")
     )
     return Packed(pieces, alone.unionByName(packed))
 
 
+def bundles(lengths: np.ndarray, small: int) -> np.ndarray:
+    """How many places before each piece its bundle begins: runs of pieces under ``small``, up to twice that in all."""
+    out = np.zeros(len(lengths), np.int64)
+    total = size = 0
+    for i, n in enumerate(lengths.tolist()):
+        if n >= small or total + n > 2 * small:
+            total = size = 0
+        if n < small:
+            out[i] = size
+            total, size = total + n, size + 1
+    return out
+
+
 def windows_of(lengths: np.ndarray, window: int) -> np.ndarray:
     """Window number of each piece; as few windows as differencing finds room in."""
     k = max(1, -(-int(lengths.sum()) // window))

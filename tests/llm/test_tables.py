@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memloom.llm import decontam, licenses, packing, queries, sharding, tokens
@@ -185,3 +186,19 @@ def test_pipeline_stages_take_effect(spark):
     assert decontam.find_items(docs, items).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, MEDIUM)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_many_tiny_texts_are_divided_as_few_parts(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise("word").alias("text"))
+    packed = packing.pack(docs.coalesce(2), queries.byte_vocabulary(), 2048, 1)
+    parts = packed.pieces.groupBy("bundle").agg(F.sum("length").alias("n"))
+    assert parts.count() < 2 * packed.pieces.agg(F.sum("length")).first()[0] / packing.SMALL_TOKENS
+    assert parts.where(F.col("n") > 2 * packing.SMALL_TOKENS).count() == 0
+    rows = packed.pieces.join(packed.plan, "piece").toPandas()
+    assert len(rows) == 30_000 and rows["length"].sum() == 50_000
+    sizes = rows.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= 2048 and len(sizes) <= 27
+
+
+def test_bundles():
+    assert packing.bundles(np.array([1, 1, 200, 3, 63, 63, 63, 64, 5]), 64).tolist() == [0, 1, 0, 0, 1, 0, 1, 0, 0]
