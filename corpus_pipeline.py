@@ -12,7 +12,7 @@ from memloom.session import configure
 
 
 #: Bytes of an Arrow batch: the workers of five stages stay side by side in one executor.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def _small_batches(spark: SparkSession) -> None:
