@@ -8,6 +8,7 @@ texts meet by those, and every pair that meets is checked by its shingles.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,6 +28,8 @@ DISTANCE = 4
 #: Texts looked at for shingles that many texts share, and how many of those are told
 #: apart.  Both only say what is put last in the order; any order gives the same groups.
 SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
+#: Bits of a sketch; texts of up to about twice as many shingles are told apart by it.
+SKETCH_BITS = 1024
 #: Rows of one number each that are sent to every task, so that texts need no shuffle.
 FEW = 2_000_000
 
@@ -226,7 +229,8 @@ def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     shingle has in common, which connects a group by as many links as it has texts; then all
     pairs that meet and are not connected yet.  A pair is checked only if its sizes and the
     places of the shingle allow enough common ones.  That holds where the shingle is their
-    first common one, and there every pair meets; so no link is lost.
+    first common one, and there every pair meets; so no link is lost.  In the last step the
+    pair's sketches must allow it, too, which parts texts that share no more than passages.
     """
     links = verified(fingerprint_pairs(rows, words), rows, words, similarity)
     met = stored(meeting(prefixes(rows, words, similarity)), "met")
@@ -240,15 +244,48 @@ def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     apart = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     left = stored(named.join(apart, "key", "left_semi"), "met-apart")
     discard(met, named)
+    nodes = left.select("copy").distinct()
+    drawn = stored(sketches(rows.join(_few(nodes), "copy", "left_semi"), words), "sketches")
+    wide = [F.element_at("sketch", i + 1).alias(f"w{i}") for i in range(SKETCH_BITS // 64)]
+    plain, left = left, stored(left.join(drawn, "copy").select("key", "place", "copy", "n", "root", *wide), "met-drawn")
+    discard(plain, drawn)
     a, b = left.alias("a"), left.alias("b")
+    alone = (F.col("a.n") + F.col("b.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.copy") > F.col("b.copy"))
-                   & (F.col("a.root") != F.col("b.root")) & _could("a.n", "a.place", "b.n", "b.place", similarity))
+                   & (F.col("a.root") != F.col("b.root")) & _could("a.n", "a.place", "b.n", "b.place", similarity)
+                   & (_differing("a", "b") <= alone))
     pairs = pairs.select(F.col("a.copy").alias("u"), F.col("b.copy").alias("v")).distinct()
     last = verified(pairs, rows, words, similarity)
     discard(left)
     return links.union(last)
 
 
+def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """``copy`` and a ``sketch`` of 64-bit words: bit i is the parity of the shingles that hash to i.
+
+    Shingles that two texts share cancel out, so at least as many shingles are in one of them
+    alone as their sketches differ in bits.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            hashes, of = _hashes(batch.column("text"), words)
+            bit = of * SKETCH_BITS + (hashes >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
+            parity = (np.bincount(bit, minlength=batch.num_rows * SKETCH_BITS) % 2).astype(np.uint8)
+            numbers = np.packbits(parity, bitorder="little").view(np.int64)
+            bounds = np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+            yield pa.RecordBatch.from_pydict({
+                "copy": batch.column("copy"), "sketch": pa.ListArray.from_arrays(pa.array(bounds), pa.array(numbers))})
+
+    return rows.select("copy", "text").mapInArrow(each, "copy long, sketch array<long>").dropDuplicates(["copy"])
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    words = [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(SKETCH_BITS // 64)]
+    return functools.reduce(lambda x, y: x + y, words)
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of ``pairs`` that ``roots`` does not connect."""
     for c in "uv":

@@ -124,3 +124,13 @@ def test_many_texts_just_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     kept = {r[0] for r in similar.drop_similar(docs).select("doc_id").collect()}
     assert kept == {2 * i for i in range(1500)}
+
+
+def test_sketches_never_say_less_than_the_texts(spark):
+    rows = [(i, t) for i, t in edited() if (t or "").split()][:120]
+    docs = spark.createDataFrame(rows, "copy long, text string")
+    bits = {r["copy"]: r["sketch"] for r in similar.sketches(docs).collect()}
+    for i, (a, one) in enumerate(rows):
+        for b, other in rows[:i]:
+            apart = len(shingles(one) ^ shingles(other))
+            assert sum((x ^ y).bit_count() for x, y in zip((v % (1 << 64) for v in bits[a]), (v % (1 << 64) for v in bits[b]))) <= apart
