@@ -102,32 +102,89 @@ def test_rules_against_brute_force(spark):
     assert 0.7 < np.mean([r["kept"] for r in found.values()]) < 0.95
 
 
-def test_kneser_ney_sums_to_one_and_looks_back():
-    rng = np.random.default_rng(3)
-    counts = rng.poisson(0.4, (8, 8, 8, 8))
-    p, lower, weight = perplexity.kneser_ney(counts)
-    assert np.allclose(p.sum(axis=-1), 1) and np.allclose(lower.sum(axis=-1), 1)
-    unseen = counts == 0
-    expected = np.broadcast_to(weight[..., None] * lower[None], p.shape)
-    assert np.allclose(p[unseen], expected[unseen])
-    # the order below counts left neighbours, not occurrences
-    left = (counts > 0).sum(axis=0)
-    d = perplexity.discounts(left)
-    kept = np.maximum(left - d[np.minimum(left, 3)], 0)
-    assert (p > 0).all() and np.allclose((kept > 0), left - d[np.minimum(left, 3)] > 0)
-
-
-def test_stored_model_gives_the_same_probabilities(spark):
-    docs = spark.createDataFrame([("the cat and the hat", "en", 0), ("a cat", "en", 0)], "text string, model string, half int")
-    table = perplexity.learn(perplexity.count_grams(docs))["en", 0]
-    counts = np.zeros(perplexity.CLASSES ** perplexity.ORDER, np.int64)
-    for text in ("the cat and the hat", "a cat"):
-        codes = [perplexity._classes()[ord(c)] for c in "   " + text]
-        for i in range(len(text)):
-            at = 0
-            for c in codes[i: i + 4]:
-                at = at * perplexity.CLASSES + int(c)
-            counts[at] += 1
-    p = perplexity.kneser_ney(counts.reshape((perplexity.CLASSES,) * 4))[0].ravel()
-    some = np.r_[np.flatnonzero(counts), np.arange(0, len(p), 997)]
-    assert np.allclose(table.log_probability(some), np.log(p[some]), atol=1e-4)
+def brute_kneser_ney(texts):
+    """Probability of a character after three others, by the textbook, in dictionaries."""
+    counts = Counter(("   " + t)[i: i + 4] for t in texts for i in range(len(t)))
+    levels = {4: counts}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discounts = {}
+    for k, level in levels.items():
+        n = {i: max(1, sum(c == i for c in level.values())) for i in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        discounts[k] = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        same = {g: c for g, c in levels[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        kept = {g: c - discounts[k][min(c, 3)] for g, c in same.items()}
+        total = sum(same.values())
+        return (kept.get(gram, 0) + (total - sum(kept.values())) * p(gram[1:])) / total
+
+    return p
+
+
+def packed(grams):
+    return np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+
+
+def test_stored_model_is_kneser_ney(spark):
+    texts = ["the cat and the hat", "a cat", "the thin cat then sat, thus that hat", "\u043a\u043e\u0442 \u0438 \u043a\u0438\u0442", "\ud55c\uad6d\uc5b4 \ud55c\uad6d"]
+    docs = spark.createDataFrame([(t, "en", 0) for t in texts], "text string, model string, half int")
+    table = perplexity.tables_of(perplexity.learn(perplexity.count_grams(docs)))["en", 0]
+    p = brute_kneser_ney(texts)
+    grams = sorted({("   " + t)[i: i + 4] for t in texts for i in range(len(t))})
+    grams += ["zzzz", "thez", "thzz", "  \u043a\u043e", "cat\u043e", "\ud55c\uad6d\uc5b4\uc5b4", "hat ", "xcat"]
+    assert np.allclose(table.log_probability(packed(grams)), np.log([p(g) for g in grams]), atol=1e-4)
+    # what may follow a context, and one character never seen, add up to 1
+    after = sorted({c for t in texts for c in t})
+    for context in ("the", "  t", "zzz", "\ud55c\uad6d\uc5b4"):
+        assert np.exp(table.log_probability(packed([context + c for c in [*after, "\u0416"]]))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_rare_grams_of_a_full_model_are_judged_by_shorter_ones(spark):
+    texts = ["the cat and the hat", "a cat", "the thin cat then sat, thus that hat"] * 3
+    docs = spark.createDataFrame([(t, "en", 0) for t in texts], "text string, model string, half int")
+    table = perplexity.tables_of(perplexity.learn(perplexity.count_grams(docs), most=20))["en", 0]
+    assert all(0 < len(level.grams) <= 20 for level in table.levels)
+    after = sorted({c for t in texts for c in t} | {"z"})
+    for context in ("the", " ca", "zzz"):
+        total = np.exp(table.log_probability(packed([context + c for c in after]))).sum()
+        assert total == pytest.approx(1, abs=0.02)
+
+
+WORDS = {
+    "ru": "дом вода город человек время работа книга дорога школа вечер утро письмо дерево солнце зима весна окно улица слово жизнь",
+    "el": "σπίτι νερό πόλη άνθρωπος χρόνος δουλειά βιβλίο δρόμος σχολείο βράδυ πρωί γράμμα δέντρο ήλιος χειμώνας άνοιξη παράθυρο λέξη ζωή",
+    "ar": "بيت ماء مدينة إنسان وقت عمل كتاب طريق مدرسة مساء صباح رسالة شجرة شمس شتاء ربيع نافذة شارع كلمة حياة",
+    "hi": "घर पानी शहर आदमी समय काम किताब सड़क स्कूल शाम सुबह चिट्ठी पेड़ सूरज सर्दी बसंत खिड़की गली शब्द जीवन",
+    "zh": "房子 河水 城市 人们 时间 工作 书本 道路 学校 晚上 早晨 书信 树木 太阳 冬天 春天 窗户 街道 词语 生活",
+}
+
+
+def test_random_letters_of_any_script_are_rejected(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang, words in WORDS.items():
+        words = words.split()
+        letters = sorted(set("".join(words)))
+        for _ in range(60):
+            rows.append((len(rows), " ".join(rng.choice(words, 80)), lang, True))
+        for _ in range(3):  # letters at random in words of the same lengths
+            text = " ".join("".join(rng.choice(letters, len(w))) for w in rng.choice(words, 80))
+            rows.append((len(rows), text, lang, False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, prose boolean")
+    found = {r["doc_id"]: r for r in perplexity.quality_rules(docs, max_repeated=100).collect()}
+    assert all(found[i]["kept"] == prose for i, _, _, prose in rows)
+
+
+def test_lots_of_models_give_the_same_scores(spark):
+    docs = spark.createDataFrame(
+        [(i, f"some words of text {i} " * 3, f"l{i % 5}") for i in range(40)] + [(40, None, "none"), (41, "", None), (42, "alone", None)],
+        "doc_id long, text string, lang string")
+    one, many = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.measure(docs, n).collect()} for n in (1 << 30, 1))
+    assert one == many and len(one) == 43 and one[40] is None and one[41] is None
