@@ -241,38 +241,80 @@ _TIMES = (
 )
 
 
+# a record as a plain reader would type it; `_corrupt_record` marks what does not fit
+_TYPED = (
+    "id string, agent_id string, content string, memory_type string, status string, namespace string, "
+    "category string, supersedes string, confidence double, "
+    "source struct<runtime:string,runtime_version:string,origin:string,origin_file:string,extraction_method:string,"
+    "session_id:string,interaction_id:string,identity_version:bigint>, "
+    f"temporal struct<{','.join(f'{t}:string' for t in _TIMES)},access_count:bigint>, "
+    "entities array<struct<name:string,type:string>>, "
+    "embeddings array<struct<model:string,dimensions:bigint,vector:array<double>,computed_at:string,source:string>>, "
+    "related_records array<struct<id:string,relation:string>>, _corrupt_record string"
+)
+# Values that a typed reader takes although they have another type than the field's: anything
+# but a text where a text belongs, a text where a number belongs.
+# The value is looked at first, then the key before it: most keys have values of their type.
+_LOOSE = (
+    r'"(?:(?=\s*+:\s*+[^"\s])(?<="(?:id|agent_id|content|memory_type|status|namespace|category|supersedes|runtime|'
+    r'runtime_version|origin|origin_file|extraction_method|session_id|interaction_id|created_at|updated_at|observed_at|'
+    r'last_accessed_at|computed_at|valid_from|valid_until|name|type|model|relation)")|'
+    r'(?=\s*+:\s*+[^-0-9\s])(?<="(?:confidence|identity_version|access_count|dimensions)")|'
+    r'(?=\s*+:\s*+[^"{\s])(?<="source")|[-+]?(?:NaN|Infinity|INF)")'
+)
+
+
+def _loose(line: Column) -> Column:
+    """Whether a value may be of such a type; keys in single quotes or with escaped letters count."""
+    quoted = F.when(line.contains("'"), line.rlike(r"'\s*+:")).otherwise(F.lit(False))
+    escaped = F.when(line.contains("\\u00"), line.rlike(r"\\u00[4-7]")).otherwise(F.lit(False))
+    return line.rlike(_LOOSE) | quoted | escaped
+
+
+def _trusted(m: Column, t: Column, line: Column) -> Column:
+    """Whether the typed form ``t`` of a line says the same as its field map ``m``.
+
+    False wherever any value might have another type than its field's; these lines are
+    looked at value by value.
+    """
+    def incomplete(field: str) -> Column:
+        return F.exists(t[field], lambda x: reduce(lambda a, b: a | b, [x[n].isNull() for n in _ITEM_KINDS[field]]))
+
+    tags = F.try_element_at(m, F.lit("tags"))
+    doubts = [
+        ~line.rlike(r"\A\s*+\{"), t["_corrupt_record"].isNotNull(), _loose(line),
+        F.size(F.array_distinct(F.map_keys(m))) < F.size(m),
+        F.when(tags.isNotNull(), ~F.schema_of_variant(tags).rlike(_TEXTS)),
+        *[incomplete(field) for field in _ITEM_KINDS], F.exists(t["embeddings"], lambda e: e["source"].startswith("{")),
+    ]
+    return reduce(lambda a, b: a & b, [F.coalesce(~d, F.lit(True)) for d in doubts], m.isNotNull() & t.isNotNull())
+
+
 def validate_lines(lines: DataFrame) -> DataFrame:
     """Rules P1-P5 over raw record lines: ``partition, line_number, line``.
 
     These stop the reader that works record by record; here they are findings, so one
-    bad line does not hide the others.  A line is parsed once and each field read once,
-    into small lists of names and texts the rules then go over.
+    bad line does not hide the others.  A line is parsed once as a field map and once into
+    typed columns.  Where these can be relied on, all rules read them; types are looked at
+    value by value only where a value of another type is there or cannot be ruled out.
     """
     keep = [c for c in ("agent_id", "archive", "partition", "line_number") if c in lines.columns]
-    m = F.col("_m")
+    m, t, typed = F.col("_m"), F.col("_t"), F.col("_typed")
     v = lambda key: F.try_element_at(m, F.lit(key))
 
-    def texts(fields: list[str]) -> Column:
-        """(name, text) of each field; text is null for absent and JSON null."""
-        out = []
-        for name in fields:
-            key, _, rest = name.partition(".")
-            text = F.try_variant_get(v(key), f"$.{rest}" if rest else "$", "string")
-            out.append(F.struct(F.lit(f".{name}").alias("name"), text.alias("text")))
-        return F.array(*out)
-
     def kind(x: Column) -> Column:
         """Type name of a value; null for an absent one, VOID for a JSON null."""
         return F.when(x.isNotNull(), F.schema_of_variant(x))
 
-    def kinds(fields: dict[str, str]) -> Column:
-        """(name, kind, wanted) of each field."""
-        out = []
-        for name, wanted in fields.items():
-            key, _, rest = name.partition(".")
-            value = F.try_variant_get(v(key), f"$.{rest}", "variant") if rest else v(key)
-            out.append(F.struct(F.lit(f".{name}").alias("name"), kind(value).alias("kind"), F.lit(wanted).alias("wanted")))
-        return F.array(*out)
+    def leaf(name: str, typ: str) -> Column:
+        key, _, rest = name.partition(".")
+        return F.try_variant_get(v(key), f"$.{rest}" if rest else "$", typ)
+
+    def text(name: str) -> Column:
+        """Text of a field; null for absent and JSON null."""
+        key, _, rest = name.partition(".")
+        known = t[key][rest] if rest else t[key]
+        return F.when(typed, known.cast("string")).otherwise(leaf(name, "string"))
 
     def parts(field: str, wanted: dict[str, str]) -> Column:
         """(name, kind, wanted) of the required fields of each item of a list."""
@@ -283,22 +325,26 @@ def validate_lines(lines: DataFrame) -> DataFrame:
                      F.lit(w).alias("wanted"))
             for name, w in wanted.items()])))
 
-    times = [f"temporal.{t}" for t in _TIMES]
-    parsed = lines.select(*keep, json_map(F.col("line")).alias("_m"))
+    required = [*_REQUIRED, "source.runtime", "temporal.created_at"]
+    times = [f"temporal.{x}" for x in _TIMES]
+    numbers = ["source.identity_version", "temporal.access_count"]
+    names = list(dict.fromkeys([*required, *_IDS, *times, *numbers]))
+    link, vector = "array<struct<id:string>>", "array<struct<computed_at:string,dimensions:string>>"
+    parsed = lines.select(
+        *keep, _s(F.col("partition"), ":", F.col("line_number")).alias("_at"), "line",
+        json_map(F.col("line")).alias("_m"), F.from_json("line", _TYPED).alias("_t"))
+    parsed = parsed.select(*keep, "_at", "_m", "_t", _trusted(m, t, F.col("line")).alias("_typed"))
     read = parsed.select(
-        *keep,
-        m.isNull().alias("_broken"),
-        _s(F.col("partition"), ":", F.col("line_number")).alias("_at"),
-        texts([*_REQUIRED, "source.runtime", "temporal.created_at"]).alias("_required"),
-        texts(list(_IDS)).alias("_ids"),
-        texts(times).alias("_times"),
-        texts(["source.identity_version", "temporal.access_count"]).alias("_numbers"),
-        kinds(_KINDS).alias("_kinds"),
-        F.concat(*[F.coalesce(parts(field, wanted), F.array()) for field, wanted in _ITEM_KINDS.items()]).alias("_parts"),
-        F.try_variant_get(v("related_records"), "$", "array<struct<id:string>>").alias("_links"),
-        F.try_variant_get(
-            v("embeddings"), "$", "array<struct<computed_at:string,dimensions:string>>"
-        ).alias("_vectors"),
+        *keep, "_at", m.isNull().alias("_broken"),
+        *[text(name).alias(f"_{name.replace('.', '_')}") for name in names],
+        *[F.when(~typed, kind(v(name) if "." not in name else leaf(name, "variant"))).alias(f"_kind_{name.replace('.', '_')}")
+          for name in _KINDS],
+        F.when(~typed, F.concat(*[F.coalesce(parts(f, w), F.array()) for f, w in _ITEM_KINDS.items()])).alias("_parts"),
+        F.when(typed, F.transform(t["related_records"], lambda x: F.struct(x["id"].alias("id"))))
+        .otherwise(F.try_variant_get(v("related_records"), "$", link)).alias("_links"),
+        F.when(typed, F.transform(t["embeddings"], lambda x: F.struct(
+            x["computed_at"].alias("computed_at"), x["dimensions"].cast("string").alias("dimensions"))))
+        .otherwise(F.try_variant_get(v("embeddings"), "$", vector)).alias("_vectors"),
     )
     at = F.col("_at")
     here = lambda x, i: F.concat(at, x["name"])
@@ -307,31 +353,34 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     )
     bad = lambda test: F.coalesce(~test, F.lit(True))
     upto = lambda bits: F.lit(str(2**bits - 1)).cast("decimal(20,0)")
-    most = lambda c: F.when(c.endswith("access_count"), upto(64)).otherwise(upto(32))
     is_whole = lambda c, top: c.rlike(r"\A[0-9]{1,20}\z") & (c.try_cast("decimal(20,0)") <= top)
     no_uuid = lambda c: _s("not a UUID: '", c, "'")
     no_time = lambda c: _s("not an RFC 3339 instant: '", c, "'")
     no_number = lambda c: _s("not a whole number from 0: ", c)
     wrong_kind = lambda c: _s("not of the field's type: ", c)
     known = ~F.col("_broken")
+
+    def fields(of: list[str], rule: str, failed, message, prefix: str = "_") -> Column:
+        """A finding for every field whose value fails; ``failed`` gets value and name."""
+        out = []
+        for name in of:
+            x = F.col(prefix + name.replace(".", "_"))
+            out.append(F.when(failed(x, name), finding(E, rule, F.concat(at, F.lit(f".{name}")), message(x))))
+        return F.array_compact(F.array(*out))
+
     rules = [
         check(F.col("_broken"), E, "P1", at, F.lit("not a JSON object")),
-        check_each(F.col("_required"), lambda x, i: known & x["text"].isNull(), E, "P2", here,
-                   lambda x, i: F.lit("required field missing")),
-        check_each(F.col("_kinds"), lambda x, i: (x["kind"] != "VOID") & ~F.rlike(x["kind"], x["wanted"]), E, "P2", here,
-                   lambda x, i: wrong_kind(x["kind"])),
+        fields(required, "P2", lambda x, _: known & x.isNull(), lambda x: F.lit("required field missing")),
+        fields(list(_KINDS), "P2", lambda x, name: (x != "VOID") & ~x.rlike(_KINDS[name]), wrong_kind, "_kind_"),
         check_each(F.col("_parts"), lambda x, i: ~F.rlike(x["kind"], x["wanted"]), E, "P2", here,
                    lambda x, i: wrong_kind(x["kind"])),
-        check_each(F.col("_ids"), lambda x, i: ~is_uuid(x["text"]), E, "P3", here,
-                   lambda x, i: no_uuid(x["text"])),
+        fields(list(_IDS), "P3", lambda x, _: ~is_uuid(x), no_uuid),
         check_each(F.col("_links"), lambda x, i: bad(is_uuid(x["id"])), E, "P3",
                    within("related_records", "id"), lambda x, i: no_uuid(x["id"])),
-        check_each(F.col("_times"), lambda x, i: ~is_rfc3339(x["text"]), E, "P4", here,
-                   lambda x, i: no_time(x["text"])),
+        fields(times, "P4", lambda x, _: ~is_rfc3339(x), no_time),
         check_each(F.col("_vectors"), lambda x, i: bad(is_rfc3339(x["computed_at"])), E, "P4",
                    within("embeddings", "computed_at"), lambda x, i: no_time(x["computed_at"])),
-        check_each(F.col("_numbers"), lambda x, i: ~is_whole(x["text"], most(x["name"])), E, "P5", here,
-                   lambda x, i: no_number(x["text"])),
+        fields(numbers, "P5", lambda x, name: ~is_whole(x, upto(64 if name.endswith("access_count") else 32)), no_number),
         check_each(F.col("_vectors"), lambda x, i: bad(is_whole(x["dimensions"], upto(32))), E, "P5",
                    within("embeddings", "dimensions"), lambda x, i: no_number(x["dimensions"])),
     ]

@@ -381,3 +381,42 @@ def test_a_stored_id_that_is_no_uuid_is_a_finding(spark, tmp_path):
         (tmp_path / name / ".alf-agent-id").write_text(text)
     found = workspaces.broken_agent_ids(workspaces.scan_workspaces(spark, str(tmp_path))).collect()
     assert {(r.workspace.rsplit("/", 1)[1], r.message) for r in found} == {("b", "no UUID: agent seven"), ("c", "no UUID: ")}
+
+
+def test_typed_lines_have_the_findings_of_values_one_by_one(spark, monkeypatch):
+    uid = "123e4567-e89b-12d3-a456-426614174000"
+    good = {
+        "id": uid, "agent_id": uid, "content": "a", "memory_type": "semantic", "status": "active", "namespace": "n", "confidence": 0.5,
+        "source": {"runtime": "r", "identity_version": 3}, "temporal": {"created_at": "2026-01-01T00:00:00Z", "access_count": 4},
+        "tags": ["a"], "entities": [{"name": "n", "type": "t"}], "related_records": [{"id": uid, "relation": "r"}],
+        "embeddings": [{"model": "m", "dimensions": 2, "vector": [1.0, 2], "computed_at": "2026-01-01T00:00:00Z", "source": "s"}],
+    }
+
+    def places(value, at=()):
+        for k in value if isinstance(value, dict) else range(len(value)):
+            yield (*at, k)
+            if isinstance(value[k], (dict, list)):
+                yield from places(value[k], (*at, k))
+
+    lines = [json.dumps(good)]
+    for at in places(good):
+        for value in (None, 5, -1, 1.5, "x", "NaN", [], {}, [None], 2**64, "2026-01-01", "gone"):
+            changed = json.loads(lines[0])
+            of = changed
+            for k in at[:-1]:
+                of = of[k]
+            if value == "gone":
+                del of[at[-1]]
+            else:
+                of[at[-1]] = value
+            lines.append(json.dumps(changed, separators=(",", ":") if len(lines) % 2 else None))
+    first = lines[0]
+    lines += [
+        "", "null", f"[{first}]", first + " x", first.replace('"id": "', '"\\u0069d": "', 1), first.replace('"content": "a"', "'content': 5"),
+        first.replace('"content": "a"', '"c\\u006fntent": 5'), first.replace('{"id"', '{"id": "zz", "id"', 1), first.replace("0.5", "NaN"),
+        first.replace('"content": "a"', '"content": "a", "more": {"a": 1, "a": 2}'),
+    ]
+    df = spark.createDataFrame([("p", i, line) for i, line in enumerate(lines)], "partition string, line_number long, line string")
+    typed = sorted(map(str, V.validate_lines(df).collect()))
+    monkeypatch.setattr(V, "_trusted", lambda m, t, line: F.lit(False))
+    assert typed == sorted(map(str, V.validate_lines(df).collect())) and len(typed) > 100
