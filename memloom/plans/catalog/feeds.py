@@ -169,26 +169,56 @@ def _work_dir(spark):
     return f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}"
 
 
-@query(_chain_sql(3))
-def stream_deltas(spark, sf_dir):
-    """The delta chain arriving as a stream into a state table (ST1, ST2)."""
+def _fed(spark, sf_dir):
+    """A feed of the delta chain that arrives out of order, in three runs of one stream.
+
+    The second deltas come first and wait.  Then the first ones come, each with another
+    delta of the same base; at last the third, with some whose base nobody has.
+    """
     from memloom.streaming import ingest
 
     work = _work_dir(spark)
     base, deltas = v.chain(spark, sf_dir)
     sequences = base.select("agent_id", F.lit(0).cast("bigint").alias("last_sequence")).distinct()
-    state = ingest.init_state(base, sequences, f"{work}/state", buckets=8)
+    feed = ingest.start_feed(base, sequences, f"{work}/feed")
     # an agent's delta starts from the one it had before
-    heads = deltas.select("agent_id", "delta_seq").distinct().withColumn(
+    heads = deltas.groupBy("agent_id", "delta_seq").agg(F.count(F.lit(1)).alias("record_count")).withColumn(
         "base_sequence",
         F.coalesce(F.lag("delta_seq").over(Window.partitionBy("agent_id").orderBy("delta_seq")), F.lit(0)).cast("bigint"),
     )
-    sizes = deltas.groupBy("agent_id", "delta_seq").agg(F.count(F.lit(1)).alias("record_count"))
-    rows = deltas.join(heads, ["agent_id", "delta_seq"]).join(sizes, ["agent_id", "delta_seq"])
-    rows.write.parquet(f"{work}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
-    ingest.stream_apply_deltas(stream, state, f"{work}/checkpoint", "hold").awaitTermination()
-    return _flat(state.records())
+    rows = deltas.join(heads, ["agent_id", "delta_seq"])
+    first, third = (rows.where(F.col("delta_seq") == n) for n in (1, 3))
+    runs = [
+        rows.where("delta_seq = 2"),
+        first.unionByName(first.withColumn("delta_seq", F.lit(99))),
+        third.unionByName(third.withColumns({"base_sequence": F.lit(50).cast("bigint"), "delta_seq": F.lit(51)})),
+    ]
+    for run in runs:
+        run.write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
+        ingest.stream_apply_deltas(stream, feed, f"{work}/checkpoint", "hold").awaitTermination()
+    return feed
+
+
+@query(_chain_sql(3))
+def stream_deltas(spark, sf_dir):
+    """The delta chain arriving as a stream, out of order (ST1, ST2)."""
+    return _flat(_fed(spark, sf_dir).records())
+
+
+_GIVEN = "k % 5 = {0} OR k % 11 = {0} OR (k % 13 = {0} AND k % 11 <> {0}) OR k % 17 = {0}"
+
+
+@query(f"""WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS agent_id, o_orderkey AS k FROM orders)
+SELECT DISTINCT agent_id, CAST(0 AS BIGINT) AS base_sequence, 99 AS delta_seq, 'conflict' AS verdict, false AS waits FROM b WHERE {_GIVEN.format(1)}
+UNION ALL SELECT DISTINCT agent_id, 50, 51, 'gap', true FROM b WHERE {_GIVEN.format(3)}""")
+def stream_refusals(spark, sf_dir):
+    """Deltas that the same stream refused, and those that still wait for an earlier one (ST2)."""
+    feed = _fed(spark, sf_dir)
+    refused = feed.rejects().drop("batch").withColumn("waits", F.lit(False))
+    head = ["agent_id", "base_sequence", "delta_seq"]
+    waiting = feed.held().select(*head).distinct().withColumns({"verdict": F.lit("gap"), "waits": F.lit(True)})
+    return refused.unionByName(waiting)
 
 
 @query("SELECT 'o' || o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS agent_id FROM orders")

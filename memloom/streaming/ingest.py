@@ -1,10 +1,10 @@
-"""Deltas applied to a state table as they arrive (ST1, ST2); record feeds (ST3).
+"""Deltas judged and logged as they arrive (ST1, ST2); record feeds (ST3).
 
-The state is a set of Parquet folders by micro-batch and bucket of agents.  A batch
-rewrites only the buckets it touches, under its own batch number, and becomes visible
-when its commit is written; a batch that is run again replaces its own folders, and one
-already committed does nothing.  So losing executors or the driver at any point leaves
-the last committed state.
+A feed is plain Parquet: the records and sequences it starts from, and a log with a folder
+for each micro-batch.  A batch is judged by what stood before it and writes its folder in
+one job, so a batch that runs again writes the same rows again.  Records are the base with
+the accepted entries of the log, folded by :func:`apply_deltas`; :func:`fold_feed` makes
+that the base of a new feed.
 """
 
 from __future__ import annotations
@@ -19,102 +19,88 @@ from pyspark.sql.streaming import StreamingQuery
 from memloom.operators.delta import apply_deltas
 from memloom.schemas import ORD
 from memloom.sources.archives import records_of_lines, text_lines
-from memloom.sources.sinks import with_bucket
 
-_SEQ = "agent_id string, last_sequence bigint"
-INITIAL = -1
+_HEAD = ["agent_id", "base_sequence", "delta_seq"]
+#: Batch number of what a feed starts with.
+START = -1
 
 
 @dataclass(frozen=True)
-class State:
-    """Location of a state table and its fixed number of agent buckets."""
+class Feed:
+    """The folders of a feed: ``base``, ``sequences``, ``start`` and ``log/batch=N``."""
 
     spark: SparkSession
     path: str
-    buckets: int = 256
 
-    def _table(self, name: str) -> DataFrame | None:
+    def log(self) -> DataFrame | None:
+        """Every entry with the ``verdict`` on its delta and whether it ``waits``."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
+            return self.spark.read.parquet(f"{self.path}/log")
         except AnalysisException as problem:
-            # no folder yet, or nothing in it
             if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
+                return None  # no batch yet
             raise
 
-    def committed(self) -> dict[int, int]:
-        """Batch that holds each bucket; at most one entry per bucket."""
-        commits = self._table("commits")
-        if commits is None:
-            return {}
-        rows = commits.where("bucket >= 0").groupBy("bucket").agg(F.max("batch").alias("batch"))
-        return {r.bucket: r.batch for r in rows.collect()}
-
-    def is_done(self, batch: int) -> bool:
-        commits = self._table("commits")
-        return commits is not None and bool(commits.where(F.col("batch") == batch).limit(1).count())
+    def start(self) -> int:
+        """Last batch that the base holds already."""
+        return self.spark.read.parquet(f"{self.path}/start").first().batch
 
     def last_batch(self) -> int | None:
-        commits = self._table("commits")
-        return None if commits is None else commits.agg(F.max("batch").alias("b")).first().b
-
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """Committed rows of ``records`` or ``sequences``, directories pruned to them."""
-        where = self.committed()
-        if buckets is not None:
-            where = {b: n for b, n in where.items() if b in set(buckets)}
-        live = [f"{n}:{b}" for b, n in where.items()]
-        table = self._table(name)
-        if table is None:
-            if name == "sequences":
-                return self.spark.createDataFrame([], _SEQ)
-            raise ValueError(f"no state at {self.path}; start it with init_state")
-        return table.where(F.concat_ws(":", "batch", "bucket").isin(live)).drop("batch", "bucket")
+        log = self.log()
+        return None if log is None else log.agg(F.max("batch")).first()[0]
 
     def records(self) -> DataFrame:
-        return self.read("records")
-
-    def sequences(self) -> DataFrame:
-        return self.read("sequences")
+        """The record list as the log leaves it."""
+        base, log = self.spark.read.parquet(f"{self.path}/base"), self.log()
+        return base if log is None else apply_deltas(base, log.where("verdict = 'accept'"))
+
+    def sequences(self, before: int | None = None) -> DataFrame:
+        """Last accepted sequence of each agent, or the one ``before`` a batch."""
+        rows = self.spark.read.parquet(f"{self.path}/sequences")
+        log = self.log()
+        if log is not None:
+            taken = log.where("verdict = 'accept'")
+            if before is not None:
+                taken = taken.where(F.col("batch") < before)
+            rows = rows.unionByName(taken.select("agent_id", F.col("delta_seq").cast("bigint").alias("last_sequence")))
+        return rows.groupBy("agent_id").agg(F.max("last_sequence").alias("last_sequence"))
 
     def rejects(self) -> DataFrame | None:
-        """Every delta refused so far, with its reason; committed batches only."""
-        table = self._table("rejects")
-        commits = self._table("commits")
-        if table is None or commits is None:
+        """Every delta refused so far, with its reason and batch."""
+        log = self.log()
+        return None if log is None else log.where("verdict <> 'accept' AND NOT waits").select(
+            *_HEAD, "verdict", "batch").distinct()
+
+    def held(self, before: int | None = None) -> DataFrame | None:
+        """Entries that wait for an earlier delta, as the last batch (``before`` one) left them."""
+        log = self.log()
+        if log is None:
             return None
-        return table.join(commits.select("batch").distinct(), "batch", "left_semi")
-
-    def held(self, batch: int | None = None) -> DataFrame | None:
-        """Entries waiting for an earlier delta, as the last committed batch left them."""
-        batch = self.last_batch() if batch is None else batch
-        table = self._table("held")
-        return None if table is None or batch is None else table.where(F.col("batch") == batch).drop("batch")
-
-    def write(self, name: str, df: DataFrame, batch: int, bucketed: bool = True) -> None:
-        path = f"{self.path}/{name}/batch={batch}"
-        if bucketed:
-            df = with_bucket(df, self.buckets).hint("rebalance", "bucket")
-            writer = df.write.partitionBy("bucket")
-        else:
-            writer = df.write
-        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-
-    def commit(self, batch: int, buckets: list[int]) -> None:
-        # bucket -1 marks a batch that changed nothing
-        rows = [(b,) for b in buckets] or [(-1,)]
-        self.spark.createDataFrame(rows, "bucket int").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/commits/batch={batch}"
-        )
-
-
-def init_state(records: DataFrame, sequences: DataFrame, path: str, buckets: int = 256) -> State:
-    """Start a state table from records and ``agent_id, last_sequence`` rows."""
-    state = State(records.sparkSession, path, buckets)
-    state.write("records", records.withColumn("ord", F.col("ord").cast(ORD)), INITIAL)
-    state.write("sequences", sequences.select("agent_id", "last_sequence"), INITIAL)
-    state.commit(INITIAL, list(range(buckets)))
-    return state
+        past = log if before is None else log.where(F.col("batch") < before)
+        last = past.agg(F.max("batch")).first()[0]
+        return past.where(F.col("batch") == last).where("waits").drop("verdict", "waits", "batch")
+
+
+def start_feed(records: DataFrame, sequences: DataFrame, path: str, batch: int = START) -> Feed:
+    """Start a feed from records and ``agent_id, last_sequence`` rows, as they are after ``batch``."""
+    spark = records.sparkSession
+    spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/start")
+    records.withColumn("ord", F.col("ord").cast(ORD)).write.mode("overwrite").parquet(f"{path}/base")
+    sequences.select("agent_id", F.col("last_sequence").cast("bigint")).write.mode("overwrite").parquet(f"{path}/sequences")
+    return Feed(spark, path)
+
+
+def fold_feed(feed: Feed, path: str) -> Feed:
+    """A new feed at ``path`` whose base holds what the log of ``feed`` did; what waits goes on waiting.
+
+    Run between two runs of the stream, which goes on with the new feed and its old checkpoint.
+    """
+    last = feed.last_batch()
+    out = start_feed(feed.records(), feed.sequences(), path, feed.start() if last is None else last)
+    if last is not None:
+        feed.log().where((F.col("batch") == last) & F.col("waits")).drop("batch").write.mode("overwrite").parquet(
+            f"{path}/log/batch={last}")
+    return out
 
 
 def gate(deltas: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -158,51 +144,40 @@ def gate(deltas: DataFrame, sequences: DataFrame) -> DataFrame:
     )
 
 
-def apply_batch(state: State, batch_df: DataFrame, batch: int, on_gap: str = "reject") -> None:
-    """Apply one micro-batch of deltas to the state; a committed batch is skipped (ST1)."""
-    if state.is_done(batch):
+def apply_batch(feed: Feed, batch_df: DataFrame, batch: int, on_gap: str = "reject") -> None:
+    """Judge one micro-batch of deltas and write it to the log (ST1).
+
+    Batches before ``batch`` are all that counts, so a repeated batch gives the same rows.
+    Spark repeats the last batch only: an older number comes from a checkpoint that is not
+    this feed's and is refused, and one that the base holds after a fold does nothing.  An
+    entry that comes twice (same delta, ``pos``, id and operation) counts once.
+    """
+    if batch <= feed.start():
         return
+    last = feed.last_batch()
+    if last is not None and batch < last:
+        raise ValueError(f"batch {batch} comes after batch {last} of {feed.path}; the checkpoint is not this feed's")
     incoming = batch_df
-    waiting = state.held()
+    waiting = feed.held(before=batch)
     if waiting is not None:
         incoming = incoming.unionByName(waiting, allowMissingColumns=True)
-    incoming = incoming.persist()
-    try:
-        touched = sorted(
-            r.bucket for r in with_bucket(incoming, state.buckets).select("bucket").distinct().collect()
-        )
-        sequences = state.read("sequences", touched)
-        verdicts = gate(incoming, sequences)
-        key = ["agent_id", "base_sequence", "delta_seq"]
-        judged = incoming.join(verdicts.select(*key, "verdict"), key)
-
-        accepted = judged.where("verdict = 'accept'")
-        records = apply_deltas(state.read("records", touched), accepted)
-        moved = verdicts.where("verdict = 'accept'").groupBy("agent_id").agg(
-            F.max("delta_seq").cast("bigint").alias("_to")
-        )
-        advanced = sequences.join(moved, "agent_id", "full_outer").select(
-            "agent_id", F.coalesce("_to", "last_sequence").alias("last_sequence")
-        )
-        keep = F.col("verdict").isin("gap", "incomplete") if on_gap == "hold" else F.lit(False)
-        state.write("records", records, batch)
-        state.write("sequences", advanced, batch)
-        state.write("held", judged.where(keep).drop("verdict"), batch, bucketed=False)
-        refused = verdicts.where((F.col("verdict") != "accept") & ~keep)
-        state.write("rejects", refused, batch, bucketed=False)
-        state.commit(batch, touched)
-    finally:
-        incoming.unpersist()
+    incoming = incoming.dropDuplicates([*_HEAD, "pos", "id", "operation"])
+    # only agents of this batch are looked up
+    sequences = feed.sequences(before=batch).join(incoming.select("agent_id").distinct(), "agent_id", "left_semi")
+    verdicts = gate(incoming, sequences).select(*_HEAD, "verdict")
+    waits = F.col("verdict").isin("gap", "incomplete") if on_gap == "hold" else F.lit(False)
+    incoming.join(verdicts, _HEAD).withColumn("waits", waits).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(f"{feed.path}/log/batch={batch}")
 
 
 def stream_apply_deltas(
     stream: DataFrame,
-    state: State,
+    feed: Feed,
     checkpoint: str,
     on_gap: str = "reject",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Apply a stream of delta entries to ``state`` in sequence order per agent (ST1).
+    """Apply a stream of delta entries to ``feed`` in sequence order per agent (ST1).
 
     ``stream``: delta entries with ``base_sequence``, ``delta_seq`` and ``record_count``.  With
     ``on_gap="reject"`` a delta whose predecessor is missing is refused; with ``"hold"``
@@ -211,7 +186,7 @@ def stream_apply_deltas(
     if on_gap not in ("reject", "hold"):
         raise ValueError("on_gap must be 'reject' or 'hold'")
     return (
-        stream.writeStream.foreachBatch(lambda df, n: apply_batch(state, df, n, on_gap))
+        stream.writeStream.foreachBatch(lambda df, n: apply_batch(feed, df, n, on_gap))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

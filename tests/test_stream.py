@@ -3,6 +3,7 @@ import uuid
 from collections import Counter
 
 import models
+import pytest
 from pyspark.sql import functions as F
 
 from memloom.streaming import ingest
@@ -28,7 +29,7 @@ def write(spark, path, name, rows):
 def start(spark, tmp_path, base):
     rows = [(a, i, (0, n), c) for a, lst in base.items() for n, (i, c) in enumerate(lst)]
     seqs = spark.createDataFrame([(a, 0) for a in base], "agent_id string, last_sequence bigint")
-    return ingest.init_state(spark.createDataFrame(rows, BASE), seqs, str(tmp_path / "state"), buckets=4)
+    return ingest.start_feed(spark.createDataFrame(rows, BASE), seqs, str(tmp_path / "feed"))
 
 
 def lists(df):
@@ -61,10 +62,12 @@ def test_deltas_arrive_in_order(spark, tmp_path):
     assert [(r.agent_id, r.verdict) for r in state.rejects().collect()] == [("b", "gap")]
     before = lists(state.records())
     replay = counted(spark, [("a", "1", 0, 1, 0, "delete", "")])
-    ingest.apply_batch(state, replay, 0)
-    assert lists(state.records()) == before
-    ingest.apply_batch(state, replay, 99)
+    with pytest.raises(ValueError, match="not this feed's"):
+        ingest.apply_batch(state, replay, 0)
+    for _ in range(2):  # a batch that runs again writes the same rows
+        ingest.apply_batch(state, replay, 99)
     assert lists(state.records()) == before
+    assert state.rejects().where("batch = 99").count() == 1
     assert {r.verdict for r in state.rejects().collect()} == {"gap", "stale"}
 
 
@@ -105,6 +108,38 @@ def test_a_delta_in_two_batches_is_applied_whole(spark, tmp_path):
     assert [r.verdict for r in state.rejects().collect()] == ["uncounted"]
 
 
+def test_an_applied_batch_runs_again(spark, tmp_path):
+    state = start(spark, tmp_path, {"a": [("1", "x")]})
+    rows = counted(spark, [("a", "2", 0, 1, 0, "create", "n")])
+    for _ in range(2):
+        ingest.apply_batch(state, rows, 0)
+    assert lists(state.records()) == {"a": [("1", "x"), ("2", "n")]} and state.rejects().count() == 0
+
+
+def test_a_part_sent_twice_does_not_make_a_delta_whole(spark, tmp_path):
+    rows = counted(spark, [("a", "1", 0, 1, 0, "update", "x1"), ("a", "2", 0, 1, 1, "create", "n")])
+    state = start(spark, tmp_path, {"a": [("1", "x")]})
+    for n in (0, 1):
+        ingest.apply_batch(state, rows.where("pos = 0"), n, "hold")
+    assert lists(state.records()) == {"a": [("1", "x")]} and state.held().count() == 1
+    ingest.apply_batch(state, rows.where("pos = 1"), 2, "hold")
+    assert lists(state.records()) == {"a": [("1", "x1"), ("2", "n")]}
+
+
+def test_a_folded_feed_goes_on(spark, tmp_path):
+    state = start(spark, tmp_path, {"a": [("1", "x")], "b": [("1", "z")]})
+    assert ingest.fold_feed(state, str(tmp_path / "unused")).start() == ingest.START
+    first = counted(spark, [("a", "1", 0, 1, 0, "update", "x1"), ("b", "1", 1, 2, 0, "update", "z2")])
+    ingest.apply_batch(state, first, 0, "hold")
+    folded = ingest.fold_feed(state, str(tmp_path / "folded"))
+    assert lists(folded.records()) == {"a": [("1", "x1")], "b": [("1", "z")]}
+    ingest.apply_batch(folded, first, 0, "hold")  # the base holds it
+    assert folded.held().count() == 1 and folded.rejects().count() == 0
+    ingest.apply_batch(folded, counted(spark, [("b", "2", 0, 1, 0, "create", "n")]), 1, "hold")
+    assert lists(folded.records()) == {"a": [("1", "x1")], "b": [("1", "z2"), ("2", "n")]}
+    assert {r.agent_id: r.last_sequence for r in folded.sequences().collect()} == {"a": 1, "b": 2}
+
+
 def test_record_stream(spark, tmp_path):
     d = tmp_path / "lines"
     d.mkdir()
