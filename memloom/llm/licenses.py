@@ -9,7 +9,7 @@ name with version, a bare name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +21,8 @@ GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BEGIN, END = "\x01", "\x02"
-#: No rule spans more words.
-LONGEST = 24
+#: Detections that are compared one by one; of those before, only the greatest end counts.
+BLOCK = 64
 
 # fixed values: the phrases whose places are counted, and their labels
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -256,14 +256,19 @@ def places(words: Column, pattern: Column) -> Column:
     return F.arrays_zip(at(lambda w: w.startswith(BEGIN)).alias("first"), at(lambda w: w.endswith(END)).alias("last"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literal(rows: list[Rule]) -> Column:
-    """The rules of each keyword, as an array of structs."""
-    of: dict[str, list[Column]] = {}
+    """The rules of each keyword, as an array of structs; one constant expression."""
+    of: dict[str, list[str]] = {}
     for n, r in enumerate(rows):
-        of.setdefault(r.keyword, []).append(F.struct(
-            F.lit(n).alias("nth"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"),
-            F.lit(r.confidence).alias("confidence")))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*found).alias("rules")) for k, found in of.items()])
+        of.setdefault(r.keyword, []).append(
+            f"named_struct('nth', {n}, 'label', {_quoted(r.label)}, 'pattern', {_quoted(r.pattern)}, "
+            f"'confidence', {r.confidence}D)")
+    groups = [f"named_struct('keyword', {_quoted(k)}, 'rules', array({', '.join(found)}))" for k, found in of.items()]
+    return F.expr(f"array({', '.join(groups)})")
 
 
 def detect(words: Column, table: list[Rule]) -> Column:
@@ -276,22 +281,46 @@ def detect(words: Column, table: list[Rule]) -> Column:
                            r["label"].alias("label"), r["confidence"].alias("confidence")))))
 
 
-def suppress(found: Column, table: list[Rule]) -> Column:
-    """The detections that none other stands over.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once (a one-element list stands in for a let)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def suppress(found: Column) -> Column:
+    """The detections that none other stands over, by place.
 
     One stands over those within its words: a wider one always, since it has read more of
     the same licence text, and of two on the same words the one of the earlier rule.
-    ``found`` is sorted by place, so only neighbours are compared: so many as all rules
-    together can give within ``LONGEST`` words.
+    By first word, then the farther last one, then rule, each comes after all that may
+    stand over it, and falls if one before it ends where it ends or later.  The greatest
+    end before it is known for its block of ``BLOCK``; only in the block are neighbours read.
     """
-    reach = LONGEST * len(table)
+    order = lambda d: F.struct(
+        d["first"].alias("first"), (-d["last"]).alias("back"), d["nth"].alias("nth"), d["label"].alias("label"),
+        d["confidence"].alias("confidence"))
+    plain = lambda d: F.struct(
+        d["first"].alias("first"), (-d["back"]).alias("last"), d["nth"].alias("nth"), d["label"].alias("label"),
+        d["confidence"].alias("confidence"))
+
+    def cut(rows: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))
+        some = F.when(F.size(rows) > 0, F.transform(numbers, lambda b: F.slice(rows, b * BLOCK + 1, BLOCK)))
+        return F.transform(some, lambda b: F.struct(
+            b.alias("rows"), F.array_min(F.transform(b, lambda d: d["back"])).alias("back")))
+
+    def stay(block: Column, before: Column) -> Column:
+        return F.filter(block, lambda d, i: ~(before <= d["back"]) & ~F.exists(
+            F.slice(block, 1, i), lambda e: e["back"] <= d["back"]))
+
+    def left(blocks: Column) -> Column:
+        def of(block: Column, i: Column) -> Column:
+            least = F.array_min(F.transform(F.slice(blocks, 1, i), lambda b: b["back"]))
+            return _let(F.coalesce(least, F.lit(1)), lambda before: stay(block["rows"], before))
 
-    def under(d: Column, i: Column) -> Column:
-        near = F.slice(found, F.greatest(i + 1 - reach, F.lit(1)), 2 * reach)
-        return F.exists(near, lambda e: (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & (
-            (e["last"] - e["first"] > d["last"] - d["first"]) | (e["nth"] < d["nth"])))
+        return F.transform(F.flatten(F.transform(blocks, of)), plain)
 
-    return F.filter(found, lambda d, i: ~under(d, i))
+    ordered = F.array_sort(F.transform(found, order))
+    return F.coalesce(_let(ordered, lambda rows: _let(cut(rows), left)), found)
 
 
 def scan_licenses(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
@@ -321,9 +350,9 @@ def scan_licenses(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame
     docs = docs.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"),
         F.when(F.col("likely"), F.flatten(F.array(*[F.coalesce(b, nothing) for b in base]))).otherwise(nothing).alias("base"),
-        F.when(F.col("likely"), F.array_sort(detect(F.col("words"), table))).otherwise(none).alias("found"),
+        F.when(F.col("likely"), detect(F.col("words"), table)).otherwise(none).alias("found"),
     )
-    docs = docs.select("doc_id", "n_words", "base", suppress(F.col("found"), table).alias("detections"))
+    docs = docs.select("doc_id", "n_words", "base", suppress(F.col("found")).alias("detections"))
     starts = F.transform("base", lambda b: b["first"].cast("long"))
     names = F.array_distinct(F.transform("base", lambda b: b["label"]))
     more = F.transform("detections", lambda d: d["label"])

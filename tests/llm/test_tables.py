@@ -1,6 +1,7 @@
 """Token counts, shards, licences, packing and the pipeline."""
 
 import re
+import time
 import uuid
 import zlib
 
@@ -78,6 +79,29 @@ CASES = [
 ]
 
 
+def test_suppression_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    lists = [[(int(a), int(a + w), int(n), f"l{n}", 0.5) for n, (a, w) in enumerate(zip(
+        rng.integers(0, reach, size), rng.integers(0, 9, size)))] for size, reach in
+        [(0, 1), (1, 1), (64, 20), (65, 900), (300, 400), (1000, 4000), (2000, 100)]]
+    kind = "array<struct<first:int,last:int,nth:int,label:string,confidence:double>>"
+    rows = spark.createDataFrame(list(enumerate(lists)), f"n int, found {kind}")
+    got = {r["n"]: [tuple(d) for d in r["left"]] for r in rows.select("n", licenses.suppress(F.col("found")).alias("left")).collect()}
+    for n, found in enumerate(lists):
+        want = [d for d in found if not any(
+            e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[2] < d[2]) for e in found)]
+        assert got[n] == sorted(want), n
+
+
+def test_thousands_of_grants_in_one_text(spark):
+    grant = "licensed under the Apache License, Version 2.0. "
+    docs = spark.createDataFrame([(1, grant * 6000)], "doc_id long, text string")
+    found = licenses.scan_licenses(docs).select("n_base", F.size("detections").alias("n"))
+    start = time.perf_counter()
+    assert [tuple(r) for r in found.collect()] == [(6000, 6000)]
+    assert time.perf_counter() - start < 30
+
+
 def test_licenses_against_brute_force(spark):
     table = licenses.rules()
     assert len(table) > 300 and len({r.pattern for r in table}) > 300
