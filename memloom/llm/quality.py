@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,13 @@ ROUNDS = 3
 CONFIDENT = 0.97
 #: A handed row counts less than a labelled one.
 HANDED_WEIGHT = 0.5
-#: Places for the values of one metadata column.
-VALUES = 32
+#: Values of one metadata column that have a place of their own, the most frequent of all
+#: documents; all others share one.
+PLACES = 256
+#: Steps of the size of a text.
+STEPS = 16
+#: Scale of metadata places: one for all, so that the ridge holds rare values near zero.
+PLACE_SCALE = 0.5
 
 VIEWS = ("content", "metadata")
 _BYTES = {name: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for name, chars in {
@@ -69,18 +75,23 @@ def content_features(column: pa.Array) -> np.ndarray:
     return np.column_stack([out, out ** 2]).astype(np.float32)
 
 
-def metadata_features(values: list[pa.Array], sizes: pa.Array) -> np.ndarray:
-    """A place for each value of each column of ``values``, and the size in steps."""
-    n = len(sizes)
-    out = np.zeros((n, VALUES * len(values) + 16), np.float32)
-    for c, column in enumerate(values):
-        data, offsets = text_bytes(column.cast(pa.string()))
-        at = span_hash(data, offsets[:-1], offsets[1:]) % np.uint64(VALUES)
-        out[np.arange(n), c * VALUES + at.astype(np.int64)] = 1
+def frequent_values(docs: DataFrame, values: tuple[str, ...]) -> list[list[str | None]]:
+    """The ``PLACES`` most frequent values of each column, null among them, equal counts by value."""
+    return [[r[0] for r in docs.groupBy(F.col(v).cast("string").alias("v")).count()
+             .orderBy(F.desc("count"), F.asc_nulls_first("v")).limit(PLACES).collect()] for v in values]
+
+
+def metadata_features(values: list[pa.Array], sizes: pa.Array, known: list[list[str | None]]) -> np.ndarray:
+    """For each row the number of all places, and the places that are one: a value of each column, and a step of the size."""
+    columns, start = [], 0
+    for column, own in zip(values, known):
+        at = pc.fill_null(pc.index_in(column.cast(pa.string()), value_set=pa.array(own, pa.string())), len(own))
+        columns.append(start + at.to_numpy(zero_copy_only=False).astype(np.int32))
+        start += len(own) + 1
     size = sizes.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
-    step = np.clip(np.log2(1 + np.maximum(np.nan_to_num(size), 0)), 0, 15).astype(int)
-    out[np.arange(n), VALUES * len(values) + step] = 1
-    return out
+    step = np.clip(np.log2(1 + np.maximum(np.nan_to_num(size), 0)), 0, STEPS - 1).astype(np.int32)
+    width = np.full(len(sizes), start + STEPS, np.int32)
+    return np.column_stack([width, *columns, start + step]).astype(np.int32)
 
 
 @dataclass
@@ -114,12 +125,17 @@ class Model:
         return sum(odds) - (len(odds) - 1) * self.prior
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, labelled: np.ndarray, fold: np.ndarray) -> View:
-    """Weights from all rows but the labelled ones of ``fold``, which calibrate them."""
+def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, labelled: np.ndarray, fold: np.ndarray,
+             places: bool = False) -> View:
+    """Weights from all rows but the labelled ones of ``fold``, which calibrate them.
+
+    Numbers are scaled by their spread, ``places`` (0 or 1) all alike.
+    """
     own = ~(labelled & fold)
     if len(np.unique(y[own])) < 2 or len(np.unique(y[labelled & fold])) < 2:
         own = np.ones(len(y), bool)  # too few labels to keep some back
-    mean, scale = x[own].mean(axis=0), np.maximum(x[own].std(axis=0), 1e-3)
+    mean = x[own].mean(axis=0)
+    scale = np.full(x.shape[1], PLACE_SCALE) if places else np.maximum(x[own].std(axis=0), 1e-3)
     view = View(mean, scale, logistic((x[own] - mean) / scale, y[own], weight[own], ridge=1.0))
     back = labelled & fold if not own.all() else labelled
     z = view.log_odds(x[back])
@@ -143,11 +159,12 @@ def features(docs: DataFrame, values: tuple[str, ...] = ("source", "lang"), size
     kept = ["doc_id", "digest", *["text", "given"] * carry]
     schema = widened(base.select(*kept).schema, content="binary", metadata="binary")
     n = len(values)
+    known = frequent_values(docs, values)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             views = (content_features(batch.column("text")),
-                     metadata_features([batch.column(f"v{i}") for i in range(n)], batch.column("size")))
+                     metadata_features([batch.column(f"v{i}") for i in range(n)], batch.column("size"), known))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in kept), *(pa.array([row.tobytes() for row in v], pa.binary()) for v in views)],
                 names=[*kept, *VIEWS])
@@ -164,9 +181,19 @@ def with_labels(made: DataFrame, labels: DataFrame) -> DataFrame:
     return made.select("doc_id", "digest", *VIEWS).join(own, "doc_id", "left")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _numbers(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(float) if blobs else np.zeros((0, 1))
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1) if blobs else np.zeros((0, 1), kind)
+
+
+def _matrix(view: str, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of numbers out of the blobs of a view."""
+    if view == "content":
+        return _numbers(column, np.float32).astype(float)
+    places = _numbers(column, np.int32)
+    out = np.zeros((len(places), int(places[0, 0]) if len(places) else 1))
+    out[np.arange(len(places))[:, None], places[:, 1:]] = 1
+    return out
 
 
 def _score(table: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +205,7 @@ def _score(table: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                odds = shared.value.log_odds([_matrix(batch.column(v)) for v in VIEWS])
+                odds = shared.value.log_odds([_matrix(v, batch.column(v)) for v in VIEWS])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *map(pa.array, odds)],
                                                  names=[*kept, *(f"{v}_odds" for v in VIEWS)])
 
@@ -198,13 +225,13 @@ def co_train(table: DataFrame, rounds: int = ROUNDS) -> Model:
     if len(sizes) < 2:  # nothing to tell apart
         return Model(prior=12.0 if sizes.get(1) else -12.0 if sizes else 0.0)
     rows = sample_by(known, "label", SAMPLE_ROWS).select("digest", "label", *VIEWS).dropDuplicates(["digest"]).toArrow()
-    x = [_matrix(rows.column(v)) for v in VIEWS]
+    x = [_matrix(v, rows.column(v)) for v in VIEWS]
     y = rows.column("label").to_numpy().astype(float)
     weight = np.array([max(1.0, sizes[int(label)] / SAMPLE_ROWS) for label in y])
     fold = rows.column("digest").to_numpy().view(np.uint64) % np.uint64(4) == 0
     labelled = np.ones(len(y), bool)
     rate = sizes[1] / sum(sizes.values())
-    model = Model([fit_view(v, y, weight, labelled, fold) for v in x], float(np.log(rate / (1 - rate))))
+    model = Model([fit_view(v, y, weight, labelled, fold, name != "content") for name, v in zip(VIEWS, x)], float(np.log(rate / (1 - rate))))
     sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     fresh = table.where("label IS NULL")
     for _ in range(rounds):
@@ -218,10 +245,11 @@ def co_train(table: DataFrame, rounds: int = ROUNDS) -> Model:
             more = (fresh.select("digest", view).join(F.broadcast(handed), "digest")
                     .dropDuplicates(["digest"]).toArrow())
             given = more.column("taught").to_numpy().astype(float)
-            extra = _matrix(more.column(view)) if len(given) else np.zeros((0, x[i].shape[1]))
+            extra = _matrix(view, more.column(view)) if len(given) else np.zeros((0, x[i].shape[1]))
             views.append(fit_view(
                 np.vstack([x[i], extra]), np.r_[y, given], np.r_[weight, np.full(len(given), HANDED_WEIGHT)],
-                np.r_[labelled, np.zeros(len(given), bool)], np.r_[fold, np.zeros(len(given), bool)]))
+                np.r_[labelled, np.zeros(len(given), bool)], np.r_[fold, np.zeros(len(given), bool)],
+                view != "content"))
         model = Model(views, model.prior)
     return model
 
@@ -231,7 +259,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, carr
 
     Null and empty texts, null metadata, null ids and repeated rows are scored like any
     other row.  Without labels of both kinds the score is what the labels say, or 0.5
-    where there are none.  An empty table gives none.  Labels of held-out ids are not used;
+    where there are none.  A value of a metadata column has a place of its own if it is
+    among the ``PLACES`` most frequent.  An empty table gives none.  Labels of held-out ids are not used;
     an id labelled twice is bad if any label says so.
     """
     table = features(docs, carry=carry, **columns)
