@@ -80,7 +80,7 @@ FROM p JOIN w USING (agent_id, path, grp) GROUP BY {group}"""
 @query(_assembled_sql("openclaw", "", "agent_id, path"))
 def files_openclaw(spark, sf_dir):
     """Whole files rebuilt from records."""
-    whole = migrate.assemble_files(migrate.file_parts(_records(spark, sf_dir), "openclaw"))
+    whole = migrate.rebuilt_files(_records(spark, sf_dir), "openclaw")
     return whole.select("agent_id", "path", "n_records", F.md5("content").alias("content_md5"))
 
 
@@ -91,6 +91,32 @@ def file_parts_zeroclaw(spark, sf_dir):
     return parts.select("agent_id", "path", F.col("part.slice").alias("slice"), "n_records", F.md5("content").alias("content_md5"))
 
 
+@query(f"""WITH {_SPACES}, p AS (SELECT *, {_PATHS['openclaw']} AS path, {_GROUPS['openclaw']} AS grp FROM r),
+w AS (SELECT agent_id, path, max(grp) AS grp FROM p GROUP BY 1, 2)
+SELECT 'a' || agent_id AS agent_id, path, true AS whole, md5(string_agg(content, chr(10) || chr(10) ORDER BY pos)) AS content_md5
+FROM p JOIN w USING (agent_id, path, grp) GROUP BY agent_id, path
+UNION ALL SELECT DISTINCT 'a' || agent_id, '.alf-agent-id', true, md5('a' || agent_id) FROM r""")
+def imported_files(spark, sf_dir):
+    """Files of a snapshot without raw ones, rebuilt for a runtime."""
+    from memloom.plans.export import import_files
+    from memloom.sources.sinks import Snapshot
+
+    records = _records(spark, sf_dir).withColumn("agent_id", F.concat(F.lit("a"), "agent_id"))
+    manifests = records.select("agent_id").distinct()
+    files = import_files(Snapshot(records, manifests), "openclaw")
+    return files.select("agent_id", "path", F.col("part").isNull().alias("whole"), F.md5("data").alias("content_md5"))
+
+
+@query(_assembled_sql("zeroclaw", "", "agent_id, path"))
+def adapter_files(spark, sf_dir):
+    """Files through the adapter registered for a runtime."""
+    from memloom.plans import export  # noqa: F401 - registers the runtimes
+    from memloom.plans.registry import adapter
+
+    files = adapter("zeroclaw").to_files(_records(spark, sf_dir))
+    return files.select("agent_id", "path", "n_records", F.md5("content").alias("content_md5"))
+
+
 _TEXT = """CASE WHEN c_custkey % 3 = 0 THEN 'soul ' || c_custkey WHEN c_custkey % 3 = 1 THEN '# ' || c_name || chr(10) || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'Cook' ELSE 'AI Assistant' END || chr(10) END"""
 
 

@@ -42,9 +42,9 @@ def zeroclaw_to_records(
 
 
 register("openclaw", openclaw_to_records,
-         lambda records: migrate.assemble_files(migrate.file_parts(records, "openclaw")), "Markdown notes")
+         lambda records: migrate.rebuilt_files(records, "openclaw"), "Markdown notes")
 register("zeroclaw", zeroclaw_to_records,
-         lambda records: migrate.assemble_files(migrate.file_parts(records, "zeroclaw")),
+         lambda records: migrate.rebuilt_files(records, "zeroclaw"),
          "memory table or Markdown notes")
 
 
@@ -97,11 +97,12 @@ def export_workspaces(
 
 
 def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
-    """Whole workspace files of a snapshot for a runtime: ``agent_id, path, data``.
+    """Workspace files of a snapshot for a runtime: ``agent_id, path, part, data``.
 
     Agents whose snapshot carries the runtime's own files get exactly those; the others
     get files rebuilt from their layers and records, and everyone an agent-id file.
-    Where a file may be too large for one value, :func:`migrate.file_parts` gives its parts.
+    A file is one row, with ``part`` null, unless it is rebuilt from records and too large for
+    that (see :func:`migrate.rebuilt_files`).
     """
     agents = snapshot.manifests.select("agent_id")
     ids = migrate.agent_id_files(agents).select(
@@ -111,8 +112,8 @@ def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
     rest = agents
     if restored is not None:
         rest = agents.join(restored.select("agent_id").distinct(), "agent_id", "left_anti")
-    made = migrate.assemble_files(migrate.file_parts(snapshot.records, runtime)).select(
-        "agent_id", "path", F.col("content").cast("binary").alias("data")
+    made = migrate.rebuilt_files(snapshot.records, runtime).select(
+        "agent_id", "path", "part", F.col("content").cast("binary").alias("data")
     )
     identities, principals = snapshot.identities, snapshot.principals
     if snapshot.layer_docs is not None:  # a snapshot that was read has its layers as documents
@@ -129,8 +130,8 @@ def import_files(snapshot: Snapshot, runtime: str) -> DataFrame:
         persona = migrate.profile_files(identities, principals, runtime)
         made = made.unionByName(persona.select(
             "agent_id", "path", F.col("content").cast("binary").alias("data")
-        ))
-    out = ids.unionByName(made.join(rest, "agent_id", "left_semi"))
+        ), allowMissingColumns=True)
+    out = made.join(rest, "agent_id", "left_semi").unionByName(ids, allowMissingColumns=True)
     if restored is not None:
-        out = out.unionByName(restored.select("agent_id", "path", "data"))
+        out = out.unionByName(restored.select("agent_id", "path", "data"), allowMissingColumns=True)
     return out

@@ -282,18 +282,38 @@ def test_files_of_records(spark, monkeypatch):
     ]
     df = spark.createDataFrame(rows, """agent_id string, id string, ord struct<delta:int,pos:bigint>, namespace string,
         content string, source struct<origin_file:string>, temporal struct<created_at:timestamp,observed_at:timestamp>""")
-    got = {r.path: r.content for r in migrate.assemble_files(migrate.file_parts(df, "openclaw")).collect()}
+    got = {r.path: r.content for r in migrate.rebuilt_files(df, "openclaw").collect()}
     assert got == {
         "MEMORY.md": "c0\n\nc7\n\nc10", "memory/2026-01-01.md": "w9", "memory/2026-02-03.md": "d2",
         "memory/2026-01-05.md": "d3", "memory/core.md": "k4", "memory/session.md": "s5", "memory/x.md": "v6",
         "memory/custom:z.md": "z8"}
-    got = {r.path: r.content for r in migrate.assemble_files(migrate.file_parts(df, "zeroclaw")).collect()}
+    got = {r.path: r.content for r in migrate.rebuilt_files(df, "zeroclaw").collect()}
     assert got == {
         "memory/curated.md": "c0\n\nc7\n\nc10", "memory/2026-01-01.md": "w9", "memory/2026-02-03.md": "d2",
         "memory/2026-01-05.md": "d3\n\nv6", "memory/core.md": "k4", "memory/session_00000005.md": "s5",
         "memory/custom:z.md": "z8"}
 
 
+def test_large_files_stay_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(migrate, "PART_BYTES", 1000)
+    monkeypatch.setattr(migrate, "WHOLE_BYTES", 5000)
+    at = dt.datetime(2026, 1, 5)
+    # one path takes a third of all rows and nearly all bytes
+    rows = [("hot" if i % 3 == 0 else f"a{i % 50}", str(i), (0, i), "curated", f"{i} " * (60 if i % 3 == 0 else 1), (None,), (at, None))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, """agent_id string, id string, ord struct<delta:int,pos:bigint>, namespace string,
+        content string, source struct<origin_file:string>, temporal struct<created_at:timestamp,observed_at:timestamp>""")
+    want = {}
+    for r in rows:
+        want.setdefault(r[0], []).append(r[5 - 1])
+    got = {}
+    for r in migrate.rebuilt_files(df, "openclaw").orderBy("agent_id", "part").collect():
+        got.setdefault(r.agent_id, []).append(r)
+    assert {a: "\n\n".join(r.content for r in parts) for a, parts in got.items()} == {a: "\n\n".join(c) for a, c in want.items()}
+    assert all(len(p) == 1 and p[0].part is None for a, p in got.items() if a != "hot")
+    assert len(got["hot"]) > 100 and max(len(r.content) for r in got["hot"]) < 2000
+
+
 def test_registry():
     assert registry.names() == ["openclaw", "zeroclaw"]
     with pytest.raises(ValueError, match="openclaw, zeroclaw"):
