@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from memloom.llm import language, perplexity, queries, toxicity
+from memloom.llm import language, perplexity, quality, queries, toxicity
 from memloom.llm.common import documents
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -188,3 +188,25 @@ def test_lots_of_models_give_the_same_scores(spark):
         "doc_id long, text string, lang string")
     one, many = ({r["doc_id"]: r["log_perplexity"] for r in perplexity.measure(docs, n).collect()} for n in (1 << 30, 1))
     assert one == many and len(one) == 43 and one[40] is None and one[41] is None
+
+
+def test_metadata_places_of_frequent_values():
+    import pyarrow as pa
+
+    known = [["a", None, "b"], ["x"]]
+    values = [pa.array(["a", None, "b", "rare", ""]), pa.array(["x", "y", None, "x", "x"])]
+    rows = quality.metadata_features(values, pa.array([0, 1, None, 2 ** 40, 7]), known)
+    width = 4 + 2 + quality.STEPS
+    assert rows[:, 0].tolist() == [width] * 5
+    assert rows[:, 1].tolist() == [0, 1, 2, 3, 3] and rows[:, 2].tolist() == [4, 5, 5, 4, 4]
+    assert (rows[:, 3] - 6).tolist() == [0, 1, 0, quality.STEPS - 1, 3]
+    spread = quality._matrix("metadata", pa.array([r.tobytes() for r in rows]))
+    assert spread.shape == (5, width) and (spread.sum(axis=1) == 3).all()
+
+
+def test_hundreds_of_sources_tell_good_from_bad(spark):
+    rows = [(i, "same words in every text", f"s{i % 200}", "en", 24) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    labels = spark.createDataFrame([(i, int(i % 200 < 100)) for i in range(8000)], "doc_id long, quality int")
+    found = quality.score_quality(docs, labels).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 200 < 100) for r in found)
