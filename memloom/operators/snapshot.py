@@ -11,6 +11,7 @@ from memloom.schemas import (
     DELTA_ENTRIES_FILE, DELTA_MANIFEST_DDL, FORMAT_VERSION, MANIFEST_DDL, MEMORY_INDEX_FILE,
     PARTITION_INFO, struct_of, struct_type,
 )
+from memloom.session import by_key
 
 
 def _type_of(ddl: str, *path: str) -> str:
@@ -118,7 +119,7 @@ def memory_section(
         has_raw = F.lit(False)
     else:
         flags = raw_agents.select("agent_id").distinct().withColumn("_raw", F.lit(True))
-        per_agent = per_agent.join(flags, "agent_id", "left")
+        per_agent = per_agent.join(by_key(flags), "agent_id", "left")
         has_raw = F.coalesce("_raw", F.lit(False))
     memory = struct_of(
         _type_of(MANIFEST_DDL, "layers", "memory"),
@@ -188,7 +189,7 @@ def layer_inventory(
     values = {}
     for name, part in parts.items():
         if part is not None:
-            out = out.join(part, "agent_id", "left")
+            out = out.join(by_key(part), "agent_id", "left")
             values[name] = F.col(name)
     return out.select("agent_id", struct_of(layers_t, **values).alias("layers"))
 
@@ -203,9 +204,9 @@ def build_manifest(
     creation time is ``as_of``, the checksum is cleared.  ``sequences`` (X7) sets the
     sync cursor.
     """
-    df = agents.join(layers, "agent_id", "left")
+    df = agents.join(by_key(layers), "agent_id", "left")
     if sequences is not None:
-        df = df.join(sequences, "agent_id", "left")
+        df = df.join(by_key(sequences), "agent_id", "left")
     have = set(df.columns)
     at = rfc3339_text(as_of)
     sync_t = _type_of(MANIFEST_DDL, "sync")
@@ -256,7 +257,7 @@ def delta_manifest(
     df = counts if layers is None else counts.join(
         layers.select("agent_id").distinct(), "agent_id", "full_outer"
     )
-    df = df.join(state, "agent_id", "left")
+    df = df.join(by_key(state), "agent_id", "left")
     part = lambda *p: _type_of(DELTA_MANIFEST_DDL, *p)
     changes = {
         "memory": F.when(F.col("n").isNotNull(), struct_of(
@@ -271,7 +272,7 @@ def delta_manifest(
             has("principals").alias("_p"), one("principals", "changed_ids").alias("_ids"),
             has("credentials").alias("_c"),
         )
-        df = df.join(flags, "agent_id", "left")
+        df = df.join(by_key(flags), "agent_id", "left")
         changes["identity"] = F.when(F.col("_i"), struct_of(
             part("changes", "identity"), file=F.lit("identity.json"), new_version=F.col("_v")))
         changes["principals"] = F.when(F.col("_p"), struct_of(

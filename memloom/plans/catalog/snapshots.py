@@ -314,7 +314,7 @@ def snapshot_update(spark, sf_dir):
     import uuid
 
     from memloom.plans.rebuild import update_snapshot
-    from memloom.session import shared_dir
+    from memloom.session import by_key, shared_dir
     from memloom.sources import sinks
 
     path = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}/snapshot"
@@ -345,7 +345,7 @@ def snapshot_update(spark, sf_dir):
         "agent_id", F.col("sync.last_sequence").cast("int").alias("last_sequence"), m["record_count"].alias("agent_records"),
         F.col("layers.identity.version").alias("identity_version"), F.explode(m["partitions"]).alias("p"))
     parts = parts.select("*", F.col("p.file").alias("file"))
-    return snap.with_partition(new.records).withColumnRenamed("partition", "file").join(parts, ["agent_id", "file"]).select(
+    return snap.with_partition(new.records).withColumnRenamed("partition", "file").join(by_key(parts), ["agent_id", "file"]).select(
         "agent_id", "id", "content", "file", F.col("p.record_count").alias("record_count"), F.col("p.sealed").alias("sealed"),
         "agent_records", "last_sequence", "identity_version")
 
@@ -362,7 +362,7 @@ def purge_records(spark, sf_dir):
     import uuid
 
     from memloom.plans import purge
-    from memloom.session import shared_dir
+    from memloom.session import by_key, shared_dir
     from memloom.sources import sinks
 
     path = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}/snapshot"
@@ -381,7 +381,7 @@ def purge_records(spark, sf_dir):
     purge.purge_records(spark, path, requests.union(unknown), v.ts(v.AS_OF), "r1", buckets=2)
     new = sinks.read_snapshot_tables(spark, path)
     counts = new.manifests.select("agent_id", F.col("layers.memory.record_count").cast("bigint").alias("n"))
-    left = new.records.join(counts, "agent_id").select(F.lit("record").alias("kind"), "agent_id", "id", F.col("content").alias("detail"), "n")
+    left = new.records.join(by_key(counts), "agent_id").select(F.lit("record").alias("kind"), "agent_id", "id", F.col("content").alias("detail"), "n")
     quarter = F.substring_index(F.coalesce("part", F.lit("")), "/", 1)
     return left.union(purge.purge_log(spark, path).select(
         F.lit("audit"), "agent_id", "id", F.concat_ws(" ", "reason", quarter), F.col("copies").cast("bigint")))

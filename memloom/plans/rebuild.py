@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.operators import snapshot as snap
 from memloom.operators.delta import KEY, apply_deltas
 from memloom.schemas import CREDENTIAL_DDL, DELTA_OPERATIONS, IDENTITY_DDL, PRINCIPAL_DDL, struct_type
+from memloom.session import by_key
 from memloom.sources import archives, sinks
 from memloom.sources.sinks import BUCKETS, Snapshot
 
@@ -219,6 +220,6 @@ def _carried(manifests: DataFrame, stored: DataFrame, parts: list[str], buckets:
     again = stored.where(F.col("bucket").isin(here) & ~sinks.part().isin(parts)).groupBy("agent_id").agg(
         F.bool_or(F.size(F.col("embeddings")["dimensions"]) > 0).alias("found"))
     flag = F.when(F.col("bucket").isin(here), F.coalesce("found", F.lit(False))).otherwise(F.col("flag"))
-    return rows.join(again, "agent_id", "left").select(
+    return rows.join(by_key(again), "agent_id", "left").select(
         "agent_id", F.col("p.file").alias("file"), F.col("p.from").alias("from"), F.col("p.to").alias("to"),
         F.col("p.record_count").alias("record_count"), flag.alias("has_embeddings"))

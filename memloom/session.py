@@ -50,6 +50,16 @@ def _own_dir(application: str) -> str:
     return path
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts both sides by key.
+
+    Before a job runs, sizes are guessed from files, and small files of short columns may
+    hold millions of agents or records; a broadcast of those goes through the driver.  For
+    tables that grow with the fleet; others are left to AQE, which measures.
+    """
+    return df.hint("merge")
+
+
 def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
     """Checkpoint ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
