@@ -11,7 +11,7 @@ from memloom.plans import views as v
 from memloom.plans.catalog import query, sql_uuid5
 from memloom.plans.catalog.deltas import _chain_sql, _flat
 from memloom.plans.catalog.notes import _TYPE, SECTIONS
-from memloom.session import shared_dir
+from memloom.session import by_key, shared_dir
 from memloom.sources import archives, sinks
 from memloom.sources.workspaces import note_files
 
@@ -88,7 +88,7 @@ def record_scan(spark, sf_dir):
     recs = archives.records_of_lines(lines)
     return recs.select(
         "archive", "id", F.col("ord.pos").cast("int").alias("pos"), "content",
-        F.unix_micros(F.col("temporal.created_at")).alias("created_us")).join(numbers, "archive")
+        F.unix_micros(F.col("temporal.created_at")).alias("created_us")).join(by_key(numbers), "archive")
 
 
 @query("""SELECT 'z' || o_orderkey AS archive, CAST(o_orderkey % 7 + 1 AS INT) AS delta_seq, 0 AS pos,

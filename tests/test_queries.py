@@ -27,6 +27,12 @@ def test_query(spark, con, name):
     assert rows == want
 
 
+@pytest.mark.parametrize("name", ["record_scan", "snapshot_update", "purge_records"])
+def test_large_sides_are_not_broadcast_by_file_size(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
