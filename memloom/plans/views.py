@@ -1,4 +1,4 @@
-"""The given tables seen as memory data.  Row-wise mappings: no shuffle in any of them."""
+"""The given tables seen as memory data.  Row-wise mappings; only files of customers are dealt out first."""
 
 from __future__ import annotations
 
@@ -187,8 +187,11 @@ def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workspace files of customers: settings, persona, profile, notes."""
-    c = table(spark, sf_dir, "customer")
+    """Workspace files of customers: settings, persona, profile, notes.
+
+    One small file of customers makes many files of each row, so rows are dealt to all tasks first.
+    """
+    c = table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = F.col("c_custkey")
     t = k.cast("string")
     seg = F.lower("c_mktsegment")
