@@ -23,8 +23,10 @@ def workspace_inventory(files: DataFrame) -> DataFrame:
     name = F.when(path.rlike(r"\Amemory/[^/]+\z"), F.expr("substring(path, 8)"))
     daily = (F.octet_length(name) == 13) & name.endswith(".md") & (F.substring(name, 5, 1) == "-")
     project = name.startswith("project-") & name.endswith(".md")
-    stored = F.max(F.when(path == AGENT_ID_FILE, trim(F.col("content"))))
-    return files.groupBy("workspace").agg(
+    # contents stay behind: what is sorted by workspace is a path and, in one file of each, an id
+    own = F.when(path == AGENT_ID_FILE, trim(F.col("content")))
+    stored = F.max("_own")
+    return files.select("workspace", "path", own.alias("_own")).groupBy("workspace").agg(
         *[F.bool_or(path == p).alias(n) for n, p in _FLAGS.items()],
         F.bool_or(path.startswith("memory/")).alias("memory_dir"),
         F.count_if(daily).alias("daily_logs"),
