@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators.delta import KEY
 from memloom.schemas import DELTA_OPERATIONS
-from memloom.sources.sinks import BUCKETS, any_file, exists, remove, with_bucket
+from memloom.sources.sinks import BUCKETS, exists, remove, replace_dir, with_bucket
 
 #: What a record can be found by.  ``day`` and ``all`` serve date ranges and plain lists.
 FACETS = ("all", "type", "status", "tag", "entity", "day")
@@ -29,15 +29,15 @@ def postings(records: DataFrame) -> DataFrame:
     return rows.select(*KEY, "seen", "e.*").where("value IS NOT NULL")
 
 
-def _write(rows: DataFrame, path: str, mode: str) -> None:
+def _write(rows: DataFrame, path: str) -> None:
     out = rows.hint("rebalance", "bucket", "facet").sortWithinPartitions("bucket", "facet", "agent_id", "value", "seen")
     out.select(*POSTING_COLUMNS).write.mode("overwrite").option(
-        "partitionOverwriteMode", mode).partitionBy("bucket", "facet").parquet(path)
+        "partitionOverwriteMode", "static").partitionBy("bucket", "facet").parquet(path)
 
 
 def write_index(records: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the postings of ``records``, by agent bucket and facet and sorted by agent and value."""
-    _write(with_bucket(postings(records), buckets), path, "static")
+    _write(with_bucket(postings(records), buckets), path)
 
 
 def upsert_index(spark: SparkSession, path: str, deltas: DataFrame, buckets: int = BUCKETS) -> None:
@@ -55,11 +55,12 @@ def upsert_index(spark: SparkSession, path: str, deltas: DataFrame, buckets: int
     kept = read_index(spark, path).where(F.col("bucket").isin(here)).join(last.select(*KEY), KEY, "left_anti")
     fresh = with_bucket(postings(last.where("operation <> 'delete'")), buckets)
     aside = f"{path}-next"
-    _write(kept.select(*POSTING_COLUMNS).unionByName(fresh.select(*POSTING_COLUMNS)), aside, "static")
+    _write(kept.select(*POSTING_COLUMNS).unionByName(fresh.select(*POSTING_COLUMNS)), aside)
     staged = read_index(spark, aside)
     whole = {(r[0], r[1]) for r in staged.select("bucket", "facet").distinct().collect()}
-    if any_file(spark, aside):
-        _write(staged, path, "dynamic")
+    # written whole and in order, so directories take the place of the old ones without a second shuffle
+    for bucket, facet in sorted(whole):
+        replace_dir(spark, f"{aside}/bucket={bucket}/facet={facet}", f"{path}/bucket={bucket}/facet={facet}")
     for bucket in here:  # facets that no record has any more
         for facet in FACETS:
             if (bucket, facet) not in whole and exists(spark, f"{path}/bucket={bucket}/facet={facet}"):

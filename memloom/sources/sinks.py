@@ -120,6 +120,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def replace_dir(spark: SparkSession, source: str, path: str) -> None:
+    """Put the directory ``source`` in the place of ``path``, as Spark does when it commits a directory it overwrites."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+    system.mkdirs(place.getParent())
+    if not system.rename(_place(spark, source)[1], place):
+        raise OSError(f"{source} could not take the place of {path}")
+
+
 def replace_parts(spark: SparkSession, source: str, path: str) -> set[str]:
     """Put the directories of records below ``source`` in the place of those of ``path``; they are named as ``quarter/bucket``.
 

@@ -100,3 +100,16 @@ def test_one_agent_over_many_ranges(spark):
     for r in sorted(summed, key=lambda r: (r["size_bytes"], r["path"])):
         total += r["size_bytes"]
         assert r["total"] == total
+
+
+def test_an_upsert_writes_its_buckets_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facets")
+    rows = v.whole_records(v.event_records(spark, "/root/testdata/sf0.001")).limit(50)
+    browse.write_index(rows, path, buckets=BUCKETS)
+    before = browse.facet_counts(browse.read_index(spark, path), "type").collect()
+    written, write = [], browse._write
+    monkeypatch.setattr(browse, "_write", lambda *a: (written.append(a[1]), write(*a)))
+    deltas = rows.select("*", F.lit("update").alias("operation"), F.lit(1).alias("delta_seq"), F.col("ord.pos").alias("pos"))
+    browse.upsert_index(spark, path, deltas, buckets=BUCKETS)
+    assert written == [f"{path}-next"] and not os.path.exists(f"{path}-next")
+    assert sorted(browse.facet_counts(browse.read_index(spark, path), "type").collect()) == sorted(before)
