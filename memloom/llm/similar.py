@@ -32,6 +32,8 @@ SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
 SKETCH_BITS = 1024
 #: Rows of one number each that are sent to every task, so that texts need no shuffle.
 FEW = 2_000_000
+#: Turns at most in which texts meet one text of each of their shingles, before all pairs left do.
+TURNS = 3
 
 
 def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -240,24 +242,72 @@ def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     root = components(links)
     named = met.select("key", "copy", "place", "n").join(root, met["copy"] == root["node"], "left").select(
         "key", "place", "copy", "n", F.coalesce("root", "copy").alias("root"))
-    named = stored(named, "met-roots")
-    apart = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = stored(named.join(apart, "key", "left_semi"), "met-apart")
-    discard(met, named)
+    left = _still_apart(named)
+    discard(met)
     nodes = left.select("copy").distinct()
-    drawn = stored(sketches(rows.join(_few(nodes), "copy", "left_semi"), words), "sketches")
     wide = [F.element_at("sketch", i + 1).alias(f"w{i}") for i in range(SKETCH_BITS // 64)]
-    plain, left = left, stored(left.join(drawn, "copy").select("key", "place", "copy", "n", "root", *wide), "met-drawn")
+    drawn = stored(sketches(rows.join(_few(nodes), "copy", "left_semi"), words).select("copy", *wide), "sketches")
+    for turn in range(TURNS):
+        more = verified(one_for_each(left, drawn, turn, similarity), rows, words, similarity)
+        if not more.limit(1).count():
+            discard(more)
+            break
+        links = links.union(more)
+        before, left = left, _regrouped(left, more)
+        discard(before)
+    plain, left = left, stored(left.join(drawn, "copy"), "met-drawn")
     discard(plain, drawn)
+    last = verified(all_apart(left, similarity), rows, words, similarity)
+    discard(left)
+    return links.union(last)
+
+
+def _still_apart(named: DataFrame) -> DataFrame:
+    """Rows of ``named`` whose key has more than one ``root``, stored."""
+    named = stored(named, "met-roots")
+    apart = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = stored(named.join(apart, "key", "left_semi"), "met-apart")
+    discard(named)
+    return left
+
+
+def _regrouped(left: DataFrame, links: DataFrame) -> DataFrame:
+    """``left`` with the roots that ``links`` between its copies make one, where they are still apart."""
+    of = left.select("copy", "root").distinct()
+    ends = links.join(of.select(F.col("copy").alias("u"), F.col("root").alias("a")), "u").join(
+        of.select(F.col("copy").alias("v"), F.col("root").alias("b")), "v")
+    found = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("root", "to")
+    out = _still_apart(left.join(found, left["root"] == found["node"], "left").select(
+        "key", "place", "copy", "n", F.coalesce("to", "root").alias("root")))
+    discard(found)
+    return out
+
+
+def one_for_each(left: DataFrame, drawn: DataFrame, turn: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``u``, ``v``: each row of ``left`` with a copy of the root that most rows of its key have.
+
+    The copy is drawn for each key and ``turn``, so a text meets as many of a large group as
+    they have shingles in common, and there are no more pairs than rows.
+    """
+    draw = F.min_by(F.struct("copy", "place", "n"), F.xxhash64("copy", "key", F.lit(turn)))
+    groups = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"), draw.alias("one"))
+    largest = groups.groupBy("key").agg(F.max_by(F.struct("root", "one"), F.struct("times", "root")).alias("to")).select(
+        "key", F.col("to.root").alias("to_root"), F.col("to.one.copy").alias("to"),
+        F.col("to.one.place").alias("to_place"), F.col("to.one.n").alias("to_n"))
+    met = left.join(largest, "key").where((F.col("root") != F.col("to_root")) & _could("n", "place", "to_n", "to_place", similarity))
+    pairs = met.select(F.greatest("copy", "to").alias("u"), F.least("copy", "to").alias("v"),
+                       _alone("n", "to_n", similarity).alias("alone")).distinct()
+    both = pairs.join(drawn.alias("a"), F.col("u") == F.col("a.copy")).join(drawn.alias("b"), F.col("v") == F.col("b.copy"))
+    return both.where(_differing("a", "b") <= F.col("alone")).select("u", "v")
+
+
+def all_apart(left: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs ``u``, ``v`` of copies in ``left`` that share a key and may reach ``similarity``."""
     a, b = left.alias("a"), left.alias("b")
-    alone = (F.col("a.n") + F.col("b.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.copy") > F.col("b.copy"))
                    & (F.col("a.root") != F.col("b.root")) & _could("a.n", "a.place", "b.n", "b.place", similarity)
-                   & (_differing("a", "b") <= alone))
-    pairs = pairs.select(F.col("a.copy").alias("u"), F.col("b.copy").alias("v")).distinct()
-    last = verified(pairs, rows, words, similarity)
-    discard(left)
-    return links.union(last)
+                   & (_differing("a", "b") <= _alone("a.n", "b.n", similarity)))
+    return pairs.select(F.col("a.copy").alias("u"), F.col("b.copy").alias("v")).distinct()
 
 
 def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -280,6 +330,11 @@ def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.select("copy", "text").mapInArrow(each, "copy long, sketch array<long>").dropDuplicates(["copy"])
 
 
+def _alone(n: str, other_n: str, similarity: float) -> Column:
+    """Shingles in one of two texts alone, at most, if they reach ``similarity``."""
+    return (F.col(n) + F.col(other_n)) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _differing(a: str, b: str) -> Column:
     """Bits in which two sketches differ."""
     words = [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(SKETCH_BITS // 64)]

@@ -134,3 +134,20 @@ def test_sketches_never_say_less_than_the_texts(spark):
         for b, other in rows[:i]:
             apart = len(shingles(one) ^ shingles(other))
             assert sum((x ^ y).bit_count() for x, y in zip((v % (1 << 64) for v in bits[a]), (v % (1 << 64) for v in bits[b]))) <= apart
+
+
+def test_a_group_of_near_copies_costs_no_square_of_pairs(spark, monkeypatch):
+    """Texts of one frame, most pairs near: what meets one text of the group needs no others."""
+    rng = random.Random(11)
+    frame = [f"frame{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(frame)
+        for at in rng.sample(range(300), rng.choice([2, 3, 3, 4, 4, 4])):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    looked_at, verified = [], similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, *more: (looked_at.append(pairs.count()), verified(pairs, *more))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r[0] for r in similar.drop_similar(docs).select("doc_id").collect()} == brute_kept(rows)
+    assert sum(looked_at) < 20 * len(rows)
