@@ -25,8 +25,8 @@ from memloom.llm.common import FEW_GROUPS, PLAIN, blocks, chain_hash, lookup, mi
 ORDER, BITS = 4, 16
 SPACE, DIGIT = 32, 48
 OTHER = ""
-#: N-grams of one length that a model keeps at most, the most frequent; all others count in
-#: every total and are judged by the shorter n-grams.
+#: N-grams of one length that a model sent to the tasks holds.  Languages with more are scored
+#: by all of their n-grams: the most frequent are sent, the rest are joined.
 GRAMS = 1 << 18
 #: Bytes of models sent to the tasks at once; each document is scored in the round of its model.
 LOT_BYTES = 64 << 20
@@ -137,6 +137,13 @@ def _discount(i: int) -> Column:
     return F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(i - 0.05))
 
 
+def _cuts(grams: DataFrame, key: list[str], most: int) -> DataFrame:
+    """The lowest ``step`` of each ``key`` down to which whole steps have ``most`` rows at most."""
+    down = Window.partitionBy(*key).orderBy(F.desc("step"))
+    steps = grams.groupBy(*key, "step").count().withColumn("upto", F.sum("count").over(down))
+    return steps.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("upto") <= most, F.col("step"))), F.lit(1 << 30)).alias("cut"))
+
+
 def shares(counted: DataFrame, most: int = GRAMS) -> DataFrame:
     """What every kept n-gram of each length ``k`` has of its context's probability
     (``mass``), and what the context leaves to the shorter n-gram (``left``).
@@ -155,9 +162,7 @@ def shares(counted: DataFrame, most: int = GRAMS) -> DataFrame:
     grams = grams.withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
     key = ["model", "half", "k"]
     tally = grams.groupBy(*key).agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in range(1, 5)])
-    down = Window.partitionBy(*key).orderBy(F.desc("step"))
-    steps = grams.groupBy(*key, "step").count().withColumn("upto", F.sum("count").over(down))
-    cut = steps.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("upto") <= most, F.col("step"))), F.lit(1 << 30)).alias("cut"))
+    cut = _cuts(grams, key, most)
     rules = tally.join(cut, key).select(*key, "cut", *[_discount(i).alias(f"d{i}") for i in (1, 2, 3)])
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     kept = F.when(F.col("step") >= F.col("cut"), F.col("n") - less).otherwise(0.0)
@@ -244,7 +249,7 @@ def tables_of(models: DataFrame) -> dict[tuple[str, int], Table]:
 
 def lots_of(models: DataFrame, most: int = LOT_BYTES) -> list[list[str]]:
     """Languages in lots whose models have ``most`` bytes together; one language a lot at least."""
-    size = sum(F.length(c) for c in ("grams", "scores", "contexts", "weights"))
+    size = sum(F.coalesce(F.length(c), F.lit(0)) for c in ("grams", "scores", "contexts", "weights"))
     lots, used = [[]], 0
     for r in models.groupBy("model").agg(F.sum(size).alias("size")).orderBy("model").collect():  # a narrow row a language
         if lots[-1] and used + r["size"] > most:
@@ -286,15 +291,117 @@ def text_rules(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def measure(docs: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
+def exact_scores(counted: DataFrame) -> DataFrame:
+    """``counted`` with ``score``, the log probability of each n-gram in the model of the other half
+    (its own where there is no other), by all n-grams of every length; stored."""
+    key = ["model", "asked"]
+    every = stored(shares(counted, 1 << 62), "shares").withColumnRenamed("half", "asked")
+    unseen = every.where("k = 1").groupBy(*key).agg((1 / (F.count(F.lit(1)) + 1)).alias("p0"))
+    halves = counted.groupBy("model").agg(F.countDistinct("half").alias("halves"))
+    asked = F.when(F.col("halves") == 2, 1 - F.col("half")).otherwise(F.col("half"))
+    rows = counted.join(halves, "model").withColumn("asked", asked).drop("halves").join(unseen, key)
+    below, score = unseen, F.col("p0")
+    for k in range(1, ORDER + 1):
+        part = F.col("gram") if k == ORDER else F.col("gram").bitwiseAND(F.lit(_mask(k)))
+        here = every.where(F.col("k") == k).drop("k")
+        contexts = here.groupBy(*key, F.shiftrightunsigned("gram", BITS).alias("context")).agg(F.first("left").alias(f"w{k}"))
+        on = [*key] if k == 1 else [*key, "short"]
+        here = here.withColumn("short", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(below, on)
+        seen = stored(here.select(*key, F.col("gram").alias("part"), (F.col("mass") + F.col("left") * F.col(f"p{k - 1}")).alias(f"p{k}")), "seen")
+        rows = rows.withColumn("part", part).withColumn("context", F.shiftrightunsigned(part, BITS))
+        rows = rows.join(seen, [*key, "part"], "left").join(contexts, [*key, "context"], "left")
+        score = F.coalesce(f"p{k}", F.coalesce(f"w{k}", F.lit(1.0)) * score)
+        below = seen.withColumnRenamed("part", "short")
+    return stored(rows.select("model", "half", "gram", "n", F.log(F.greatest(score, F.lit(1e-12))).alias("score")), "scores")
+
+
+def frequent(scores: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent n-grams of each ``model`` and ``half`` with their scores, as ``learn`` stores a length."""
+    key = ["model", "half"]
+    grams = scores.withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+
+    def fit(at: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(grams := group["gram"].to_numpy().view(np.uint64))
+        found = (grams[order].tobytes(), group["score"].to_numpy().astype(np.float32)[order].tobytes())
+        return pd.DataFrame([(*at, ORDER, 0.0, *found, b"", b"")], columns=["model", "half", "k", "unseen", "grams", "scores", "contexts", "weights"])
+
+    return stored(grams.join(_cuts(grams, key, most), key).where("step >= cut").groupBy(*key).applyInPandas(
+        fit, "model string, half int, k int, unseen double, grams binary, scores binary, contexts binary, weights binary"), "frequent")
+
+
+def measure_all(docs: DataFrame, counted: DataFrame, most: int, lot_bytes: int) -> DataFrame:
+    """What ``measure`` gives, for languages with more n-grams than a model holds, by all of them.
+
+    The most frequent n-grams are looked up in the tasks; of the rest each text gives its
+    distinct ones with their number, which are joined with the scores.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    scores = exact_scores(counted)
+    models = frequent(scores, most)
+    languages = counted.select("model").distinct()
+    models = languages.join(models, "model", "left")  # also those of which no step is sent
+    docs = docs.withColumn("row_no", F.monotonically_increasing_id())
+
+    def scorer(tables):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in blocks(batches):
+                sums, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                rest: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+                for key, at, grams, rows in _by_model(batch):
+                    table = tables.value.get(key)
+                    known = table.levels[0] if table else Level(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
+                    place, seen = lookup(known.grams, grams)
+                    sums[at] = np.bincount(rows[seen], known.scores[place[seen]], len(at))
+                    n[at] = np.bincount(rows, minlength=len(at))
+                    order = np.lexsort((grams[~seen], rows[~seen]))
+                    of, other = rows[~seen][order], grams[~seen][order]
+                    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (other[1:] != other[:-1])][: len(of)])
+                    times = np.diff(np.r_[first, len(of)])
+                    for i, gram, t in zip(at[of[first]].tolist(), other[first].view(np.int64).tolist(), times.tolist()):
+                        rest[i].append({"gram": gram, "times": t})
+                rules = text_rules(batch.column("text"))
+                yield pa.RecordBatch.from_pydict({
+                    **{c: batch.column(c) for c in ("doc_id", "row_no", "model", "half", "digest")},
+                    **{k: pa.array(v.astype(np.int64)) for k, v in rules.items()},
+                    "sums": sums, "characters": n, "rest": pa.array(rest, pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))),
+                })
+
+        return score
+
+    done = []
+    for lot in lots_of(models, lot_bytes):
+        number = spark.createDataFrame([(m,) for m in lot], "model string")
+        tables = spark.sparkContext.broadcast(tables_of(models.where("grams IS NOT NULL").join(number, "model", "left_semi")))
+        done.append(stored(docs.join(number, "model", "left_semi").mapInArrow(
+            scorer(tables), f"doc_id {kind}, row_no long, model string, half int, digest long, n_words long, word_chars long, n_symbols long, "
+                            "n_dup_lines long, n_repeat_words long, sums double, characters long, rest array<struct<gram:long,times:long>>"), "sums"))
+        tables.unpersist()
+    rows = functools.reduce(DataFrame.unionByName, done)
+    rest = rows.select("row_no", "model", "half", F.explode("rest").alias("r")).select("row_no", "model", "half", "r.*")
+    more = rest.join(scores, ["model", "half", "gram"]).groupBy("row_no").agg(F.sum(F.col("times") * F.col("score")).alias("more"))
+    mean = F.when(F.col("characters") > 0, -(F.col("sums") + F.coalesce("more", F.lit(0.0))) / F.col("characters"))
+    return stored(rows.join(more, "row_no", "left").select(
+        "doc_id", "model", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", mean.alias("log_perplexity")), "measures")
+
+
+def measure(docs: DataFrame, lot_bytes: int = LOT_BYTES, most: int = GRAMS) -> DataFrame:
     """Every document's rule counts, its ``model`` (language) and its mean log perplexity a
-    character (null for empty texts), stored."""
+    character (null for empty texts), stored.  Languages of more than ``most`` n-grams in one
+    half go through ``measure_all``, so that none is left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(
         "doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit(OTHER)).alias("model"), F.xxhash64("text").alias("digest"),
     ).withColumn("half", F.pmod("digest", F.lit(2)).cast("int"))
     spark = docs.sparkSession
-    models = learn(stored(count_grams(docs), "counts"))
+    counted = stored(count_grams(docs), "counts")
+    # shorter n-grams are fewer than those of four
+    large = stored(counted.groupBy("model", "half").count().where(F.col("count") > most).select("model").distinct(), "large")
+    apart = []
+    if large.limit(1).count():
+        apart = [measure_all(docs.join(large, "model", "left_semi"), counted.join(large, "model", "left_semi"), most, lot_bytes)]
+        docs, counted = (df.join(large, "model", "left_anti") for df in (docs, counted))
+    models = learn(counted, most)
     lots = lots_of(models, lot_bytes)
 
     def scorer(tables):
@@ -316,7 +423,7 @@ def measure(docs: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
 
         return score
 
-    done = []
+    done = apart
     for i, lot in enumerate(lots):
         mine, asked = docs, models
         if len(lots) > 1:  # languages without any text have no model and go with the first lot

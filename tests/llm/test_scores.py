@@ -210,3 +210,15 @@ def test_hundreds_of_sources_tell_good_from_bad(spark):
     labels = spark.createDataFrame([(i, int(i % 200 < 100)) for i in range(8000)], "doc_id long, quality int")
     found = quality.score_quality(docs, labels).collect()
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 200 < 100) for r in found)
+
+
+def test_languages_of_many_grams_are_scored_by_all_of_them(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["some", "words", "of", "texts", f"own{i}", f"x{i * 7}"], 12)) for i in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(30, texts[0], "en"), (31, None, "en"), (32, "alone", "xx"), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: r["log_perplexity"] for r in perplexity.measure(docs).collect()}
+    for most in (0, 40):
+        found = {r["doc_id"]: r["log_perplexity"] for r in perplexity.measure(docs, most=most).collect()}
+        assert found.keys() == whole.keys() and found[31] is None and found[None] is None
+        assert all(found[i] == pytest.approx(x, abs=1e-4) for i, x in whole.items() if x is not None)
