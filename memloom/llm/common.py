@@ -8,6 +8,7 @@ at once.
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -65,6 +66,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver drop what finished jobs left.
+
+    Spark deletes shuffle files only when the driver collects its garbage; between many short
+    jobs its heap grows to its bound first.  For operators of many jobs, between their steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_runs(spark: SparkSession) -> None:
     """Delete the tables of all runs; only when no result of theirs is read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/memloom-runs")

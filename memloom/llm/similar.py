@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm import simhash
-from memloom.llm.common import (PLAIN, aside, blocks, chain_hash, discard, lookup, mix, restored, span_hash, stored, widened,
-                                word_spans)
-from memloom.llm.components import components
+from memloom.llm.common import (PLAIN, aside, blocks, chain_hash, discard, lookup, mix, restored, span_hash, stored, sweep,
+                                widened, word_spans)
+from memloom.llm.components import components, merged
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits by which linked fingerprints may differ; what lies further apart meets by shingles.
@@ -32,7 +32,8 @@ SAMPLE_TEXTS, COMMON = 10_000, 1 << 20
 SKETCH_BITS = 1024
 #: Rows of one number each that are sent to every task, so that texts need no shuffle.
 FEW = 2_000_000
-#: Turns at most in which texts meet one text of each of their shingles, before all pairs left do.
+#: Turns at most in which texts meet one text of each of their shingles, before all pairs left do; the
+#: first that leaves over half of the rows is the last.
 TURNS = 3
 
 
@@ -223,8 +224,8 @@ def _could(n: str, place: str, other_n: str, other_place: str, similarity: float
     return F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) >= need
 
 
-def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``u``, ``v`` of ``copy`` that connect all texts of ``similarity`` or more.
+def similar_roots(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``node`` and ``root``: of each copy that has a link, the least copy that links of ``similarity`` or more lead to.
 
     First come the pairs that the fingerprint index links; they connect most near copies at a
     few links a text.  What it leaves apart meets by shingles: each text with one that its
@@ -235,11 +236,15 @@ def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     pair's sketches must allow it, too, which parts texts that share no more than passages.
     """
     links = verified(fingerprint_pairs(rows, words), rows, words, similarity)
+    first = stored(components(links), "roots")
+    sweep(rows.sparkSession)
     met = stored(meeting(prefixes(rows, words, similarity)), "met")
     star = met.where(F.col("copy") != F.col("least")).where(_could("n", "place", "least_n", "least_place", similarity))
-    star = _apart(star.select(F.col("least").alias("u"), F.col("copy").alias("v")).distinct(), components(links))
-    links = links.union(verified(star, rows, words, similarity))
-    root = components(links)
+    star = _apart(star.select(F.col("least").alias("u"), F.col("copy").alias("v")).distinct(), first)
+    links = verified(star, rows, words, similarity)
+    root = merged(first, links)
+    discard(first, links)
+    sweep(rows.sparkSession)
     named = met.select("key", "copy", "place", "n").join(root, met["copy"] == root["node"], "left").select(
         "key", "place", "copy", "n", F.coalesce("root", "copy").alias("root"))
     left = _still_apart(named)
@@ -247,19 +252,26 @@ def similar_edges(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     nodes = left.select("copy").distinct()
     wide = [F.element_at("sketch", i + 1).alias(f"w{i}") for i in range(SKETCH_BITS // 64)]
     drawn = stored(sketches(rows.join(_few(nodes), "copy", "left_semi"), words).select("copy", *wide), "sketches")
+    links, waiting = [], left.count()
     for turn in range(TURNS):
-        more = verified(one_for_each(left, drawn, turn, similarity), rows, words, similarity)
-        if not more.limit(1).count():
-            discard(more)
+        links.append(verified(one_for_each(left, drawn, turn, similarity), rows, words, similarity))
+        if not links[-1].limit(1).count():
             break
-        links = links.union(more)
-        before, left = left, _regrouped(left, more)
+        before, left = left, _regrouped(left, links[-1])
         discard(before)
+        sweep(rows.sparkSession)
+        rest = left.count()
+        if not rest or 2 * rest > waiting:
+            break
+        waiting = rest
     plain, left = left, stored(left.join(drawn, "copy"), "met-drawn")
     discard(plain, drawn)
-    last = verified(all_apart(left, similarity), rows, words, similarity)
+    links.append(verified(all_apart(left, similarity), rows, words, similarity))
     discard(left)
-    return links.union(last)
+    sweep(rows.sparkSession)
+    out = merged(root, functools.reduce(DataFrame.union, links))
+    discard(root, *links)
+    return out
 
 
 def _still_apart(named: DataFrame) -> DataFrame:
@@ -363,9 +375,7 @@ def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """
     numbered = docs.select("doc_id", "text", aside(docs), F.monotonically_increasing_id().alias("row_no"))
     rows = copies(numbered)
-    edges = similar_edges(rows, words, similarity)
-    roots = components(edges)
-    discard(edges)
+    roots = similar_roots(rows, words, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no")
     first = rows.groupBy("copy").agg(F.min(place).alias("first"))
     first = first.join(roots, first["copy"] == roots["node"], "left").select(
