@@ -43,11 +43,14 @@ def compute_delta(old: DataFrame, new: DataFrame, ignore_cols: Sequence[str] = (
         return df.select(*KEY, "ord", content_digest(compared).alias("digest"))
 
     # only keys, places and digests are compared; records follow for what has changed
-    last = narrow(old).groupBy(*KEY).agg(F.max_by("digest", F.col("ord")).alias("before"))
     fresh = narrow(new)
-    changed = fresh.join(last, KEY, "left").where(~F.col("before").eqNullSafe(F.col("digest"))).select(
-        *KEY, "ord", F.when(F.col("before").isNull(), "create").otherwise("update").alias("operation"))
-    gone = last.select(*KEY).join(fresh.select(*KEY).distinct(), KEY, "left_anti")
+    sides = old.select(*KEY, F.struct("ord", content_digest(compared).alias("digest")).alias("row"), F.lit(None).cast("boolean").alias("stays"))
+    sides = sides.unionByName(new.select(*KEY, F.lit(None).cast(sides.schema["row"].dataType).alias("row"), F.lit(True).alias("stays")))
+    # one summary for each key: both uses below read both of its columns, so that its shuffle is shared
+    last = sides.groupBy(*KEY).agg(F.max("row").alias("last"), F.max("stays").alias("stays"))
+    changed = fresh.join(last.where("stays"), KEY).where(~F.col("last.digest").eqNullSafe(F.col("digest"))).select(
+        *KEY, "ord", F.when(F.col("last").isNull(), "create").otherwise("update").alias("operation"))
+    gone = last.where(F.col("stays").isNull() & F.col("last").isNotNull()).select(*KEY)
     out = ["operation", *KEY, "ord", *payload]
     written = new.join(changed, [*KEY, "ord"]).select(*out)
     deleted = old.join(gone, KEY, "left_semi").withColumn("operation", F.lit("delete")).select(*out)
@@ -70,9 +73,9 @@ def number_deltas(changes: DataFrame, sequences: DataFrame) -> DataFrame:
 
     ``sequences``: ``agent_id, last_sequence``; agents not in it start from 0.
     """
-    placed = with_position(changes, ["agent_id"], [F.col("op_rank"), F.col("ord")])
     last = sequences.select("agent_id", F.col("last_sequence").cast("bigint").alias("base_sequence"))
-    return placed.join(last, "agent_id", "left").withColumn(
+    placed = with_position(changes, ["agent_id"], [F.col("op_rank"), F.col("ord")], along=last)
+    return placed.withColumn(
         "base_sequence", F.coalesce("base_sequence", F.lit(0).cast("bigint"))
     ).withColumn("delta_seq", F.col("base_sequence") + 1).drop("op_rank", "ord")
 

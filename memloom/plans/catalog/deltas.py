@@ -134,7 +134,7 @@ def sync_round_trip(spark, sf_dir):
     (X1, X4, X5, S6, S7)."""
     import uuid
 
-    from memloom.session import shared_dir
+    from memloom.session import shared_dir, stored
     from memloom.sources import sinks
 
     work = f"{shared_dir(spark)}/memloom-run-{uuid.uuid4()}"
@@ -142,9 +142,10 @@ def sync_round_trip(spark, sf_dir):
     marks = lambda df: df.select("agent_id").distinct().withColumn("last_sequence", F.lit(0))
     sinks.write_snapshot(sinks.Snapshot(v.whole_records(old), marks(old)), f"{work}/base", buckets=2)
     base = sinks.read_snapshot_tables(spark, f"{work}/base")
-    entries = D.number_deltas(D.compute_delta(base.records, v.whole_records(new)), marks(old))
+    changes = stored(D.compute_delta(base.records, v.whole_records(new)), f"{work}/changes")
+    entries = stored(D.number_deltas(changes, marks(old)), f"{work}/entries")
     sinks.write_deltas(entries, entries.select("agent_id", "delta_seq", "base_sequence").distinct(), f"{work}/deltas", "p1", buckets=2)
-    stored, _ = sinks.read_delta_tables(spark, f"{work}/deltas")
-    sinks.write_snapshot(sinks.Snapshot(D.apply_deltas(base.records, stored), base.manifests), f"{work}/next", buckets=2)
+    pushed, _ = sinks.read_delta_tables(spark, f"{work}/deltas")
+    sinks.write_snapshot(sinks.Snapshot(D.apply_deltas(base.records, pushed), base.manifests), f"{work}/next", buckets=2)
     out = sinks.read_snapshot_tables(spark, f"{work}/next").records
     return out.select("agent_id", "id", "content", F.col("ord.delta").cast("int").alias("delta"))

@@ -66,3 +66,13 @@ def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path``, a folder all executors share, and read back.
+
+    For records that are used more than once: columns on disk are smaller than shuffled rows
+    or a checkpoint of them, and what comes before is not computed anew.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

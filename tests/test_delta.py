@@ -192,3 +192,47 @@ def test_numbered_deltas_have_dense_positions(spark):
         assert [op for _, op in mine] == ["create"] * 3 + ["update"] * 3 + ["delete"] * 2
     assert {r.delta_seq for r in rows if r.agent_id == "a0"} == {8} and {r.delta_seq for r in rows if r.agent_id == "a1"} == {1}
     assert D.diff_records(n, D.apply_deltas(o, d)).count() == 0
+
+
+def _unbroadcast(spark, build):
+    """The first plan of ``build()`` where no side of a join counts as small."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, value in off.items():
+            spark.conf.set(k, value)
+        return build()._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, value in was.items():
+            spark.conf.set(k, value)
+
+
+def test_changed_and_vanished_keys_share_a_shuffle(spark, tmp_path):
+    rows = {"a": [("1", "x"), ("2", "y")]}
+    for side in ("old", "new"):
+        base_df(spark, rows).write.parquet(str(tmp_path / side))
+    read = lambda side: spark.read.parquet(str(tmp_path / side))
+    plan = _unbroadcast(spark, lambda: D.compute_delta(read("old"), read("new")))
+    assert sum("ReusedExchange" in line for line in plan) == 1
+    # keys and digests of the new side, the summary of keys, changed keys, and the records of both sides
+    assert sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan) == 5
+
+
+def test_changes_move_once_to_be_numbered(spark, tmp_path):
+    base_df(spark, {"a": [("1", "x"), ("2", "y")]}).select(
+        "*", F.lit("create").alias("operation"), F.lit(0).alias("op_rank")).write.parquet(str(tmp_path / "c"))
+    seqs = spark.createDataFrame([("a", 7)], "agent_id string, last_sequence bigint")
+    plan = _unbroadcast(spark, lambda: D.number_deltas(spark.read.parquet(str(tmp_path / "c")), seqs))
+    moved = [i for i, line in enumerate(plan) if " Exchange " in line and "content#" in plan[i + 1]]
+    assert len(moved) == 1
+
+
+def test_round_trip_computes_its_delta_once(spark, monkeypatch):
+    from memloom.plans.catalog import QUERIES
+    from memloom.sources import sinks
+
+    seen, write = [], sinks.write_deltas
+    monkeypatch.setattr(sinks, "write_deltas", lambda *args, **more: (seen.extend(args[:2]), write(*args, **more)))
+    QUERIES["sync_round_trip"](spark, "/root/testdata/sf0.001")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2 and not any("Join" in p for p in plans)

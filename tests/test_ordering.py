@@ -19,3 +19,13 @@ def test_positions_of_a_dominant_key(spark):
         seen.setdefault(r.k, []).append(r.i)
     assert seen == want
     assert sorted(r.pos for r in got if r.k == "hot") == list(range(len(want["hot"])))
+
+
+def test_equal_and_null_orders_with_columns_along(spark):
+    rows = [("a", 1), ("a", None), ("a", 1), ("b", None), ("b", None), (None, 2), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, i bigint")
+    along = spark.createDataFrame([("a", 7)], "k string, last bigint")
+    got = with_position(df, ["k"], [F.col("i")], along=along).collect()
+    assert sorted(((r.k or "", r.pos, r.i or 0, r["last"]) for r in got), key=repr) == sorted([
+        ("a", 0, 0, 7), ("a", 1, 1, 7), ("a", 2, 1, 7), ("b", 0, 0, None), ("b", 1, 0, None),
+        ("", 0, 1, None), ("", 1, 2, None)], key=repr)
