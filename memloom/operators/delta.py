@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators.ordering import with_position
 from memloom.schemas import DELTA_OPERATIONS, ORD
+from memloom.session import by_key
 
 KEY = ["agent_id", "id"]
 
@@ -48,12 +49,12 @@ def compute_delta(old: DataFrame, new: DataFrame, ignore_cols: Sequence[str] = (
     sides = sides.unionByName(new.select(*KEY, F.lit(None).cast(sides.schema["row"].dataType).alias("row"), F.lit(True).alias("stays")))
     # one summary for each key: both uses below read both of its columns, so that its shuffle is shared
     last = sides.groupBy(*KEY).agg(F.max("row").alias("last"), F.max("stays").alias("stays"))
-    changed = fresh.join(last.where("stays"), KEY).where(~F.col("last.digest").eqNullSafe(F.col("digest"))).select(
+    changed = fresh.join(by_key(last.where("stays")), KEY).where(~F.col("last.digest").eqNullSafe(F.col("digest"))).select(
         *KEY, "ord", F.when(F.col("last").isNull(), "create").otherwise("update").alias("operation"))
     gone = last.where(F.col("stays").isNull() & F.col("last").isNotNull()).select(*KEY)
     out = ["operation", *KEY, "ord", *payload]
-    written = new.join(changed, [*KEY, "ord"]).select(*out)
-    deleted = old.join(gone, KEY, "left_semi").withColumn("operation", F.lit("delete")).select(*out)
+    written = new.join(by_key(changed), [*KEY, "ord"]).select(*out)
+    deleted = old.join(by_key(gone), KEY, "left_semi").withColumn("operation", F.lit("delete")).select(*out)
     rank = F.when(F.col("operation") == "create", 0).when(F.col("operation") == "update", 1)
     return written.unionByName(deleted).withColumn("op_rank", rank.otherwise(2))
 
@@ -197,7 +198,7 @@ def _actions(base_keys: DataFrame, entries: DataFrame) -> DataFrame:
             (acc, s) -> cast({_with_roll(_fold_step())} as {_STATE}),
             acc -> concat(acc.live, acc.pend)))"""))
     )
-    placed = chunks.join(folded, [*KEY, "delta", "chunk"], "left")
+    placed = chunks.join(by_key(folded), [*KEY, "delta", "chunk"], "left")
     kept = F.expr("slice(filter(ev, e -> e.op < 2 and e.pos > after), 1, cast(n as int))")
     placed = placed.select(
         *KEY, "delta", "ev", "upd_delta", "upd_pos",
@@ -227,15 +228,15 @@ def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
     ``ord``, created rows get ``(delta_seq, pos)``; order by it to get the list.
     Unknown operations are skipped.
 
-    Only keys and positions take part in the fold.  Records move at most once, in one
-    join with the list of what the fold decided.  Where that list is small enough for
-    AQE to broadcast, base rows never leave their partition.
+    Only keys and positions take part in the fold.  Records move once, in one join with
+    the list of what the fold decided.  Joins sort by key: ids read out of JSON lines count
+    for a fraction of a byte when Spark guesses sizes from files, and would be broadcast.
     """
     entries = deltas.where(F.col("operation").isin(*DELTA_OPERATIONS))
     touched = entries.select(*KEY).distinct()
     base_keys = base.select(
         *KEY, F.col("ord.delta").cast("bigint").alias("delta"), F.col("ord.pos").alias("pos")
-    ).join(touched, KEY, "left_semi")
+    ).join(by_key(touched), KEY, "left_semi")
     actions = _actions(base_keys, entries).select(
         *KEY, "delta", "pos", F.col("ord").alias("_ord"), F.lit(True).alias("_listed")
     )
@@ -247,7 +248,7 @@ def apply_deltas(base: DataFrame, deltas: DataFrame) -> DataFrame:
         *KEY, F.col("delta_seq").cast("bigint").alias("delta"),
         F.col("pos").cast("bigint").alias("pos"), F.lit(False).alias("_base"), *payload,
     ))
-    settled = rows.join(actions, [*KEY, "delta", "pos"], "left").where(
+    settled = rows.join(by_key(actions), [*KEY, "delta", "pos"], "left").where(
         F.when(F.col("_base"), F.col("_listed").isNull()).otherwise(F.col("_ord").isNotNull())
     )
     place = F.coalesce("_ord", F.struct("delta", "pos").cast(ORD))

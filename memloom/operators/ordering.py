@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.session import cut_lineage
+from memloom.session import by_key, cut_lineage
 
 
 def with_position(
@@ -37,17 +37,17 @@ def with_position(
     if along is not None:
         more = [c for c in along.columns if c not in keys]
         carried = along.select(*[F.col(k).alias(f"_t{g}") for k, g in zip(keys, groups)], *more)
-        offsets = offsets.join(carried, [f"_t{g}" for g in groups], "left")
+        offsets = offsets.join(by_key(carried), [f"_t{g}" for g in groups], "left")
     within = Window.partitionBy(*groups, "_range").orderBy(*[n for n in names if n not in groups])
     summed = ranged.withColumn("_before", F.coalesce(
         F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     on = F.col("_range") == F.col("_r")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"_t{g}"))
-    placed = summed.join(offsets, on).select(
+    placed = summed.join(by_key(offsets), on).select(
         F.struct(*names).alias("_place"), (F.col("_offset") + F.col("_before")).alias("_start"), "_n", *more)
     # a struct is never null and its null fields are equal, so join and window share one distribution
-    joined = df.select("*", F.struct(*by).alias("_tag")).join(placed, F.col("_tag") == F.col("_place"))
+    joined = df.select("*", F.struct(*by).alias("_tag")).join(by_key(placed), F.col("_tag") == F.col("_place"))
     # equal rows: the join has brought them together
     again = Window.partitionBy("_place").orderBy(F.lit(0))
     pos = F.col("_start") + F.when(F.col("_n") > 1, F.row_number().over(again) - 1).otherwise(0)

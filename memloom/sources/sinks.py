@@ -165,12 +165,13 @@ def read_delta_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """Entries and manifests of all pushes that :func:`write_deltas` wrote below ``path``.
 
     Entries have ``delta_seq``, ``pos``, ``operation`` and the columns of the record.  A
-    push without manifests was not finished and is left out.
+    push without manifests was not finished and is left out.  Entries stay in their tasks:
+    the names of finished pushes are sent to them, one for each folder that was listed.
     """
     push = F.regexp_extract(F.col("_metadata.file_path"), r"/push=([^/]*)/(?:entries|manifests)/", 1)
     marks = spark.read.parquet(f"{path}/push=*/manifests").withColumn("push", push)
     lines = spark.read.parquet(f"{path}/push=*/entries").withColumn("push", push)
-    lines = lines.join(marks.select("push").distinct(), "push", "left_semi")
+    lines = lines.join(F.broadcast(marks.select("push").distinct()), "push", "left_semi")
     keep = ["delta_seq", "pos", "operation"]
     maps = lines.select("delta_seq", "pos", opened(F.col("value")).alias("_m"))
     operation = F.try_variant_get(F.try_element_at("_m", F.lit("operation")), "$", "string")

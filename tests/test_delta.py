@@ -236,3 +236,36 @@ def test_round_trip_computes_its_delta_once(spark, monkeypatch):
     QUERIES["sync_round_trip"](spark, "/root/testdata/sf0.001")
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def _sides(spark, path):
+    """A base, its changes and their entries in small files, whose sizes say nothing of their rows."""
+    base_df(spark, {"a": [("1", "x"), ("2", "y")]}).write.parquet(f"{path}/base")
+    delta_df(spark, {"a": [[("update", ("1", "z")), ("delete", ("2", None))]]}).write.parquet(f"{path}/entries")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    read("base").select("*", F.lit("create").alias("operation"), F.lit(0).alias("op_rank")).write.parquet(f"{path}/changes")
+    return read("base"), read("changes"), read("entries")
+
+
+def test_records_are_not_broadcast_by_file_size(spark, tmp_path):
+    base, changes, entries = _sides(spark, str(tmp_path))
+    marks = base.select("agent_id").distinct().withColumn("last_sequence", F.lit(0))
+    applied, numbered = D.apply_deltas(base, entries), D.number_deltas(changes, marks)
+    for df in (applied, numbered, D.compute_delta(base, base.withColumn("content", F.lit("v")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert as_lists(applied) == {"a": [("1", "z")]}
+    assert sorted((r.id, r.pos) for r in numbered.collect()) == [("1", 0), ("2", 1)]
+
+
+def test_written_entries_stay_in_their_tasks(spark, tmp_path):
+    from memloom.schemas import RECORD_FIELDS
+    from memloom.sources import sinks
+
+    _, _, entries = _sides(spark, str(tmp_path))
+    rows = entries.select("*", *[F.lit(None).cast(t).alias(c) for c, t in RECORD_FIELDS.items() if c not in entries.columns])
+    sinks.write_deltas(rows, rows.select("agent_id", "delta_seq").distinct(), str(tmp_path / "d"), "p1", buckets=2)
+    plan = _unbroadcast(spark, lambda: sinks.read_delta_tables(spark, str(tmp_path / "d"))[0])
+    # one name for each push is sent; entries would all meet at the name of theirs
+    assert any("BroadcastHashJoin" in line for line in plan) and not any("SortMergeJoin" in line for line in plan)
+    assert sinks.read_delta_tables(spark, str(tmp_path / "d"))[0].count() == 2
